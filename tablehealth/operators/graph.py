@@ -100,16 +100,16 @@ def degrees(catalog: DataFrame) -> DataFrame:
     """Number of edges per (dataset, kind); zero rows are left out."""
     members = memberships(catalog)
     parts, whole = _group_sizes(members)
-    same_part = members["publisher"].eqNullSafe(F.col("p.publisher"))
-    sized = (
-        members.join(
-            parts.alias("p"), (members["kind"] == F.col("p.kind")) & (members["key"] == F.col("p.key")) & same_part
-        )
-        .join(whole.alias("w"), (members["kind"] == F.col("w.kind")) & (members["key"] == F.col("w.key")))
-        .select(
-            members["dataset_id"], members["kind"],
-            (F.col("w.members") - F.when(members["publisher"].isNull(), 1).otherwise(F.col("p._part"))).alias("degree"),
-        )
+    part = parts.select(
+        F.col("kind").alias("_kind"), F.col("key").alias("_key"), F.col("publisher").alias("_publisher"), "_part"
+    )
+    same = (
+        (F.col("kind") == F.col("_kind")) & (F.col("key") == F.col("_key"))
+        & F.col("publisher").eqNullSafe(F.col("_publisher"))
+    )
+    own = F.when(F.col("publisher").isNull(), 1).otherwise(F.col("_part"))
+    sized = members.join(part, same).join(whole, ["kind", "key"]).select(
+        "dataset_id", "kind", (F.col("members") - own).alias("degree")
     )
     successors = successor_edges(catalog)
     directed = successors.select(F.explode(F.array("from_id", "to_id")).alias("dataset_id"), "kind").select(

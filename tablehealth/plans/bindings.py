@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +45,23 @@ class Tables:
         self.spark = configure(spark)
         self.directory = directory
 
+    # frames persisted for the query built last; see ``_shared``
+    _held: list[DataFrame] = []
+
+    def _shared(self, df: DataFrame) -> DataFrame:
+        """Keep a per-dataset table that several branches of one query read.
+
+        Only tables with one row per dataset are kept, never observations. A lost
+        executor costs a recomputation, not the query.
+        """
+        Tables._held.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return df
+
+    @staticmethod
+    def release() -> None:
+        while Tables._held:
+            Tables._held.pop().unpersist()
+
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.directory}/{name}.parquet")
 
@@ -80,7 +98,7 @@ class Tables:
             (k % 11 == 0).alias("record_count_estimated"),
             F.when(outcome == "timeout", F.lit(None)).when((outcome == "error") & (k % 10 == 1), 404)
             .when(outcome == "error", 503).otherwise(200).cast("int").alias("http_status"),
-            F.col("value").alias("latency_ms"),
+            F.floor("value").cast("double").alias("latency_ms"),
             outcome.alias("probe_outcome"),
             F.when(outcome == "timeout", "request timed out").when(outcome == "error", "probe failed").alias("message"),
             _label("Dataset ", n).alias("name"),
@@ -165,7 +183,9 @@ class Tables:
 
     @cached_property
     def bare_snapshot(self) -> DataFrame:
-        return snapshot.build_snapshot(self.probes_at(AS_OF), self.catalog, self.previous, checked_at=AS_OF)
+        return self._shared(
+            snapshot.build_snapshot(self.probes_at(AS_OF), self.catalog, self.previous, checked_at=AS_OF)
+        )
 
     @cached_property
     def anomalies(self) -> DataFrame:
@@ -178,11 +198,11 @@ class Tables:
 
     @cached_property
     def trends(self) -> DataFrame:
-        return signals.trend(self.catalog, self.history, as_of=AS_OF)
+        return self._shared(signals.trend(self.catalog, self.history, as_of=AS_OF))
 
     @cached_property
     def drifts(self) -> DataFrame:
-        return drift_ops.drift(self.catalog, self.snapshot, self.history, as_of=AS_OF)
+        return self._shared(drift_ops.drift(self.catalog, self.bare_snapshot, self.history, as_of=AS_OF))
 
     @cached_property
     def seeds(self) -> DataFrame:
@@ -205,16 +225,16 @@ class Tables:
 
     @cached_property
     def group_members(self) -> DataFrame:
-        return reconcile.discover_groups(self.catalog, self.seeds)
+        return self._shared(reconcile.discover_groups(self.catalog, self.seeds))
 
     @cached_property
     def groups(self) -> DataFrame:
-        return reconcile.reconcile(self.group_members, self.catalog, self.snapshot)
+        return self._shared(reconcile.reconcile(self.group_members, self.catalog, self.bare_snapshot))
 
     @cached_property
     def scores(self) -> DataFrame:
         return trust.trust_score(
-            self.catalog, self.snapshot, self.trends, self.drifts,
+            self.catalog, self.bare_snapshot, self.trends, self.drifts,
             trust.verdict_by_dataset(self.group_members, self.groups),
         )
 

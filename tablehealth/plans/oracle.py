@@ -59,7 +59,7 @@ SELECT {dataset_id('n')} AS dataset_id, ts AS observed_at, strftime(ts, '%Y-%m-%
   CAST(floor(value * 10) AS BIGINT) AS record_count, k % 11 = 0 AS record_count_estimated,
   CASE WHEN outcome = 'timeout' THEN NULL WHEN outcome = 'error' AND k % 10 = 1 THEN 404
        WHEN outcome = 'error' THEN 503 ELSE 200 END AS http_status,
-  value AS latency_ms, outcome AS probe_outcome,
+  floor(value) AS latency_ms, outcome AS probe_outcome,
   CASE outcome WHEN 'timeout' THEN 'request timed out' WHEN 'error' THEN 'probe failed' END AS message,
   'Dataset ' || n AS name,
   'https://host' || (n % 7) || '.example.org/d/' || n || CASE WHEN n % 6 = 0 AND di >= 15 THEN '?v=2' ELSE '' END AS url,
@@ -316,6 +316,132 @@ FROM (SELECT *, shape_changed OR coalesce(column_changed, false) AS structural,
             LEFT JOIN rtrend r ON r.dataset_id = c.dataset_id))"""
 
 
+# ---- reconciliation ----------------------------------------------------------
+
+
+def words(value: str) -> str:
+    return f"trim(regexp_replace(lower(coalesce({value}, '')), '[^a-z0-9]+', ' ', 'g'))"
+
+
+def title(value: str) -> str:
+    stripped = f"regexp_replace({value}, '(?i)^(data\\.gov\\.my|opendosm|dosm)\\s*[:\\-–—]?\\s*', '')"
+    return words(stripped)
+
+
+def canonical_url(url: str) -> str:
+    path = f"rtrim(regexp_extract({url}, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/')"
+    query = f"array_to_string(list_sort(string_split(regexp_extract({url}, '[?]([^#]*)', 1), '&')), '&')"
+    return f"""(lower(regexp_extract({url}, '^([A-Za-z]+)://', 1)) || '://' || lower(regexp_extract({url}, '^[A-Za-z]+://([^/?#]*)', 1))
+      || CASE {path} WHEN '' THEN '/' ELSE {path} END || CASE {query} WHEN '' THEN '' ELSE '?' || {query} END)"""
+
+
+def signature(dataset_id: str, name: str) -> str:
+    terms = "[" + ", ".join(f"'{t}'" for t in params.GRANULARITY_TERMS) + "]"
+    return f"list_filter({terms}, lambda x: list_contains(string_split({words(f"{dataset_id} || ' ' || {name}")}, ' '), x))"
+
+
+TABLES["m_seed"] = """
+SELECT 'seed:pair-' || a.n AS group_key, a.name AS logical_name, 'seed' AS grouping_method,
+  CASE WHEN (a.n // 30) % 3 = 2 THEN 'different_granularity' ELSE 'equivalent' END AS relationship, 'reviewed' AS confidence,
+  unnest([a.dataset_id, b.dataset_id]) AS dataset_id,
+  CASE WHEN (a.n // 30) % 2 = 0 THEN 'strict' ELSE 'context_only' END AS record_count_policy, 5.0 AS record_count_tolerance_pct,
+  2 AS content_date_tolerance_days, 'reviewed pair' AS rationale
+FROM cat a JOIN cat b ON b.n = a.n + 1 WHERE a.n % 30 = 1"""
+
+TABLES["m_url"] = f"""
+SELECT 'url:' || substr(sha256(u), 1, 16) AS group_key, arg_min(name, dataset_id) OVER (PARTITION BY u) AS logical_name,
+  'exact_url' AS grouping_method, 'equivalent' AS relationship, 'high' AS confidence, dataset_id,
+  'strict' AS record_count_policy, 0.0 AS record_count_tolerance_pct, 0 AS content_date_tolerance_days,
+  'members publish the same canonical URL: ' || u AS rationale
+FROM (SELECT *, count(*) OVER (PARTITION BY u) AS size FROM (SELECT *, {canonical_url('url')} AS u FROM cat)
+      WHERE dataset_id NOT IN (SELECT dataset_id FROM m_seed)) WHERE size >= 2"""
+
+TABLES["m_title"] = f"""
+SELECT 'name:' || replace(cu, ' ', '-') || ':' || replace(ti, ' ', '-') || ':'
+    || substr(sha256('["' || cu || '","' || ti || '","' || fr || '",' || CAST(to_json(sg) AS VARCHAR) || ']'), 1, 12) AS group_key,
+  arg_min(name, dataset_id) OVER (PARTITION BY cu, ti, fr, sg) AS logical_name, 'semantic_title' AS grouping_method,
+  'equivalent' AS relationship, 'moderate' AS confidence, dataset_id, 'context_only' AS record_count_policy,
+  5.0 AS record_count_tolerance_pct, 2 AS content_date_tolerance_days,
+  'exact semantic title, custodian, cadence, and granularity match across endpoint channels' AS rationale
+FROM (SELECT *, count(*) OVER (PARTITION BY cu, ti, fr, sg) AS size, min(ch) OVER (PARTITION BY cu, ti, fr, sg) AS low,
+        max(ch) OVER (PARTITION BY cu, ti, fr, sg) AS high
+      FROM (SELECT *, {words('custodian')} AS cu, {title('name')} AS ti, {words('refresh_frequency')} AS fr,
+              {signature('dataset_id', 'name')} AS sg, lower(regexp_extract(url, '//([^/?#]*)', 1)) AS ch FROM cat
+            WHERE dataset_id NOT IN (SELECT dataset_id FROM m_seed) AND dataset_id NOT IN (SELECT dataset_id FROM m_url)))
+WHERE size >= 2 AND low <> high"""
+
+TABLES["members"] = "SELECT * FROM m_seed UNION ALL SELECT * FROM m_url UNION ALL SELECT * FROM m_title"
+
+TABLES["detail"] = """
+SELECT m.*, coalesce(s.status, 'unknown') AS status,
+  CASE WHEN s.status IN ('fresh', 'aging', 'stale', 'unknown-freshness', 'reference') THEN 'available'
+       WHEN s.status IN ('degraded', 'unavailable', 'discontinued') THEN 'failed' ELSE 'unknown' END AS availability_class,
+  s.record_count, coalesce(s.record_count_estimated, false) AS record_count_estimated, s.content_freshness_date AS content_date
+FROM members m LEFT JOIN bare s ON s.dataset_id = m.dataset_id"""
+
+# all pairs of a group, compared one by one
+TABLES["pairs"] = f"""
+SELECT *, CASE WHEN largest = 0 THEN 0.0 ELSE {pub('100.0 * abs(record_count_delta) / largest', 3)} END AS record_count_delta_pct
+FROM (SELECT a.group_key, a.dataset_id AS left_id, b.dataset_id AS right_id, b.record_count - a.record_count AS record_count_delta,
+        CASE WHEN a.record_count IS NOT NULL AND b.record_count IS NOT NULL THEN greatest(abs(a.record_count), abs(b.record_count)) END AS largest,
+        CASE WHEN a.record_count_policy = 'strict' AND NOT a.record_count_estimated AND NOT b.record_count_estimated
+             THEN abs(b.record_count - a.record_count) <= CASE WHEN a.record_count_tolerance_pct = 0 THEN 0
+               ELSE greatest(1.0, greatest(a.record_count, b.record_count) * a.record_count_tolerance_pct / 100) END END AS record_count_within_tolerance,
+        abs(b.content_date - a.content_date) AS content_date_delta_days,
+        abs(b.content_date - a.content_date) <= a.content_date_tolerance_days AS content_date_within_tolerance,
+        CASE WHEN a.availability_class <> 'unknown' AND b.availability_class <> 'unknown'
+             THEN a.availability_class = b.availability_class END AS availability_match
+      FROM detail a JOIN detail b ON a.group_key = b.group_key AND a.dataset_id < b.dataset_id)"""
+
+TABLES["groups"] = """
+SELECT m.group_key, any_value(m.logical_name) AS logical_name, any_value(m.grouping_method) AS grouping_method,
+  any_value(m.relationship) AS relationship, any_value(m.record_count_policy) AS record_count_policy, count(*) AS member_count,
+  CASE WHEN any_value(m.relationship) = 'different_granularity' THEN 'different_granularity'
+       WHEN any_value(p.failed) THEN 'discrepancy' WHEN any_value(p.evidence) THEN 'agree' ELSE 'insufficient_data' END AS verdict
+FROM members m LEFT JOIN (SELECT group_key,
+    bool_or(coalesce(NOT record_count_within_tolerance, false) OR coalesce(NOT content_date_within_tolerance, false)
+            OR coalesce(NOT availability_match, false)) AS failed,
+    bool_or(record_count_within_tolerance IS NOT NULL OR content_date_within_tolerance IS NOT NULL) AS evidence
+  FROM pairs GROUP BY group_key) p ON p.group_key = m.group_key
+GROUP BY m.group_key"""
+
+# ---- graph: all pairs of datasets that share a declared value ----
+TABLES["cliques"] = """
+SELECT 'same_steward' AS kind, source || '|' || steward AS key, CAST(NULL AS VARCHAR) AS publisher, dataset_id FROM cat
+  WHERE source IS NOT NULL AND steward IS NOT NULL
+UNION ALL SELECT 'same_agency', steward, source, dataset_id FROM cat WHERE steward IS NOT NULL
+UNION ALL SELECT 'same_geography', geography, NULL, dataset_id FROM cat WHERE geography IS NOT NULL
+UNION ALL SELECT 'canonical_series', series_code, NULL, dataset_id FROM cat WHERE series_code IS NOT NULL
+UNION ALL SELECT 'shared_schema', schema_id, NULL, dataset_id FROM cat WHERE schema_id IS NOT NULL"""
+
+TABLES["edges"] = f"""
+SELECT a.kind, a.key, a.dataset_id AS from_id, b.dataset_id AS to_id, {case_of('a.kind', params.EDGE_WEIGHTS)} AS weight
+FROM cliques a JOIN cliques b ON a.kind = b.kind AND a.key = b.key AND a.dataset_id < b.dataset_id
+WHERE coalesce(a.publisher <> b.publisher, true)
+UNION ALL SELECT 'successor_to', NULL, dataset_id, supersedes_id, 3 FROM cat WHERE supersedes_id IS NOT NULL"""
+
+# ---- trust ----
+_COMPONENTS = (("fresh", "0.3"), ("reliability", "0.3"), ("trend", "0.2"), ("drift", "0.1"), ("agree", "0.1"))
+_WEIGHT = " + ".join(f"CASE WHEN p_{name} THEN CAST({w} AS DOUBLE) ELSE 0.0 END" for name, w in _COMPONENTS)
+_SCORE = " + ".join(f"CASE WHEN p_{name} THEN CAST({w} AS DOUBLE) / w * c_{name} ELSE 0.0 END" for name, w in _COMPONENTS)
+
+TABLES["scores"] = f"""
+SELECT dataset_id, status, CASE WHEN status = 'stale' AND staleness_days >= 365 THEN least(floored, 30.0) ELSE floored END AS score,
+  c_fresh, c_reliability, c_trend, c_drift, c_agree, p_fresh, p_reliability, p_trend, p_drift, p_agree, observed_at
+FROM (SELECT *, greatest(CASE WHEN w > 0 THEN {pub(_SCORE, 1)} ELSE 50.0 END, 25.0) AS floored
+  FROM (SELECT *, {_WEIGHT} AS w
+    FROM (SELECT c.dataset_id, s.status, s.staleness_days, s.last_checked AS observed_at,
+        CAST({case_of('s.status', params.STATUS_SCORE, '50')} AS DOUBLE) AS c_fresh, coalesce(t.publish_on_time_pct, 50.0) AS c_reliability,
+        CAST({case_of('t.trend', params.TREND_SCORE, '50')} AS DOUBLE) AS c_trend, CAST({case_of('d.verdict', params.DRIFT_SCORE, '50')} AS DOUBLE) AS c_drift,
+        CAST({case_of('g.verdict', params.RECON_SCORE, '50')} AS DOUBLE) AS c_agree,
+        s.dataset_id IS NOT NULL AS p_fresh, t.publish_on_time_pct IS NOT NULL AS p_reliability,
+        coalesce(t.trend <> 'insufficient_data', false) AS p_trend, coalesce(d.verdict <> 'insufficient_data', false) AS p_drift,
+        coalesce(g.verdict <> 'insufficient_data', false) AS p_agree
+      FROM cat c LEFT JOIN bare s ON s.dataset_id = c.dataset_id LEFT JOIN trends t ON t.dataset_id = c.dataset_id
+      LEFT JOIN drifts d ON d.dataset_id = c.dataset_id
+      LEFT JOIN (SELECT m.dataset_id, g.verdict FROM members m JOIN groups g ON g.group_key = m.group_key) g ON g.dataset_id = c.dataset_id)))"""
+
+
 def with_tables(sql: str) -> str:
     """The statement with the derived tables it needs in front, in definition order."""
     needed: set[str] = set()

@@ -44,7 +44,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     _load()
 
     def runner(build):
-        return lambda spark, directory: present(build(Tables(spark, directory)))
+        def run(spark: SparkSession, directory: str) -> DataFrame:
+            Tables.release()
+            return present(build(Tables(spark, directory)))
+        return run
 
     return {name: runner(build) for name, build in _QUERIES.items()}
 
