@@ -26,12 +26,36 @@ def duplicates(df: DataFrame, keys: list[str], rule: str) -> DataFrame:
     return _findings(repeated, rule, F.concat_ws("|", *keys), F.col("_n"))
 
 
+def _presence(tables: Mapping[str, DataFrame], key: str) -> DataFrame:
+    """Occurrences of every key in every table, by one grouping over the union of the keys."""
+    labels = list(tables)
+    marked = [
+        tables[label].select(F.col(key).alias("_id"), F.lit(i).alias("_table")) for i, label in enumerate(labels)
+    ]
+    return reduce(DataFrame.unionByName, marked).groupBy("_id").agg(
+        *[F.count_if(F.col("_table") == i).alias(f"_n{i}") for i in range(len(labels))]
+    )
+
+
+def _explode_findings(df: DataFrame, rules: list[tuple[Column, str, Column | None]]) -> DataFrame:
+    """One finding per row and violated rule; ``df`` has ``_id``."""
+    items = F.array(*[
+        F.when(broken, F.struct(
+            F.lit(rule).alias("rule"), F.col("_id").cast("string").alias("subject"),
+            (F.lit(None) if detail is None else detail).cast("string").alias("detail"),
+        ))
+        for broken, rule, detail in rules
+    ])
+    return df.select(F.inline(F.filter(items, lambda item: item.isNotNull())))
+
+
 def id_set_findings(left: DataFrame, right: DataFrame, *, key: str = "dataset_id", left_name: str = "catalogue", right_name: str = "health") -> DataFrame:
     """Ids on one side only, and ids that occur twice on the right."""
-    return _all([
-        _findings(left.select(key).distinct().join(right.select(key), key, "left_anti"), f"missing from {right_name}", key),
-        _findings(right.select(key).distinct().join(left.select(key), key, "left_anti"), f"missing from {left_name}", key),
-        duplicates(right, [key], f"duplicate in {right_name}"),
+    here, there = F.col("_n0"), F.col("_n1")
+    return _explode_findings(_presence({left_name: left, right_name: right}, key), [
+        ((here > 0) & (there == 0), f"missing from {right_name}", None),
+        ((here == 0) & (there > 0), f"missing from {left_name}", None),
+        (there > 1, f"duplicate in {right_name}", there),
     ])
 
 
@@ -98,14 +122,29 @@ def output_invariants(
             outside = table.where(~F.coalesce(F.col(column).isin(*domain), F.lit(False)))
             key = "group_key" if label == "reconciliation" else "dataset_id"
             parts.append(_findings(outside, f"{label}.{column} outside its domain", key, F.col(column)))
-    for table, label in ((trends, "trends"), (drifts, "drift"), (scores, "scores")):
-        if table is not None:
-            parts.append(id_set_findings(catalog, table, right_name=label))
+    keyed = {label: table for label, table in (("trends", trends), ("drift", drifts), ("scores", scores)) if table is not None}
+    tables = {"catalogue": catalog, **keyed}
     if members is not None:
-        parts.append(duplicates(members, ["dataset_id"], "dataset in more than one group"))
-        parts.append(_findings(
-            members.join(catalog, "dataset_id", "left_anti"), "group member missing from catalogue", "dataset_id"
-        ))
+        tables["groups"] = members
+    if edges is not None:
+        tables["edges"] = edges.select(F.explode(F.array("from_id", "to_id")).alias("dataset_id"))
+    counts = {label: F.col(f"_n{i}") for i, label in enumerate(tables)}
+    listed = counts["catalogue"] > 0
+    rules = []
+    for label in keyed:
+        rules += [
+            (listed & (counts[label] == 0), f"missing from {label}", None),
+            (~listed & (counts[label] > 0), "missing from catalogue", F.lit(label)),
+            (counts[label] > 1, f"duplicate in {label}", counts[label]),
+        ]
+    if members is not None:
+        rules += [
+            (~listed & (counts["groups"] > 0), "group member missing from catalogue", None),
+            (counts["groups"] > 1, "dataset in more than one group", counts["groups"]),
+        ]
+    if edges is not None:
+        rules.append((~listed & (counts["edges"] > 0), "edge endpoint missing from catalogue", None))
+    parts.append(_explode_findings(_presence(tables, "dataset_id"), rules))
     if scores is not None:
         parts.append(_findings(
             scores.where(~F.col("score").between(0, 100)), "score outside 0..100", "dataset_id", F.col("score")
@@ -117,6 +156,4 @@ def output_invariants(
         for kind, value in params.EDGE_WEIGHTS.items():
             weight = F.when(F.col("kind") == kind, value).otherwise(weight)
         parts.append(_findings(edges.where(~F.col("weight").eqNullSafe(weight)), "edge weight differs", "from_id", F.col("kind")))
-        ends = edges.select(F.explode(F.array("from_id", "to_id")).alias("dataset_id")).distinct()
-        parts.append(_findings(ends.join(catalog, "dataset_id", "left_anti"), "edge endpoint missing from catalogue", "dataset_id"))
     return _all(parts)

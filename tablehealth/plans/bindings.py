@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +18,7 @@ from tablehealth.functions.times import lit_instant
 from tablehealth.operators import drift as drift_ops
 from tablehealth.operators import reconcile, signals, snapshot, trust
 from tablehealth.operators.skew import latest_by
-from tablehealth.session import configure
+from tablehealth.session import configure, cut_lineage
 
 AS_OF = "2024-01-30 23:59:59"
 PREVIOUS_AT = "2024-01-23 23:59:59"
@@ -41,26 +40,23 @@ def _label(prefix: str, value: Column) -> Column:
 class Tables:
     """Lazy inputs for one data directory."""
 
-    def __init__(self, spark: SparkSession, directory: str):
+    def __init__(self, spark: SparkSession, directory: str, *, cut: bool = False):
         self.spark = configure(spark)
         self.directory = directory
+        self.cut = cut
 
-    # frames persisted for the query built last; see ``_shared``
-    _held: list[DataFrame] = []
-
-    def _shared(self, df: DataFrame) -> DataFrame:
-        """Keep a per-dataset table that several branches of one query read.
+    @cached_property
+    def stored(self) -> Tables:
+        """The same inputs with each derived per-dataset table written once.
 
-        Only tables with one row per dataset are kept, never observations. A lost
-        executor costs a recomputation, not the query.
+        For queries that read several derived tables in several branches: without a
+        cut every branch would plan and run the whole lineage again. Observations
+        are never written.
         """
-        Tables._held.append(df.persist(StorageLevel.MEMORY_AND_DISK))
-        return df
+        return Tables(self.spark, self.directory, cut=True)
 
-    @staticmethod
-    def release() -> None:
-        while Tables._held:
-            Tables._held.pop().unpersist()
+    def _shared(self, df: DataFrame) -> DataFrame:
+        return cut_lineage(df) if self.cut else df
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.directory}/{name}.parquet")
@@ -121,6 +117,9 @@ class Tables:
     @cached_property
     def catalog(self) -> DataFrame:
         """One entry per distinct user of the events table."""
+        return self._shared(self._catalog())
+
+    def _catalog(self) -> DataFrame:
         n = F.col("n")
         block, member = F.floor(n / 40), n % 20
         numbers = self.read("events").select(F.col("user_id").alias("n")).distinct()
@@ -179,7 +178,9 @@ class Tables:
 
     @cached_property
     def previous(self) -> DataFrame:
-        return snapshot.build_snapshot(self.probes_at(PREVIOUS_AT), self.catalog, None, checked_at=PREVIOUS_AT)
+        return self._shared(
+            snapshot.build_snapshot(self.probes_at(PREVIOUS_AT), self.catalog, None, checked_at=PREVIOUS_AT)
+        )
 
     @cached_property
     def bare_snapshot(self) -> DataFrame:
@@ -189,7 +190,7 @@ class Tables:
 
     @cached_property
     def anomalies(self) -> DataFrame:
-        return signals.detect_anomalies(self.catalog, self.bare_snapshot, self.history, as_of=AS_OF)
+        return self._shared(signals.detect_anomalies(self.catalog, self.bare_snapshot, self.history, as_of=AS_OF))
 
     @cached_property
     def snapshot(self) -> DataFrame:
@@ -233,10 +234,8 @@ class Tables:
 
     @cached_property
     def scores(self) -> DataFrame:
-        return trust.trust_score(
-            self.catalog, self.bare_snapshot, self.trends, self.drifts,
-            trust.verdict_by_dataset(self.group_members, self.groups),
-        )
+        verdicts = trust.verdict_by_dataset(self.group_members, self.groups)
+        return self._shared(trust.trust_score(self.catalog, self.bare_snapshot, self.trends, self.drifts, verdicts))
 
     @cached_property
     def usage(self) -> DataFrame:

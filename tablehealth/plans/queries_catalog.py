@@ -72,7 +72,7 @@ def _discover_groups(t: Tables):
 SELECT group_key, logical_name, grouping_method, relationship, record_count_policy, member_count, verdict,
   verdict = 'discrepancy' AS requires_human_review FROM groups""")
 def _reconcile(t: Tables):
-    return t.groups.select(
+    return t.stored.groups.select(
         "group_key", "logical_name", "grouping_method", "relationship", "record_count_policy", "member_count", "verdict",
         "requires_human_review",
     )
@@ -83,7 +83,7 @@ SELECT group_key, left_id, right_id, record_count_delta, record_count_delta_pct,
   content_date_delta_days, content_date_within_tolerance, availability_match FROM pairs p
 WHERE left_id = (SELECT min(dataset_id) FROM members m WHERE m.group_key = p.group_key)""")
 def _compare_with_anchor(t: Tables):
-    return reconcile.compare_with_anchor(reconcile.member_rows(t.group_members, t.catalog, t.bare_snapshot))
+    return reconcile.compare_with_anchor(reconcile.member_rows(t.stored.group_members, t.stored.catalog, t.stored.bare_snapshot))
 
 
 @query("compare_for", """
@@ -91,8 +91,8 @@ SELECT group_key, left_id, right_id, record_count_delta, record_count_delta_pct,
   content_date_delta_days, content_date_within_tolerance, availability_match FROM pairs
 WHERE left_id IN (SELECT dataset_id FROM bare WHERE status = 'stale') OR right_id IN (SELECT dataset_id FROM bare WHERE status = 'stale')""")
 def _compare_for(t: Tables):
-    rows = reconcile.member_rows(t.group_members, t.catalog, t.bare_snapshot)
-    return reconcile.compare_for(rows, t.bare_snapshot.where(F.col("status") == "stale"))
+    rows = reconcile.member_rows(t.stored.group_members, t.stored.catalog, t.stored.bare_snapshot)
+    return reconcile.compare_for(rows, t.stored.bare_snapshot.where(F.col("status") == "stale"))
 
 
 @query("catalog_graph", """
@@ -158,10 +158,10 @@ def _integrity_findings(t: Tables):
 
 @query("output_invariants")
 def _output_invariants(t: Tables):
-    focus = t.catalog.where(F.col("data_type") == "reference")
+    s = t.stored
+    edges = graph.edges_of(s.catalog, s.catalog.where(F.col("data_type") == "reference"))
     return integrity.output_invariants(
-        t.catalog, trends=t.trends, drifts=t.drifts, members=t.group_members, groups=t.groups, scores=t.scores,
-        edges=graph.edges_of(t.catalog, focus),
+        s.catalog, trends=s.trends, drifts=s.drifts, members=s.group_members, groups=s.groups, scores=s.scores, edges=edges
     )
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that may be changed on a running session. All day arithmetic in the
 # package is UTC calendar arithmetic, so the time zone is not negotiable.
@@ -37,3 +39,21 @@ def local_session(cpus: int | str = "*", app: str = "tablehealth", **conf: str)
     spark = configure(builder.getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write the frame to the cluster's checkpoint folder and continue from there.
+
+    The folder is the one the session names in ``spark.checkpoint.dir``. Only a local
+    session without that setting gets a temporary folder of its own.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
+            folder = tempfile.mkdtemp(prefix="tablehealth-")
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
