@@ -74,6 +74,11 @@ def to_observations(snapshot: DataFrame, catalog: DataFrame, *, cycle: str, obse
     )
 
 
+def keyed_history(rows: DataFrame) -> DataFrame:
+    """One row per (dataset_id, cycle): the one loaded last."""
+    return latest_by(rows, ["dataset_id", "cycle"], F.coalesce(F.col("seq"), F.lit(0))).select(*rows.columns)
+
+
 def upsert_history(prior: DataFrame, current: DataFrame, *, prior_is_keyed: bool = False) -> DataFrame:
     """Last write wins on (dataset_id, cycle).
 
@@ -84,7 +89,7 @@ def upsert_history(prior: DataFrame, current: DataFrame, *, prior_is_keyed: bool
     keys = ["dataset_id", "cycle"]
     newest = F.struct("_load", F.coalesce(F.col("seq"), F.lit(0)))
     if prior_is_keyed:
-        fresh = latest_by(current.withColumn("_load", F.lit(1)), keys, newest).drop("_load")
+        fresh = keyed_history(current)
         return prior.join(fresh.select(*keys), keys, "left_anti").unionByName(fresh.select(*prior.columns))
     both = prior.withColumn("_load", F.lit(0)).unionByName(current.withColumn("_load", F.lit(1)))
     return latest_by(both, keys, newest).drop("_load").select(*prior.columns)
