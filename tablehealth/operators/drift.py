@@ -11,7 +11,7 @@ from tablehealth import params
 from tablehealth.functions import times
 from tablehealth.functions.numbers import published
 from tablehealth.operators import history as hist
-from tablehealth.operators.skew import change_runs, latest_by
+from tablehealth.operators.skew import change_events, change_runs, latest_by
 
 _FIELDS = ("shape_hash", "column_count")
 
@@ -76,6 +76,11 @@ def _transitions(rows: DataFrame) -> DataFrame:
     )
 
 
+def transition_events(history: DataFrame, *, fields: tuple[str, ...] = ("status", *_FIELDS)) -> DataFrame:
+    """Every adjacent change of status, shape and column count of a history."""
+    return change_events(history, "dataset_id", "observed_at", "cycle", fields)
+
+
 def record_trend(
     history: DataFrame,
     daily: DataFrame | None = None,

@@ -149,13 +149,11 @@ def _distribution(names: tuple[str, ...], counts: list[Column]) -> Column:
     return F.create_map(*pairs)
 
 
-def aggregate_daily(history: DataFrame) -> DataFrame:
-    """One row per (dataset, UTC day): counts, means and three kinds of latest evidence."""
-    rows = history.withColumn("date", times.utc_day(F.col("observed_at")))
+def _daily_aggregates(columns: list[str]) -> list[Column]:
     order = _latest_first_loaded()
     success = F.col("probe_outcome") == "success"
-    evaluable = times.freshness_evaluable({name: F.col(name) for name in rows.columns})
-    grouped = rows.groupBy("dataset_id", "date").agg(
+    evaluable = times.freshness_evaluable({name: F.col(name) for name in columns})
+    return [
         F.min("observed_at").alias("first_observed_at"),
         F.max("observed_at").alias("last_observed_at"),
         F.count("*").alias("observations"),
@@ -170,20 +168,37 @@ def aggregate_daily(history: DataFrame) -> DataFrame:
         F.max_by(_evidence(), order).alias("latest_observation"),
         F.max_by(_evidence(), F.when(success, order)).alias("latest_successful_observation"),
         F.max_by(_evidence(), F.when(evaluable, order)).alias("latest_successful_evaluable_observation"),
-    )
-    return _daily_shape(grouped)
+    ]
+
+
+def aggregate_daily(history: DataFrame) -> DataFrame:
+    """One row per (dataset, UTC day): counts, means and three kinds of latest evidence.
+
+    Also works on a stream with a watermark on ``observed_at``: the day is a
+    tumbling window, so a finished day is emitted once.
+    """
+    day = F.window("observed_at", "1 day")
+    grouped = history.groupBy("dataset_id", day).agg(*_daily_aggregates(history.columns))
+    return _daily_shape(grouped.withColumn("date", F.to_date("window.start")))
 
 
 def merge_daily(stored: DataFrame, new: DataFrame) -> DataFrame:
     """Combine stored and new aggregates of the same (dataset, day); both are partial results."""
-    both = stored.withColumn("_rank", F.lit(1)).unionByName(new.withColumn("_rank", F.lit(0)))
+    return combine_daily(stored.withColumn("_rank", F.lit(1)).unionByName(new.withColumn("_rank", F.lit(0))))
+
+
+def combine_daily(partials: DataFrame) -> DataFrame:
+    """One aggregate per (dataset, day) from any number of partial ones.
+
+    ``_rank`` settles equal timestamps in the evidence: the greater rank is kept.
+    """
 
     def latest(name: str, keep) -> Column:
         item = F.col(name)
         order = F.struct(item["observed_at"], F.col("_rank"))
         return F.max_by(item, F.when(item["observed_at"].isNotNull() & keep(item), order)).alias(name)
 
-    grouped = both.groupBy("dataset_id", "date").agg(
+    grouped = partials.groupBy("dataset_id", "date").agg(
         F.min("first_observed_at").alias("first_observed_at"),
         F.max("last_observed_at").alias("last_observed_at"),
         F.sum("observations").alias("observations"),

@@ -111,12 +111,41 @@ def change_runs(
     return chunks.groupBy(key).agg(*final)
 
 
-def with_group_counts(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column]) -> DataFrame:
-    """Attach per-group aggregates to every row without gathering the group.
+def change_events(
+    rows: DataFrame, key: str, ts: str, tie: str, fields: Sequence[str], *, chunk: str = "hour"
+) -> DataFrame:
+    """The changes themselves: ``key, field, from_value, to_value, at``, nulls skipped.
 
-    The aggregates combine on the map side; the join back is left to adaptive
-    execution, which broadcasts a small group table and splits skewed partitions
-    of a large one.
+    Changes inside a chunk come from that chunk's rows, changes between chunks from
+    one head and one tail per chunk.
     """
-    groups = df.groupBy(*keys).agg(*aggs)
-    return df.join(groups, list(keys), "left")
+    steps = rows.withColumn("_chunk", F.date_trunc(chunk, ts))
+    order = F.struct(ts, tie)
+    before = Window.partitionBy(key, "_chunk").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, -1)
+    for field in fields:
+        steps = steps.withColumn(f"_prev_{field}", F.last(field, ignorenulls=True).over(before))
+
+    def event(field: str, was: Column, now: Column, at: Column) -> Column:
+        return F.when(was != now, F.struct(
+            F.lit(field).alias("field"), was.cast("string").alias("from_value"), now.cast("string").alias("to_value"), at.alias("at"),
+        ))
+
+    def events(df: DataFrame, items: list[Column]) -> DataFrame:
+        return df.select(key, F.inline(F.filter(F.array(*items), lambda item: item.isNotNull())))
+
+    inside = events(steps, [event(f, F.col(f"_prev_{f}"), F.col(f), F.col(ts)) for f in fields])
+    ends = []
+    for field in fields:
+        present = F.when(F.col(field).isNotNull(), order)
+        ends += [
+            F.min_by(F.struct(F.col(field).alias("v"), F.col(ts).alias("t")), present).alias(f"_{field}_head"),
+            F.max_by(F.col(field), present).alias(f"_{field}_tail"),
+        ]
+    chunks = steps.groupBy(key, "_chunk").agg(*ends)
+    across = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    for field in fields:
+        chunks = chunks.withColumn(f"_{field}_before", F.last(f"_{field}_tail", ignorenulls=True).over(across))
+    between = events(chunks, [
+        event(f, F.col(f"_{f}_before"), F.col(f"_{f}_head")["v"], F.col(f"_{f}_head")["t"]) for f in fields
+    ])
+    return inside.unionByName(between)

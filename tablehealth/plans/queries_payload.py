@@ -152,10 +152,26 @@ def _distinct_shapes(t: Tables):
     return profile.distinct_shapes(_varied_props(t), json_col="props", group_cols=["event_type"])
 
 
-@query("infer_fields", """
-SELECT * FROM (VALUES (0, 'o_orderkey', 'integer'), (1, 'total', 'number'), (2, 'day', 'date'), (3, 'stamp', 'date'), (4, 'flag', 'boolean'),
-  (5, 'blank', 'string'), (6, 'o_orderpriority', 'string'), (7, 'mixed', 'number'), (8, 'mixture', 'string'), (9, 'native', 'number'))
-  v(position, name, type) WHERE (SELECT count(*) FROM orders) > 0""")
+def _kind_sql(value: str) -> str:
+    """Type of one text value, and the merged type of all of them."""
+    kind = f"""CASE WHEN {value} IS NULL OR {value} = '' THEN NULL WHEN regexp_full_match({value}, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}([T ][^ ]+)?') THEN 'date'
+      WHEN lower({value}) IN ('true', 'false') THEN 'boolean' WHEN regexp_full_match({value}, '[+-]?[0-9]+') THEN 'integer'
+      WHEN regexp_full_match({value}, '[+-]?([0-9]+[.][0-9]*|[0-9]*[.][0-9]+)([Ee][+-]?[0-9]+)?') THEN 'number' ELSE 'string' END"""
+    return f"""(SELECT CASE WHEN count(k) = 0 THEN 'string' WHEN bool_and(k IN ('integer', 'number')) THEN max(k) WHEN count(DISTINCT k) = 1 THEN max(k) ELSE 'string' END
+      FROM (SELECT {kind} AS k FROM orders) WHERE k IS NOT NULL)"""
+
+
+_DAY_SQL = "strftime(o_orderdate, '%Y-%m-%d')"
+_FIELD_SQL = {
+    "o_orderkey": "CAST(o_orderkey AS VARCHAR)", "total": "CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR)", "day": _DAY_SQL,
+    "stamp": f"({_DAY_SQL} || 'T00:00:00Z')", "flag": "CASE WHEN o_orderkey % 2 = 0 THEN 'TRUE' ELSE 'false' END", "blank": "''",
+    "o_orderpriority": "o_orderpriority", "mixed": "CASE WHEN o_orderkey % 2 = 0 THEN '12' ELSE '-1.5e3' END",
+    "mixture": f"CASE WHEN o_orderkey % 2 = 0 THEN {_DAY_SQL} ELSE '7' END", "native": "CAST(CAST(o_totalprice AS DECIMAL(18,4)) AS VARCHAR)",
+}
+
+
+@query("infer_fields", " UNION ALL ".join(
+    f"SELECT {i} AS position, '{name}' AS name, {_kind_sql(value)} AS type" for i, (name, value) in enumerate(_FIELD_SQL.items())))
 def _infer_fields(t: Tables):
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
     even = F.col("o_orderkey") % 2 == 0

@@ -9,6 +9,7 @@ from tablehealth.operators import profile, ranked
 from tablehealth.plans.bindings import AS_OF, Tables
 from tablehealth.plans.oracle import NOW, in_list
 from tablehealth.plans.registry import query
+from tablehealth.sources import exports
 
 
 def _occurrences(column: str, term: str) -> str:
@@ -259,3 +260,29 @@ def _robots_block_filter(t: Tables):
     body = ranked.cadence.lookup(F.length("origin") % 5, bodies, F.lit(""))
     robots = origins.select("origin", body.alias("body"))
     return profile.robots_block_filter(t.read("pages").select("page_id", "url"), robots, user_agent="ProbeBot/1.0 (+https://example.org)")
+
+
+_SITE = "https://health.example.org"
+
+
+@query("to_jsonld", f"""
+SELECT c.dataset_id, '{_SITE}/data/' || c.dataset_id || '.md' AS id, c.url AS same_as, coalesce(s.status, 'unknown') AS freshness,
+  CAST(s.record_count AS VARCHAR) AS records, '2024-01-30' AS modified,
+  'Malaysian public dataset: ' || c.name || '. Steward: ' || coalesce(c.steward, 'unknown') || '. Source: ' || coalesce(c.source, 'unknown') || '.' AS description
+FROM cat c JOIN bare s ON s.dataset_id = c.dataset_id""")
+def _to_jsonld(t: Tables):
+    documents = exports.to_jsonld(t.catalog, t.bare_snapshot, base_url=_SITE, publisher="tablehealth")
+    paths = {
+        "id": "$['@id']", "same_as": "$.sameAs", "freshness": "$.variableMeasured[0].value", "records": "$.variableMeasured[1].value",
+        "modified": "$.dateModified", "description": "$.description",
+    }
+    return documents.select("dataset_id", *[F.get_json_object("document", path).alias(name) for name, path in paths.items()])
+
+
+@query("to_feed_rows", f"""
+SELECT dataset_id, '[' || st || '] ' || name AS title, '{_SITE}/data/' || dataset_id || '.md' AS link,
+  name || ': ' || st || '. ' || coalesce(message, 'No health data available') AS description, checked_at AS published_at
+FROM (SELECT c.dataset_id, c.name, CASE WHEN s.status = 'discontinued' OR s.status IS NULL THEN 'unknown' ELSE s.status END AS st, s.message, s.checked_at
+      FROM cat c LEFT JOIN (SELECT * FROM bare WHERE status <> 'stale') s ON s.dataset_id = c.dataset_id)""")
+def _to_feed_rows(t: Tables):
+    return exports.to_feed_rows(t.catalog, t.bare_snapshot.where(F.col("status") != "stale"), base_url=_SITE)
