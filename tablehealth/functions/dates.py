@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from tablehealth import params
 
 _MONTH_NUMBERS = {name: number for number, names in params.MONTHS.items() for name in names}
-_MONTH_WORDS = "|".join(sorted(_MONTH_NUMBERS, key=lambda name: (-len(name), name)))
 _ISO = r"(?<!\d)\d{4}-\d{2}-\d{2}(?!\d)"
-_DAY_FIRST = rf"(?i)(?<!\d)\d{{1,2}}\s+(?:{_MONTH_WORDS})\s+\d{{4}}(?!\d)"
-_MONTH_FIRST = rf"(?i)\b(?:{_MONTH_WORDS})\s+\d{{1,2}},?\s+\d{{4}}(?!\d)"
+# any word of month length: looking the word up afterwards is far cheaper than an
+# alternation of all month names at every position of a long text
+_DAY_FIRST = r"(?<!\d)\d{1,2}\s+[A-Za-z]{3,9}\s+\d{4}(?!\d)"
+_MONTH_FIRST = r"(?<![\p{L}\p{N}_])[A-Za-z]{3,9}\s+\d{1,2},?\s+\d{4}(?!\d)"
 
 
 def _valid_date(year: Column, month: Column, day: Column) -> Column:

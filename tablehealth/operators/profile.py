@@ -229,7 +229,8 @@ def min_max_date(
 
 def extract_text_dates(df: DataFrame, *, column: str, today, mode: str = "max") -> DataFrame:
     """The content date written in each row's text."""
-    return df.withColumn("content_date", pick_date(text_dates(F.col(column)), times.lit_day(today), mode=mode))
+    found = df.withColumn("_found", text_dates(F.col(column)))  # its own column, so the text is searched once
+    return found.withColumn("content_date", pick_date(F.col("_found"), times.lit_day(today), mode=mode)).drop("_found")
 
 
 def date_of_documents(df: DataFrame, *, column: str, today, mode: str = "max", group_cols: Sequence[str] = ()) -> DataFrame:

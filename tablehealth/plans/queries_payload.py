@@ -221,8 +221,12 @@ def _dated_documents(t: Tables) -> DataFrame:
 @query("extract_text_dates", f"""
 SELECT doc_id, CASE WHEN {_DAYS} <= {TODAY} THEN {_DAYS} WHEN {_DAYS} - 40 <= {TODAY} THEN {_DAYS} - 40 ELSE {_DAYS} END AS content_date, {_DAYS} - 40 AS earliest FROM documents""")
 def _extract_text_dates(t: Tables):
-    rows = profile.extract_text_dates(_dated_documents(t), column="text", today=_TODAY)
-    return rows.select("doc_id", "content_date", dates.pick_date(dates.text_dates(F.col("text")), times.lit_day(_TODAY), mode="min").alias("earliest"))
+    rows = _dated_documents(t).select("doc_id", dates.text_dates(F.col("text")).alias("found"))
+    today = times.lit_day(_TODAY)
+    return rows.select(
+        "doc_id", dates.pick_date(F.col("found"), today).alias("content_date"),
+        dates.pick_date(F.col("found"), today, mode="min").alias("earliest"),
+    )
 
 
 @query("date_of_documents", f"""
