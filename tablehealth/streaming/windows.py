@@ -44,7 +44,7 @@ def stream_heartbeat(stream: DataFrame, *, minutes: int = params.HEARTBEAT_MINUT
     The state of a dataset is one timestamp and a flag; its rows are only scanned
     for the latest success, batch by batch.
     """
-    wait = minutes * 60_000
+    wait = int(minutes * 60_000)
 
     def track(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, alerting = state.get if state.exists else (None, False)

@@ -15,7 +15,7 @@ from tablehealth import local_session  # noqa: E402
 def spark(tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("checkpoints"))
     return local_session(8, app="tests", **{
-        "spark.ui.showConsoleProgress": "false", "spark.checkpoint.dir": folder, "spark.sql.shuffle.partitions": "4",
+        "spark.ui.showConsoleProgress": "false", "spark.checkpoint.dir": folder, "spark.sql.shuffle.partitions": "2", "spark.driver.extraJavaOptions": "-XX:TieredStopAtLevel=1",
     })
 
 
