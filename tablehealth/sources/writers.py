@@ -8,22 +8,19 @@ from pyspark.sql import functions as F
 
 
 def write_snapshot(df: DataFrame, base: str, *, version: str) -> str:
-    """Write one complete version; readers of ``read_latest`` never see a partial one."""
-    path = f"{base}/version={version}"
+    """Write one complete version, then list it; readers only follow the list."""
+    path = f"{base}/data/version={version}"
     df.write.mode("overwrite").parquet(path)
+    df.sparkSession.range(1).select(F.lit(version).alias("version")).coalesce(1).write.mode("append").parquet(f"{base}/log")
     return path
 
 
 def read_latest(spark: SparkSession, base: str) -> DataFrame:
-    """The newest version whose job has committed (versions order as text)."""
-    markers = spark.read.format("binaryFile").option("pathGlobFilter", "_SUCCESS").option("recursiveFileLookup", "true")
-    try:
-        newest = markers.load(base).agg(F.max("path")).first()[0]
-    except AnalysisException:
-        newest = None
+    """The newest listed version (versions order as text)."""
+    newest = spark.read.schema("version STRING").parquet(f"{base}/log").agg(F.max("version")).first()[0]
     if newest is None:
-        raise ValueError(f"no committed version under {base}")
-    return spark.read.parquet(newest.rsplit("/", 1)[0])
+        raise ValueError(f"no version listed under {base}")
+    return spark.read.parquet(f"{base}/data/version={newest}")
 
 
 def _content(df: DataFrame) -> tuple:
