@@ -22,7 +22,8 @@ def _window_rows(history: DataFrame, daily: DataFrame | None, as_of, window_days
     columns = [
         "dataset_id", "observed_at", "cycle", "probe_outcome", "record_count", "shape_hash", "column_count", "seq",
     ]
-    rows = history.select(*columns).withColumn("_day", times.utc_day(F.col("observed_at")))
+    kept = hist.between(history, until=now) if daily is None else history  # later raw days still hide stored ones
+    rows = kept.select(*columns).withColumn("_day", times.utc_day(F.col("observed_at")))
     if daily is not None:
         stored = hist.daily_evidence(daily, "latest_observation").select(*columns).withColumn(
             "_day", times.utc_day(F.col("observed_at"))

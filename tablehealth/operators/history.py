@@ -111,6 +111,28 @@ def raw_over_daily(raw: DataFrame, daily: DataFrame, *, day: str = "date") -> Da
     return raw.unionByName(daily.join(raw_days, ["dataset_id", day], "left_anti"), allowMissingColumns=True)
 
 
+def between(
+    history: DataFrame, *, since: Column | None = None, before: Column | None = None, until: Column | None = None
+) -> DataFrame:
+    """Rows with ``since <= observed_at < before`` (or ``<= until``).
+
+    A history stored by UTC date (``write_history``) carries the partition column
+    ``date``; the same bounds are put on it, so whole partitions are skipped.
+    """
+    at, rows = F.col("observed_at"), history
+    partitioned = dict(history.dtypes).get("date") == "date"
+    if since is not None:
+        rows = rows.where(at >= since)
+        if partitioned:
+            rows = rows.where(F.col("date") >= F.to_date(since))
+    upper = until if before is None else before
+    if upper is not None:
+        rows = rows.where(at <= until if before is None else at < before)
+        if partitioned:
+            rows = rows.where(F.col("date") <= F.to_date(upper))
+    return rows
+
+
 def latest_per_day(
     history: DataFrame, *, first_day=None, last_day=None, require_age: bool = True, extra: tuple[str, ...] = ()
 ) -> DataFrame:
@@ -119,12 +141,9 @@ def latest_per_day(
     Adds ``day`` and ``age_days``. The day bounds are inclusive and become scan
     filters on ``observed_at``.
     """
-    rows = history
-    if first_day is not None:
-        rows = rows.where(F.col("observed_at") >= times.lit_day(first_day).cast("timestamp"))
-    if last_day is not None:
-        rows = rows.where(F.col("observed_at") < F.date_add(times.lit_day(last_day), 1).cast("timestamp"))
-    rows = rows.withColumn("day", times.utc_day(F.col("observed_at"))).withColumn(
+    since = None if first_day is None else times.lit_day(first_day).cast("timestamp")
+    before = None if last_day is None else F.date_add(times.lit_day(last_day), 1).cast("timestamp")
+    rows = between(history, since=since, before=before).withColumn("day", times.utc_day(F.col("observed_at"))).withColumn(
         "age_days",
         times.historical_age(
             F.col("observed_at"), F.col("probe_outcome"), F.col("last_modified"), F.col("content_date")
@@ -290,7 +309,7 @@ def history_slice(
     """One dataset's last days, oldest first, as one page."""
     days = min(params.MAX_SLICE_DAYS, max(1, days))
     since = times.lit_instant(as_of) - F.make_dt_interval(F.lit(days))
-    rows = history.where((F.col("dataset_id") == dataset_id) & (F.col("observed_at") >= since))
+    rows = between(history, since=since).where(F.col("dataset_id") == dataset_id)
     return rows.orderBy("observed_at", "cycle", "seq").offset(max(0, cursor)).limit(max(1, limit))
 
 

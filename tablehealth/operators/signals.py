@@ -200,7 +200,7 @@ def probe_counts(history: DataFrame, *, as_of: datetime | str) -> DataFrame:
     since_14d = now - F.make_dt_interval(F.lit(14))
     since_24h = now - F.make_dt_interval(F.lit(1))
     return (
-        history.where(F.col("observed_at") >= since_14d)
+        hist.between(history, since=since_14d)
         .groupBy("dataset_id")
         .agg(
             F.count("*").alias("probe_count_14d"),

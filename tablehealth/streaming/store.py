@@ -8,6 +8,8 @@ aggregates.
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta, timezone
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,46 +51,64 @@ class HistoryStore:
 
     ``upsert`` keys rows by (dataset_id, cycle); the raw table is partitioned by the
     cycle's date, which is part of the key, so versions of a row share a partition.
+    A row may be observed at most ``slack_days`` away from its cycle; this is checked
+    on arrival and lets compaction and reads skip all other partitions.
     """
 
-    def __init__(self, spark: SparkSession, base: str, *, retention_days: int = params.RETENTION_DAYS):
-        self.spark, self.retention_days = spark, retention_days
+    def __init__(self, spark: SparkSession, base: str, *, retention_days: int = params.RETENTION_DAYS, slack_days: int = 2):
+        self.spark, self.retention_days, self.slack = spark, retention_days, timedelta(days=slack_days)
         self.rows = EpochTable(spark, f"{base}/raw", f"{schemas.HISTORY}, cycle_date STRING", ("cycle_date",))
         self.aggregates = EpochTable(spark, f"{base}/daily", schemas.DAILY)
         self.cycles = EpochTable(spark, f"{base}/compacted_cycles", "cycle STRING")
         self.archive = EpochTable(spark, f"{base}/archive", f"{schemas.HISTORY}, month STRING", ("month",))
+        self.runs = EpochTable(spark, f"{base}/compactions", "cutoff STRING")
         self.columns = [part.strip().split(" ")[0] for part in schemas.HISTORY.replace("\n", " ").split(",")]
 
     def upsert(self, batch: DataFrame, epoch: int) -> None:
-        keyed = hist.keyed_history(batch.select(*self.columns))
-        self.rows.write(keyed.withColumn("cycle_date", F.substring("cycle", 1, 10)), epoch)
+        day = F.substring("cycle", 1, 10)
+        apart = F.abs(F.datediff(F.to_date("observed_at"), F.try_to_date(day, "yyyy-MM-dd")))
+        checked = F.when(apart <= self.slack.days, day).otherwise(
+            F.raise_error(F.concat(F.lit("observation too far from its cycle: "), F.col("dataset_id"), F.lit(" "), F.col("cycle"))).cast("string")
+        )
+        self.rows.write(hist.keyed_history(batch.select(*self.columns)).withColumn("cycle_date", checked), epoch)
 
-    def _current(self) -> DataFrame:
-        return latest_by(self.rows.read(), ["dataset_id", "cycle"], F.col("epoch")).select(*self.columns)
+    def _current(self, rows: DataFrame) -> DataFrame:
+        return latest_by(rows.drop("cycle_date"), ["dataset_id", "cycle"], F.col("epoch")).select(*self.columns)
 
-    def raw(self, *, now=None) -> DataFrame:
+    def _cutoff(self, now: str | datetime) -> datetime:
+        instant = now if isinstance(now, datetime) else datetime.fromisoformat(now.replace("Z", "+00:00"))
+        return instant.replace(tzinfo=instant.tzinfo or timezone.utc).astimezone(timezone.utc) - timedelta(days=self.retention_days)
+
+    def raw(self, *, now: str | datetime | None = None) -> DataFrame:
         """Current rows, without the expired ones when ``now`` is given."""
-        rows = self._current()
+        rows = self.rows.read()
         if now is None:
-            return rows
-        return rows.where(F.col("observed_at") >= self._cutoff(now))
-
-    def _cutoff(self, now):
-        return times.lit_instant(now) - F.make_dt_interval(F.lit(self.retention_days))
+            return self._current(rows)
+        cutoff = self._cutoff(now)
+        recent = rows.where(F.col("cycle_date") >= (cutoff - self.slack).date().isoformat())
+        return self._current(recent).where(F.col("observed_at") >= times.lit_instant(cutoff))
 
-    def compact(self, *, now, epoch: int) -> None:
+    def compact(self, *, now: str | datetime, epoch: int) -> None:
         """Aggregate and archive newly expired rows; rows of compacted cycles are left out.
 
-        The cycle index is written last: an interrupted run is repeated as a whole.
+        Reads only what can have changed since the last run: partitions around the
+        dates that expired in between, and late arrivals of newer epochs. The run is
+        recorded last, so an interrupted one is repeated as a whole.
         """
+        cutoff = self._cutoff(now)
+        rows = self.rows.read(before=epoch + 1).where(F.col("cycle_date") <= (cutoff + self.slack).date().isoformat())
+        last = self.runs.read(before=epoch).agg(F.max(F.struct("epoch", "cutoff")).alias("r")).first()["r"]  # one row
+        if last is not None:
+            since = (datetime.fromisoformat(last["cutoff"]) - self.slack).date().isoformat()
+            rows = rows.where((F.col("epoch") > last["epoch"]) | (F.col("cycle_date") >= since))
         done = self.cycles.read(before=epoch).select("cycle").distinct()
         result = hist.compact_history(
-            self._current(), None, done, now=now, retention_days=self.retention_days
+            self._current(rows), None, done, now=times.lit_instant(cutoff), retention_days=0
         )
         self.aggregates.write(result.daily, epoch)
         self.archive.write(result.archived.withColumn("month", F.date_format("observed_at", "yyyy-MM")), epoch)
-        new_cycles = result.compacted_cycles.join(done, "cycle", "left_anti")
-        self.cycles.write(new_cycles, epoch)
+        self.cycles.write(result.compacted_cycles.join(done, "cycle", "left_anti"), epoch)
+        self.runs.write(self.spark.createDataFrame([(cutoff.isoformat(),)], "cutoff STRING"), epoch)
 
     def daily(self) -> DataFrame:
         """One aggregate per (dataset, day): the epochs' partial results merged."""
@@ -119,24 +139,38 @@ class TransitionStore:
     fields = ("status", "shape_hash", "column_count")
     _state = "dataset_id STRING, observed_at TIMESTAMP, cycle STRING, status STRING, shape_hash STRING, column_count INT"
 
-    def __init__(self, spark: SparkSession, base: str):
+    def __init__(self, spark: SparkSession, base: str, *, full_every: int = 100):
+        self.full_every = full_every
         self.state = EpochTable(spark, f"{base}/state", self._state)
         self.changes = EpochTable(
             spark, f"{base}/events", "dataset_id STRING, field STRING, from_value STRING, to_value STRING, at TIMESTAMP"
         )
 
+    def _known(self, epoch: int) -> DataFrame:
+        """Last known values before an epoch; earlier epochs than the last full state are skipped."""
+        full = (epoch - 1) // self.full_every * self.full_every
+        return latest_by(
+            self.state.read(before=epoch).where(F.col("epoch") >= full), ["dataset_id"], F.col("epoch")
+        ).drop("epoch")
+
     def apply(self, batch: DataFrame, epoch: int) -> None:
-        """Events of one micro-batch in event-time order, seeded with the stored values."""
+        """Events of one micro-batch in event-time order, seeded with the stored values.
+
+        Every batch stores the values of the datasets it touched; every
+        ``full_every``-th stores those of all datasets, which bounds what is read.
+        """
         columns = ["dataset_id", "observed_at", "cycle", *self.fields]
-        arrived = batch.select(*columns)
-        seed = latest_by(self.state.read(before=epoch), ["dataset_id"], F.col("epoch")).select(*columns)
-        rows = arrived.unionByName(seed.join(arrived.select("dataset_id").distinct(), "dataset_id", "left_semi"))
+        arrived, known = batch.select(*columns), self._known(epoch).select(*columns)
+        touched = arrived.select("dataset_id").distinct()
+        rows = arrived.unionByName(known.join(touched, "dataset_id", "left_semi"))
         self.changes.write(drift.transition_events(rows, fields=self.fields), epoch)
         order = F.struct("observed_at", "cycle")
         last = rows.groupBy("dataset_id").agg(
             F.max("observed_at").alias("observed_at"), F.max_by("cycle", order).alias("cycle"),
             *[F.max_by(name, F.when(F.col(name).isNotNull(), order)).alias(name) for name in self.fields],
         )
+        if epoch % self.full_every == 0:
+            last = last.unionByName(known.join(touched, "dataset_id", "left_anti"))
         self.state.write(last, epoch)
 
     def events(self) -> DataFrame:

@@ -136,12 +136,19 @@ def test_stream_upsert_and_compaction(spark, tmp_path):
     sink.compact(now="2026-08-14 00:00:00", epoch=1)
     assert {tuple(r) for r in sink.raw().select(*keys).collect()} == before
     assert sink.daily().first()["observations"] == 3
+    # the later run reads only the dates that expired since, and late arrivals
+    sink.compact(now="2026-08-20 12:00:00", epoch=2)
+    assert {(str(r["date"]), r["observations"]) for r in sink.daily().collect()} == {
+        ("2026-08-01", 3), ("2026-08-12", 1), ("2026-08-13", 1)}
+    far = history_rows(spark, [{"dataset_id": "a", "observed_at": ts("2026-08-01 00:00:00"), "cycle": "2026-08-20T00:00"}])
+    with pytest.raises(Exception, match="too far from its cycle"):
+        sink.upsert(far, 3)
 
 
 def test_stream_transitions_equal_batch(spark, tmp_path):
     frames = _stream_frames(spark)
     later = frames[1].where(F.col("observed_at") > "2026-08-01 12:00:00")
-    sink = store.TransitionStore(spark, str(tmp_path / "changes"))
+    sink = store.TransitionStore(spark, str(tmp_path / "changes"), full_every=1)
     sink.apply(frames[0].where(F.col("observed_at") < "2026-08-05"), 0)
     sink.apply(later, 1)
     sink.apply(later, 1)
