@@ -41,11 +41,8 @@ def dataset_deltas(catalog: DataFrame, snapshot: DataFrame, history: DataFrame,
     observation of an earlier cycle. A null in the baseline is absent evidence and
     never a change, except for ``status``. Empty when the baseline has a skip reason.
     """
-    baseline = delta_baseline(history, cycle=cycle).where(F.col("previous_cycle").isNotNull()).select(
-        F.col("cycle").alias("_cycle"), "previous_cycle"
-    )
-    one_row = F.broadcast(baseline)  # at most one row
-    previous_ids = history.join(one_row, F.col("cycle") == F.col("previous_cycle"), "left_semi").select("dataset_id").distinct()
+    previous = delta_baseline(history, cycle=cycle).select("previous_cycle").scalar()
+    previous_ids = history.where(F.col("cycle") == previous).select("dataset_id").distinct()
     old = hist.latest_before_cycle(history, before_cycle=cycle)
     entries = catalog.select("dataset_id", F.col("name").alias("_name"), F.col("url").alias("_url"))
     health = snapshot.select(
@@ -108,7 +105,7 @@ def dataset_deltas(catalog: DataFrame, snapshot: DataFrame, history: DataFrame,
         )
     )
     ledger = added.unionByName(removed).unionByName(changed)
-    return ledger.withColumn("_cycle", F.lit(cycle)).join(one_row, "_cycle", "left_semi").drop("_cycle")
+    return ledger.where(previous.isNotNull())
 
 
 def delta_summary(ledger: DataFrame) -> DataFrame:

@@ -316,9 +316,8 @@ def history_slice(
 def snapshot_as_of(versions: DataFrame, *, cutoff, date_col: str = "version_date") -> DataFrame:
     """Rows of the newest stored version strictly before the cutoff day; empty if there is none.
 
-    The version table is partitioned by ``date_col``; the single maximum joins
-    back as a partition filter.
+    The version table is partitioned by ``date_col``; the maximum is a scalar
+    subquery and becomes a partition filter.
     """
-    earlier = versions.where(F.col(date_col) < times.lit_day(cutoff))
-    newest = earlier.agg(F.max(date_col).alias(date_col))  # always exactly one row
-    return earlier.join(F.broadcast(newest), date_col, "left_semi")
+    newest = versions.where(F.col(date_col) < times.lit_day(cutoff)).agg(F.max(date_col)).scalar()
+    return versions.where(F.col(date_col) == newest)

@@ -64,11 +64,11 @@ def find_stale(catalog: DataFrame, snapshot: DataFrame, *, as_of, max_age_hours:
         "dataset_id", "status", "message", "staleness_days", "access_dependency",
         F.col("expected_record_count").alias("_expected"), F.lit(True).alias("_present"),
     )
-    checked = snapshot.agg(F.max("checked_at").alias("_checked_at"))  # one row
-    seconds = F.greatest(F.lit(0), F.floor(times.seconds_between(times.lit_instant(as_of), F.col("_checked_at"))))
-    rows = catalog.select("dataset_id", "expected_record_count", F.lit(1).alias("_one")).join(health, "dataset_id", "left").join(
-        F.broadcast(checked.withColumn("_one", F.lit(1))), "_one", "left"
-    ).withColumn("age_seconds", seconds.cast("bigint"))
+    checked = snapshot.agg(F.max("checked_at")).scalar()
+    seconds = F.greatest(F.lit(0), F.floor(times.seconds_between(times.lit_instant(as_of), checked)))
+    rows = catalog.select("dataset_id", "expected_record_count").join(health, "dataset_id", "left").withColumn(
+        "age_seconds", F.when(checked.isNotNull(), seconds.cast("bigint"))
+    )
     old = F.col("age_seconds").isNull() | (F.col("age_seconds") > max_age_hours * 3600)
     missing = F.col("_present").isNull()
     risky = F.coalesce(F.col("status").isin("aging", "stale", "degraded"), F.lit(False))
@@ -198,16 +198,15 @@ def check_reconciliation(catalog: DataFrame, members: DataFrame, groups: DataFra
     by_name = folded.join(entries, F.col("_fold") == F.lower("name")).select("query", "dataset_id", "name", F.lit(2).alias("_rank"))
     settled = by_id.unionByName(by_name)
     open_queries = folded.join(settled.select("query"), "query", "left_anti")
-    # one row holding the open queries, joined on a constant: a scan, not a product of tables
+    # the open queries as one array value: a scan of the names, not a product of tables
     numbered = open_queries.select("query").limit(MAX_OPEN_QUERIES + 1)
     needles = numbered.agg(F.collect_set("query").alias("_needles")).select(
         F.when(F.size("_needles") <= MAX_OPEN_QUERIES, F.col("_needles")).otherwise(
             F.raise_error(F.lit(f"more than {MAX_OPEN_QUERIES} names without an exact match")).cast("array<string>")
-        ).alias("_needles"),
-        F.lit(1).alias("_one"),
-    )
+        ).alias("_needles")
+    ).scalar()
     by_part = (
-        entries.withColumn("_one", F.lit(1)).join(F.broadcast(needles), "_one")
+        entries.withColumn("_needles", needles)
         .withColumn("query", F.explode(F.filter("_needles", lambda q: F.contains(F.lower("name"), F.lower(q)))))
         .select("query", "dataset_id", "name", F.lit(3).alias("_rank"))
     )
@@ -238,8 +237,7 @@ def check_reconciliation(catalog: DataFrame, members: DataFrame, groups: DataFra
 def paginate(df: DataFrame, *, order: list[str], limit: int = 50, cursor: int = 0, maximum: int = 200) -> DataFrame:
     """One page in a stable order with the total and the next cursor on every row."""
     size, start = min(max(1, limit), maximum), max(0, cursor)
-    total = F.broadcast(df.agg(F.count("*").alias("total")).withColumn("_one", F.lit(1)))  # one row
-    page = df.orderBy(*order).offset(start).limit(size).withColumn("_one", F.lit(1)).join(total, "_one").drop("_one")
+    page = df.orderBy(*order).offset(start).limit(size).withColumn("total", df.agg(F.count("*")).scalar())
     following = start + size
     return page.withColumn("next_cursor", F.when(F.col("total") > following, F.lit(str(following))))
 
