@@ -153,7 +153,7 @@ def member_rows(members: DataFrame, catalog: DataFrame, snapshot: DataFrame) ->
         "dataset_id",
         "status",
         text.availability_class(F.col("status")).alias("availability_class"),
-        F.col("record_count").cast("double").alias("record_count"),
+        "record_count",
         F.coalesce("record_count_estimated", F.lit(False)).alias("record_count_estimated"),
         F.col("content_freshness_date").alias("content_date"),
         F.col("freshness_signal_source").alias("content_date_source"),

@@ -344,14 +344,14 @@ TABLES["m_seed"] = """
 SELECT 'seed:pair-' || a.n AS group_key, a.name AS logical_name, 'seed' AS grouping_method,
   CASE WHEN (a.n // 30) % 3 = 2 THEN 'different_granularity' ELSE 'equivalent' END AS relationship, 'reviewed' AS confidence,
   unnest([a.dataset_id, b.dataset_id]) AS dataset_id,
-  CASE WHEN (a.n // 30) % 2 = 0 THEN 'strict' ELSE 'context_only' END AS record_count_policy, 5.0 AS record_count_tolerance_pct,
+  CASE WHEN (a.n // 30) % 2 = 0 THEN 'strict' ELSE 'context_only' END AS record_count_policy, CAST(5.0 AS DOUBLE) AS record_count_tolerance_pct,
   2 AS content_date_tolerance_days, 'reviewed pair' AS rationale
 FROM cat a JOIN cat b ON b.n = a.n + 1 WHERE a.n % 30 = 1"""
 
 TABLES["m_url"] = f"""
 SELECT 'url:' || substr(sha256(u), 1, 16) AS group_key, arg_min(name, dataset_id) OVER (PARTITION BY u) AS logical_name,
   'exact_url' AS grouping_method, 'equivalent' AS relationship, 'high' AS confidence, dataset_id,
-  'strict' AS record_count_policy, 0.0 AS record_count_tolerance_pct, 0 AS content_date_tolerance_days,
+  'strict' AS record_count_policy, CAST(0.0 AS DOUBLE) AS record_count_tolerance_pct, 0 AS content_date_tolerance_days,
   'members publish the same canonical URL: ' || u AS rationale
 FROM (SELECT *, count(*) OVER (PARTITION BY u) AS size FROM (SELECT *, {canonical_url('url')} AS u FROM cat)
       WHERE dataset_id NOT IN (SELECT dataset_id FROM m_seed)) WHERE size >= 2"""
@@ -361,7 +361,7 @@ SELECT 'name:' || replace(cu, ' ', '-') || ':' || replace(ti, ' ', '-') || ':'
     || substr(sha256('["' || cu || '","' || ti || '","' || fr || '",' || CAST(to_json(sg) AS VARCHAR) || ']'), 1, 12) AS group_key,
   arg_min(name, dataset_id) OVER (PARTITION BY cu, ti, fr, sg) AS logical_name, 'semantic_title' AS grouping_method,
   'equivalent' AS relationship, 'moderate' AS confidence, dataset_id, 'context_only' AS record_count_policy,
-  5.0 AS record_count_tolerance_pct, 2 AS content_date_tolerance_days,
+  CAST(5.0 AS DOUBLE) AS record_count_tolerance_pct, 2 AS content_date_tolerance_days,
   'exact semantic title, custodian, cadence, and granularity match across endpoint channels' AS rationale
 FROM (SELECT *, count(*) OVER (PARTITION BY cu, ti, fr, sg) AS size, min(ch) OVER (PARTITION BY cu, ti, fr, sg) AS low,
         max(ch) OVER (PARTITION BY cu, ti, fr, sg) AS high
