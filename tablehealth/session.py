@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,19 +41,27 @@ def local_session(cpus: int | str = "*", app: str = "tablehealth", **conf: str)
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the frame to the cluster's checkpoint folder and continue from there.
+def scratch_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables: the one named in ``spark.checkpoint.dir``, else one below the warehouse.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``. Only a local
-    session without that setting gets a temporary folder of its own.
+    Both are shared by all executors on a cluster; no machine-local folder is ever used.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    return folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write the frame once as Parquet to the shared scratch folder and continue from there.
+
+    Later reads prune columns and push filters down, and a lost executor costs one file read again.
+    The files are deleted when the session's JVM ends.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-            folder = tempfile.mkdtemp(prefix="tablehealth-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    path = f"{scratch_folder(spark).rstrip('/')}/tablehealth-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+cut_lineage = stored
