@@ -95,7 +95,7 @@ def _met(prints: DataFrame, max_bits: int) -> DataFrame:
     Around a point at most as many fingerprints meet as the ball has points, so its list is bounded.
     """
     radius = max_bits // 2
-    points = prints.select("fp", F.explode(F.array(*[F.lit(m) for m in ball_masks(radius)])).alias("mask")).select("fp", F.col("fp").bitwiseXOR("mask").alias("point"))
+    points = prints.select("fp", F.explode(F.array(*[F.lit(m) for m in ball_masks(radius)])).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("point"))
     met = points.groupBy("point").agg(F.min("fp").alias("a"), F.collect_list("fp").alias("all")).where(F.size("all") > 1)
     return met.select("a", F.explode("all").alias("b")).where(F.col("a") < F.col("b"))
 
