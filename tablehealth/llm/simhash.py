@@ -5,10 +5,12 @@ A fingerprint has 64 bits. They are cut into ``blocks`` runs; two fingerprints t
 C(blocks, blocks - max_bits) keys made of that many runs. More blocks give more and longer keys: 7 suit up to
 about a hundred million distinct fingerprints, 10 (210 keys of 38 bits) far more.
 
-Copies with equal fingerprints are one node. Within a key of up to ``max_block`` fingerprints the links are found by a
-join that verifies the distance. Fingerprints in a larger key are linked without pairs: each meets all points within half
+Copies with equal fingerprints are one node. The up to ``max_block`` fingerprints of a key are compared with each other in
+one step that verifies the distances and returns a star for each component, so links grow with the members of a key, not
+with their pairs. Fingerprints in a larger key are linked without pairs: each meets all points within half
 of ``max_bits`` of it, and those that meet in a point are within ``max_bits`` of each other, while any two that close
-have such a point in common. Both ways give exactly the links of the definition.
+have such a point in common. Both ways give exactly the
+components of the definition.
 """
 
 from __future__ import annotations
@@ -70,7 +72,7 @@ def ball_masks(radius: int) -> list[int]:
     return [_signed(sum(1 << b for b in chosen)) for size in range(radius + 1) for chosen in combinations(range(BITS), size)]
 
 
-def links(prints: DataFrame, *, max_bits: int = 4, blocks: int = 7, max_block: int = 256) -> DataFrame:
+def links(prints: DataFrame, *, max_bits: int = 4, blocks: int = 7, max_block: int = 1024) -> DataFrame:
     """Links (a, b) whose components are those of all pairs of distinct ``fp`` at ``max_bits`` or fewer differing bits.
 
     ``prints`` has distinct values in ``fp`` and should be stored, as it is read more than once.
@@ -80,13 +82,32 @@ def links(prints: DataFrame, *, max_bits: int = 4, blocks: int = 7, max_block: i
     keyed = prints.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in block_masks(blocks, max_bits)])).alias("block", "part"))
     shared = stored(keyed.groupBy("block", "part").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1))
     members = stored(keyed.join(shared, ["block", "part"]))
-    small = members.where(F.col("size") <= max_block)
-    a, b = small.alias("a"), small.alias("b")
-    near = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= max_bits
-    pairs = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.fp") < F.col("b.fp")) & near).select(
-        F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    small = members.where(F.col("size") <= max_block).groupBy("block", "part").agg(F.collect_list("fp").alias("fps"))
+    stars = small.select(F.explode(_stars(max_bits)("fps")).alias("link")).select("link.a", "link.b")
     crowded = members.where(F.col("size") > max_block).select("fp").distinct()
-    return pairs.union(_met(crowded, max_bits)).distinct()
+    return stars.union(_met(crowded, max_bits)).distinct()
+
+
+def _stars(max_bits: int):
+    """Each list of at most ``max_block`` fingerprints as stars: its smallest member in every component of its links."""
+
+    @F.pandas_udf("array<struct<a:bigint,b:bigint>>")
+    def stars(groups: pd.Series) -> pd.Series:
+        return pd.Series([_star_links(np.sort(np.asarray(group, np.int64)), max_bits) for group in groups], dtype=object)
+
+    return stars
+
+
+def _star_links(prints: np.ndarray, max_bits: int) -> list[dict[str, int]]:
+    near = np.bitwise_count((prints[:, None] ^ prints[None, :]).view(np.uint64)) <= max_bits
+    labels = np.arange(len(prints))
+    while True:
+        lower = np.where(near, labels[None, :], len(prints)).min(axis=1)
+        lower = lower[lower]
+        if (lower == labels).all():
+            break
+        labels = lower
+    return [{"a": int(prints[root]), "b": int(prints[i])} for i, root in enumerate(labels) if root != i]
 
 
 def _met(prints: DataFrame, max_bits: int) -> DataFrame:
@@ -119,7 +140,7 @@ def components(edges: DataFrame, *, rounds: int = 64) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, *, words: int = 4, seed: int = 42, max_bits: int = 4, blocks: int = 7, max_block: int = 256) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, words: int = 4, seed: int = 42, max_bits: int = 4, blocks: int = 7, max_block: int = 1024) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs``, with the links' components.
 
     Reads only ``doc_id`` and ``text``; other columns, of any name, are ignored. Null and empty texts, and texts without
