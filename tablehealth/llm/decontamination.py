@@ -61,9 +61,8 @@ def build_index(docs: DataFrame, items: DataFrame) -> Index:
 
     Each row is a document of its own, whatever its id. Null and empty texts have no words and keep their entry.
     """
-    tokens = items.select(F.monotonically_increasing_id().alias("item"), "item_id", F.posexplode(words_of(F.col("text"))).alias("q", "word")).select(
-        "item", "item_id", "q", lowered(F.col("word")).alias("word"))
-    tokens = stored(tokens)
+    numbered = items.select(F.monotonically_increasing_id().alias("item"), "item_id", words_of(F.col("text")).alias("words"))
+    tokens = stored(numbered.select("item", "item_id", F.posexplode("words").alias("q", "word")).select("item", "item_id", "q", lowered(F.col("word")).alias("word")))
     # the empty word stands before each document's first and carries its length
     entry = tokens.sparkSession.createDataFrame([("", -1)], "word string, term long")
     vocabulary = stored(tokens.select("word").distinct().withColumn("term", F.monotonically_increasing_id()).union(entry))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tablehealth.llm import simhash
+from tablehealth.llm import decontamination, license_scan, line_templates, quality_rules, secret_scan, sentencepiece_bpe, simhash, token_counts
 from tablehealth.session import configure
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,11 +28,50 @@ def _table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+MODEL = "piece_bpe_32k.model"
+
+
+@_query("op2_token_counts")
+def op2(spark: SparkSession, directory: str) -> DataFrame:
+    return token_counts.token_counts(_table(spark, directory, "documents"), public_tokenizers.path(MODEL))
+
+
+@_query("op3_benchmark_decontamination")
+def op3(spark: SparkSession, directory: str) -> DataFrame:
+    return decontamination.contamination(_table(spark, directory, "documents"), _table(spark, directory, "benchmark"))
+
+
+@_query("op4_line_dedup")
+def op4(spark: SparkSession, directory: str) -> DataFrame:
+    cleaned = line_templates.without_repeated_lines(_table(spark, directory, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_dropped", F.array_join(F.col("dropped").cast("array<string>"), ",").alias("dropped"), F.sha2("text", 256).alias("text_sha256"))
+
+
+@_query("op5_sentencepiece")
+def op5(spark: SparkSession, directory: str) -> DataFrame:
+    return sentencepiece_bpe.encode_documents(_table(spark, directory, "documents"), public_tokenizers.path(MODEL), ("ids_sha256", "decoded_sha256"))
+
+
 @_query("op6_simhash_near_duplicates")
 def op6(spark: SparkSession, directory: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, directory, "documents"))
 
 
+@_query("op8_quality_rules")
+def op8(spark: SparkSession, directory: str) -> DataFrame:
+    return quality_rules.quality(_table(spark, directory, "documents"))
+
+
+@_query("op9_license_scan")
+def op9(spark: SparkSession, directory: str) -> DataFrame:
+    return license_scan.licences(_table(spark, directory, "documents"))
+
+
+@_query("op10_secret_scan")
+def op10(spark: SparkSession, directory: str) -> DataFrame:
+    return secret_scan.secrets(_table(spark, directory, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 

@@ -169,11 +169,15 @@ def secrets(docs: DataFrame, more: Sequence[Rule] = MORE) -> DataFrame:
     def listed(items):
         return F.array_join(F.transform(items, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
-    counts = [F.size(F.filter(found, lambda x, k=rule.kind: x["kind"] == k)).cast("long").alias(f"n_{rule.kind}") for rule in BASE]
+    counts = [F.size(F.filter(found, _of_kind(rule.kind))).cast("long").alias(f"n_{rule.kind}") for rule in BASE]
     base = F.filter(found, lambda x: x["rank"] < len(BASE))
     return spans(docs, rules).select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(found).alias("spans"))
 
 
+def _of_kind(kind: str):
+    return lambda x: x["kind"] == F.lit(kind)
+
+
 def python_spans(text: str | None, rules: Sequence[Rule] = RULES) -> list[tuple[int, int, str, int]]:
     """The same spans by row-at-a-time matching, for tests."""
     return sorted(

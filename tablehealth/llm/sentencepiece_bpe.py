@@ -25,8 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-REMEMBERED = 300_000
+REMEMBERED = 800_000
 _SHORT = 64
+_TOGETHER = 500  # segments compared in one call
+_FLAT = 24  # symbols up to which a plain list is the faster agenda
 
 
 class Merger:
@@ -53,8 +55,8 @@ class Merger:
     def symbols(self, segment: str) -> list[str]:
         """The pieces, or single characters outside the vocabulary, into which a segment is merged."""
         found = list(segment)
-        if len(found) == 1:
-            return found
+        if len(found) <= _FLAT:
+            return self._short(found)
         last = len(found) - 1
         before, after = list(range(-1, last)), [*range(1, last + 1), -1]
         order, agenda = self.order, []
@@ -77,6 +79,21 @@ class Merger:
                 heapq.heappush(agenda, (rank, preceding, left, size + len(found[preceding])))
         return [x for x in found if x]
 
+    def _short(self, found: list[str]) -> list[str]:
+        """The same for a few symbols: the agenda is the list of the adjacent pairs' ranks in place order."""
+        rank, never = self.order.get, float("inf")
+        agenda = [rank(a + b, never) for a, b in zip(found, found[1:])]
+        while agenda and (best := min(agenda)) != never:
+            i = agenda.index(best)
+            joint = found[i] + found[i + 1]
+            found[i:i + 2] = [joint]
+            del agenda[i]
+            if i:
+                agenda[i - 1] = rank(found[i - 1] + joint, never)
+            if i < len(agenda):
+                agenda[i] = rank(joint + found[i + 1], never)
+        return found
+
     def encode(self, segment: str) -> list[int]:
         ids: list[int] = []
         for text in self.symbols(segment):
@@ -96,14 +113,18 @@ class Merger:
                 out += self.texts[i].replace(MARK, " ").encode()
         return out.decode()
 
-    def confirm(self, segments: list[str], ids: list[list[int]], texts: list[str]) -> None:
-        """Compare with the library. A newline in front keeps the library's own mark apart from the segment."""
-        front = self.library.encode("\n")
-        want = self.library.encode(["\n" + s.replace(MARK, " ") for s in segments], num_threads=1)
-        back = self.library.decode([front + x for x in ids]) if ids else []
-        for segment, mine, theirs, text, again in zip(segments, ids, want, texts, back):
-            if (front + mine if segment[0] != "\n" else [front[0], front[1], *mine]) != theirs or "\n" + text != again:
-                raise ValueError(f"the library encodes {segment!r} otherwise: {theirs}, not {mine}")
+    def confirm(self, segments: list[str], ids: list[list[int]]) -> None:
+        """Compare ids and decoded texts with the library's; newlines keep the segments apart."""
+        newline = self.bytes[10]
+        for at in range(0, len(segments), _TOGETHER):
+            text = "".join("\n" + s for s in segments[at:at + _TOGETHER]).replace(MARK, " ")
+            mine = [self.pieces[MARK]]
+            for own in ids[at:at + _TOGETHER]:
+                mine.append(newline)
+                mine += own
+            theirs = self.library.encode(text)
+            if mine != theirs or self.library.decode(theirs) != text or self.decode(mine)[1:] != text:
+                raise ValueError(f"the library encodes or decodes otherwise, within {text!r}")
 
 
 @lru_cache(maxsize=2)
@@ -114,25 +135,29 @@ def merger(model: str) -> Merger:
 def encoded(batches: Iterator[pa.RecordBatch], model: str, outputs: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
     """Add n_tokens and the asked ones of ids, ids_sha256, decoded, decoded_sha256 to the batches' doc_id."""
     tool = merger(model)
-    known: dict[str, tuple[int, str, str]] = {}
+    known: dict[str, str] = {}  # a segment's ids, comma-joined
     for batch in batches:
         rows: list[tuple] = []
         fresh: dict[str, list[int]] = {}
 
-        def learn(segment: str) -> tuple[int, str, str]:
-            ids = tool.encode(segment)
-            fresh[segment] = ids
-            entry = (len(ids), ",".join(map(str, ids)), tool.decode(ids))
+        def learn(segment: str) -> str:
+            ids = fresh[segment] = tool.encode(segment)
+            joined = ",".join(map(str, ids))
             if len(segment) <= _SHORT:
-                known[segment] = entry
-            return entry
+                known[segment] = joined
+            return joined
 
         for text in batch.column("text").to_pylist():
             if len(known) > REMEMBERED:
                 known.clear()
-            parts = [known.get(s) or learn(s) for s in tool.split(text)]
-            ids, decoded = ",".join([p[1] for p in parts]), "".join([p[2] for p in parts])[1:]
-            row = {"n_tokens": sum([p[0] for p in parts])}
+            segments = tool.split(text)
+            parts = list(map(known.get, segments))
+            if None in parts:
+                parts = [known.get(s) or learn(s) for s in segments]
+            ids = ",".join(parts)
+            # each segment decodes to itself with its marks as spaces, which confirm() makes sure of
+            decoded = "".join(segments).replace(MARK, " ")[1:]
+            row = {"n_tokens": ids.count(",") + 1 if ids else 0}
             if "ids" in outputs:
                 row["ids"] = [int(x) for x in ids.split(",")] if ids else []
             if "decoded" in outputs:
@@ -143,7 +168,7 @@ def encoded(batches: Iterator[pa.RecordBatch], model: str, outputs: tuple[str, .
                 row["decoded_sha256"] = hashlib.sha256(decoded.encode()).hexdigest()
             rows.append(tuple(row[name] for name in ("n_tokens", *outputs)))
         if fresh:
-            tool.confirm(list(fresh), list(fresh.values()), [tool.decode(ids) for ids in fresh.values()])
+            tool.confirm(list(fresh), list(fresh.values()))
         columns = list(zip(*rows)) if rows else [()] * (1 + len(outputs))
         types = {"ids": pa.list_(pa.int32()), "n_tokens": pa.int64()}
         names = ("n_tokens", *outputs)

@@ -14,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from tablehealth.llm.sentencepiece_bpe import MARK, REMEMBERED, Merger, merger
 
 _SHORT = 64
+_NONE = -1  # no piece in front: the start, or a character outside the vocabulary
 
 
 class PrefixCounter:
@@ -28,8 +30,13 @@ class PrefixCounter:
 
     def __init__(self, tool: Merger):
         self.tool = tool
-        self.apart: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, list[int]] = {}
+        self.apart: dict[int, bool] = {}
+        self.width = len(tool.texts)
+        self.endings = ahocorasick.Automaton()
+        for text, i in tool.pieces.items():
+            self.endings.add_word(text, (len(text), i))
+        self.endings.make_automaton()
+        self.known: dict[str, bytes | list[int]] = {}
         self.runs = [len(tool.symbols(MARK * n)) if n else 0 for n in range(8 * tool.longest + 1)]
         start = 2 * tool.longest
         periods = (p for p in range(1, start + 1) if all(self.runs[n + p] == self.runs[n] + self.runs[start + p] - self.runs[start] for n in range(start, len(self.runs) - p)))
@@ -44,50 +51,68 @@ class PrefixCounter:
         turns = -(-(n - known + 1) // self.period)
         return self.runs[n - turns * self.period] + turns * self.step
 
-    def prefixes(self, segment: str) -> list[int]:
-        """Token count of segment[:i] for i = 1 .. len(segment)."""
+    def prefixes(self, segment: str) -> bytes | list[int]:
+        """Token count of segment[:i] for i = 1 .. len(segment); as bytes where they fit."""
         found = self.known.get(segment)
         if found is None:
             found = self._prefixes(segment)
             if len(segment) <= _SHORT:
                 if len(self.known) > REMEMBERED:
                     self.known.clear()
+                if max(found) < 256:
+                    found = bytes(found)
                 self.known[segment] = found
         return found
 
     def _prefixes(self, segment: str) -> list[int]:
         marks = len(segment) - len(segment.lstrip(MARK))
         if marks < 2:
-            return self._word(segment)[0]
+            return self._word(segment)[0][1:]
         runs = [self.run(n) for n in range(1, marks + 1)]
         if marks == len(segment):
             return runs
-        counts, first = self._word(segment[marks - 1:])
+        counts, starts = self._word(segment[marks - 1:])
+        alone = [False, True]  # whether the prefix's encoding starts with a mark alone
+        for end in range(2, len(counts)):
+            alone.append(starts[end] > 0 and alone[starts[end]])
         joined, bare = self.run(marks - 1), self.run(marks) - 1
         # the last mark belongs to the word, unless it stays alone: then it merges with the run
-        return runs + [(bare if alone else joined) + n for n, alone in zip(counts[1:], first[1:])]
-
-    def _word(self, word: str) -> tuple[list[int], list[bool]]:
-        """Counts of the prefixes, and whether each one's encoding starts with a mark alone."""
-        pieces, longest = self.tool.pieces, self.tool.longest
-        counts, lasts, bare = [0], [""], [False]
-        for end in range(1, len(word) + 1):
-            for start in range(max(0, end - longest), end):
-                piece = word[start:end]
-                if (piece in pieces or end - start == 1) and self._apart(lasts[start], piece):
-                    counts.append(counts[start] + (1 if piece in pieces else len(piece.encode())))
-                    lasts.append(piece)
-                    bare.append(bare[start] if start else piece == MARK)
-                    break
-        return counts[1:], bare[1:]
-
-    def _apart(self, left: str, right: str) -> bool:
-        key = (left, right)
-        found = self.apart.get(key)
-        if found is None:
-            if len(self.apart) > REMEMBERED:
-                self.apart.clear()
-            found = self.apart[key] = self.tool.symbols(left + right) == ([left, right] if left else [right])
+        return runs + [(bare if alone[end] else joined) + counts[end] for end in range(2, len(counts))]
+
+    def _word(self, word: str) -> tuple[list[int], list[int]]:
+        """Counts of word[:end], and where the last piece of each starts, for end = 0 .. len(word)."""
+        n = len(word)
+        counts, starts, lasts = [0] * (n + 1), [0] * (n + 1), [_NONE] * (n + 1)
+        apart, width = self.apart, self.width
+        done = 0
+        for at, (size, piece) in self.endings.iter(word):
+            end = at + 1
+            if counts[end]:
+                continue
+            while done < at:
+                done += 1
+                if not counts[done]:
+                    self._outside(word, done, counts, starts)
+            left = lasts[end - size]
+            stays = apart.get(left * width + piece)
+            if stays if stays is not None else self._apart(left, piece):
+                counts[end], starts[end], lasts[end] = counts[end - size] + 1, end - size, piece
+        for end in range(done + 1, n + 1):
+            if not counts[end]:
+                self._outside(word, end, counts, starts)
+        return counts, starts
+
+    @staticmethod
+    def _outside(word: str, end: int, counts: list[int], starts: list[int]) -> None:
+        """A character outside the vocabulary: one token a byte, and nothing merges with it."""
+        counts[end], starts[end] = counts[end - 1] + len(word[end - 1].encode()), end - 1
+
+    def _apart(self, left: int, right: int) -> bool:
+        """Whether two pieces stay as they are side by side; without a left one, whether the right one stays whole."""
+        if len(self.apart) > REMEMBERED:
+            self.apart.clear()
+        texts = [self.tool.texts[i] for i in (left, right) if i != _NONE]
+        found = self.apart[left * self.width + right] = self.tool.symbols("".join(texts)) == texts
         return found
 
     def text(self, text: str | None) -> list[int]:
