@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablehealth.llm import decontamination, license_scan, line_templates, quality_rules, secret_scan, sentencepiece_bpe, simhash, token_counts
+from tablehealth.llm import decontamination, language_id, license_scan, line_templates, quality_rules, secret_scan, sentencepiece_bpe, simhash, token_counts, warc_revisits
 from tablehealth.session import configure
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,11 @@ def _table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 MODEL = "piece_bpe_32k.model"
 
 
+@_query("op1_language_id")
+def op1(spark: SparkSession, directory: str) -> DataFrame:
+    return language_id.identify(language_id.document_evidence(_table(spark, directory, "documents")))
+
+
 @_query("op2_token_counts")
 def op2(spark: SparkSession, directory: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, directory, "documents"), public_tokenizers.path(MODEL))
@@ -57,6 +62,38 @@ def op6(spark: SparkSession, directory: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, directory, "documents"))
 
 
+_WARC_SQL = r"""
+WITH bare AS (SELECT page_id, html, regexp_replace(trim(url), '#.*$', '') AS u FROM pages),
+parts AS (
+  SELECT page_id, html,
+    regexp_replace(lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1)), '^www[0-9]*\.|:(80|443)$', '', 'g') AS host,
+    regexp_replace(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)', 1), '/+$', '') AS path,
+    list_sort(list_filter(string_split(regexp_extract(u, '\?(.*)$', 1), '&'), x -> x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|gclid|fbclid|sessionid)(=|$)'))) AS q
+  FROM bare),
+keyed AS (
+  SELECT page_id, html, CASE WHEN host <> '' THEN host || path || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END END AS k,
+    '"' || substr(md5(coalesce(html, '')), 1, 16) || '"' AS tag FROM parts),
+latest AS (
+  SELECT a.page_id, max(b.page_id) AS found FROM keyed a JOIN keyed b ON a.k = b.k AND b.page_id < a.page_id + 1000 GROUP BY a.page_id),
+judged AS (
+  SELECT a.page_id, a.tag, l.found, b.html,
+    CASE WHEN a.k IS NULL THEN 'no_url' WHEN l.found IS NULL THEN 'no_earlier_response' WHEN a.tag = b.tag THEN 'resolved' ELSE 'mismatch' END AS verdict
+  FROM keyed a LEFT JOIN latest l ON a.page_id = l.page_id LEFT JOIN keyed b ON b.page_id = l.found)
+SELECT -page_id - 1 AS record_id, found AS refers_to, verdict,
+  CASE WHEN verdict = 'resolved' THEN 'cache-control=max-age=600;content-length=' || strlen(html) || ';content-type=text/html;etag=' || tag
+    ELSE 'cache-control=max-age=600;content-length=0;etag=' || tag END AS headers,
+  CASE WHEN verdict = 'resolved' THEN sha256(html) END AS payload_sha256
+FROM judged
+"""
+
+
+@_query("op7_warc_revisits", _WARC_SQL)
+def op7(spark: SparkSession, directory: str) -> DataFrame:
+    found = warc_revisits.resolve(warc_revisits.crawl_of(_table(spark, directory, "pages")))
+    listed = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")
+    return found.select("record_id", "refers_to", "verdict", listed.alias("headers"), F.sha2("payload", 256).alias("payload_sha256"))
+
+
 @_query("op8_quality_rules")
 def op8(spark: SparkSession, directory: str) -> DataFrame:
     return quality_rules.quality(_table(spark, directory, "documents"))

@@ -23,6 +23,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 MARK = "▁"
 REMEMBERED = 800_000
@@ -132,8 +133,8 @@ def merger(model: str) -> Merger:
     return Merger(model)
 
 
-def encoded(batches: Iterator[pa.RecordBatch], model: str, outputs: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
-    """Add n_tokens and the asked ones of ids, ids_sha256, decoded, decoded_sha256 to the batches' doc_id."""
+def encoded(batches: Iterator[pa.RecordBatch], model: str, outputs: tuple[str, ...], keep: tuple[str, ...] = ("doc_id",)) -> Iterator[pa.RecordBatch]:
+    """Add n_tokens and the asked ones of ids, ids_sha256, decoded, decoded_sha256 to the kept columns of the batches."""
     tool = merger(model)
     known: dict[str, str] = {}  # a segment's ids, comma-joined
     for batch in batches:
@@ -172,8 +173,8 @@ def encoded(batches: Iterator[pa.RecordBatch], model: str, outputs: tuple[str, .
         columns = list(zip(*rows)) if rows else [()] * (1 + len(outputs))
         types = {"ids": pa.list_(pa.int32()), "n_tokens": pa.int64()}
         names = ("n_tokens", *outputs)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), *[pa.array(list(c), types.get(n, pa.string())) for c, n in zip(columns, names)]], names=["doc_id", *names])
+        added = [pa.array(list(c), types.get(n, pa.string())) for c, n in zip(columns, names)]
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *added], names=[*keep, *names])
 
 
 def encode_documents(docs: DataFrame, model: str, outputs: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
@@ -190,9 +191,9 @@ def encode_documents(docs: DataFrame, model: str, outputs: tuple[str, ...] = ("i
 
 
 def with_tokens(docs: DataFrame, model: str) -> DataFrame:
-    """``docs`` with token_ids and n_tokens beside its own columns (of the same names, the new ones hold)."""
-    own = [c for c in docs.columns if c not in ("token_ids", "n_tokens")]
-    kept = docs.select(*[F.col(f"`{c}`") for c in own])
-    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("doc_id"), F.col("text").alias("text"))
-    done = encode_documents(inner, model, ("ids",))
-    return done.select(*[F.col(f"doc_id.`{c}`").alias(c) for c in kept.columns], F.col("ids").alias("token_ids"), "n_tokens")
+    """``docs`` with n_tokens and token_ids beside its own columns (of the same names, the new ones hold)."""
+    own = [f for f in docs.schema.fields if f.name not in ("ids", "token_ids", "n_tokens")]
+    kept = tuple(f.name for f in own)
+    schema = StructType([*own, StructField("n_tokens", LongType()), StructField("ids", ArrayType(IntegerType()))])
+    done = docs.select(*[F.col(f"`{name}`") for name in kept]).mapInArrow(lambda batches: encoded(batches, model, ("ids",), kept), schema)
+    return done.withColumnRenamed("ids", "token_ids")
