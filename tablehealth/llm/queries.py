@@ -68,7 +68,7 @@ parts AS (
   SELECT page_id, html,
     regexp_replace(lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1)), '^www[0-9]*\.|:(80|443)$', '', 'g') AS host,
     regexp_replace(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)', 1), '/+$', '') AS path,
-    list_sort(list_filter(string_split(regexp_extract(u, '\?(.*)$', 1), '&'), x -> x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|gclid|fbclid|sessionid)(=|$)'))) AS q
+    list_sort([x for x in string_split(regexp_extract(u, '\?(.*)$', 1), '&') if x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|gclid|fbclid|sessionid)(=|$)')]) AS q
   FROM bare),
 keyed AS (
   SELECT page_id, html, CASE WHEN host <> '' THEN host || path || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END END AS k,
