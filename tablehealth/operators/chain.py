@@ -9,44 +9,35 @@ from tablehealth import params
 from tablehealth.functions import times
 from tablehealth.functions.text import canonical_json, chain_digest, sha256_text
 
-FLAT_LIMIT = 20_000
-BUCKET_DIGITS = 3
+#: Hex digits of a row's place in the digest tree, by level: 16.7 million leaves, then 4096 and one.
+LEVELS = (6, 3, 0)
 
 
 def ordered_digest(
-    rows: DataFrame, keys: list[str], order: str, item: str, *, opening: str = "", separator: str = "",
-    closing: str = "", flat_limit: int = FLAT_LIMIT,
+    rows: DataFrame, keys: list[str], order: str, item: str, *, opening: str = "", separator: str = "", closing: str = "",
 ) -> DataFrame:
-    """sha256 per group over its item texts in order, with the scheme used.
+    """(keys, rows, digest): one sha256 per group over all its item texts, by the same tree for every number of rows.
 
-    ``flat``: the digest of opening + items joined by separator + closing, used for
-    groups of at most ``flat_limit`` rows. ``tree``: rows fall into 4096 buckets by
-    the hash of their order value, each bucket gets a flat digest, and the group's
-    digest covers the bucket digests in bucket order, so no task holds a large
-    group. The scheme depends only on the row count and is published with the digest.
+    A row's place is the start of the hash of its order value. A leaf's digest covers opening + its items in order, joined
+    by the separator, + closing; a node's covers its children's digests in the order of their places, of which there are
+    at most 4096. So no task gathers a group: a leaf holds a 16.7-millionth of it.
     """
-    def joined(items: Column) -> Column:
-        return F.concat(F.lit(opening), F.array_join(items, separator), F.lit(closing))
-
     def gathered(value: str, by: str) -> Column:
         pairs = F.array_sort(F.collect_list(F.struct(F.col(by).alias("o"), F.col(value).alias("i"))))
         return F.transform(pairs, lambda pair: pair["i"])
 
-    keyed = rows.select(*keys, F.col(order).alias("_order"), F.col(item).alias("_item"))
-    sizes = keyed.groupBy(*keys).agg(F.count("*").alias("rows"))
-    sized = keyed.join(sizes, keys)
-    flat = sized.where(F.col("rows") <= flat_limit).groupBy(*keys).agg(
-        F.any_value("rows").alias("rows"), sha256_text(joined(gathered("_item", "_order"))).alias("digest")
-    ).withColumn("scheme", F.lit("flat"))
-    bucket = F.substring(sha256_text(F.col("_order")), 1, BUCKET_DIGITS)
-    buckets = sized.where(F.col("rows") > flat_limit).withColumn("_bucket", bucket).groupBy(*keys, "_bucket").agg(
-        F.any_value("rows").alias("rows"), sha256_text(joined(gathered("_item", "_order"))).alias("_digest")
+    place = sha256_text(F.col(order).cast("string"))
+    placed = rows.select(*keys, F.col(order).alias("_order"), F.col(item).alias("_item"), F.substring(place, 1, LEVELS[0]).alias("_place"))
+    level = placed.groupBy(*keys, "_place").agg(
+        F.count("*").alias("rows"),
+        sha256_text(F.concat(F.lit(opening), F.array_join(gathered("_item", "_order"), separator), F.lit(closing))).alias("digest"),
     )
-    tree = buckets.groupBy(*keys).agg(
-        F.any_value("rows").alias("rows"),
-        sha256_text(F.array_join(gathered("_digest", "_bucket"), "")).alias("digest"),
-    ).withColumn("scheme", F.lit("tree"))
-    return flat.unionByName(tree)
+    for digits in LEVELS[1:]:
+        above = level.withColumn("_above", F.substring("_place", 1, digits))
+        level = above.groupBy(*keys, F.col("_above")).agg(
+            F.sum("rows").alias("rows"), sha256_text(F.array_join(gathered("digest", "_place"), "")).alias("digest")
+        ).withColumnRenamed("_above", "_place")
+    return level.drop("_place")
 
 
 def _zulu(instant: Column) -> Column:
@@ -123,11 +114,11 @@ def attestation_links(
     )
 
 
-def _link_digests(links: DataFrame, flat_limit: int) -> DataFrame:
+def _link_digests(links: DataFrame) -> DataFrame:
     item = canonical_json({"chain_link": F.col("chain_link"), "dataset_id": F.col("dataset_id")})
     return ordered_digest(
         links.withColumn("_item", item), ["date"], "dataset_id", "_item",
-        opening="[", separator=",", closing="]", flat_limit=flat_limit,
+        opening="[", separator=",", closing="]",
     )
 
 
@@ -142,18 +133,18 @@ def _head_payload(key_id: Column) -> Column:
     })
 
 
-def daily_chain_head(links: DataFrame, *, key_id: str = "", flat_limit: int = FLAT_LIMIT) -> DataFrame:
+def daily_chain_head(links: DataFrame, *, key_id: str = "") -> DataFrame:
     """The head of each day present in ``links``."""
     previous = links.groupBy("date").agg(F.any_value("previous_chain_head").alias("previous_chain_head"))
-    rows = _link_digests(links, flat_limit).join(previous, "date").withColumn("payload", _head_payload(F.lit(key_id)))
+    rows = _link_digests(links).join(previous, "date").withColumn("payload", _head_payload(F.lit(key_id)))
     return rows.select(
         "date", "previous_chain_head", F.col("rows").alias("dataset_count"),
-        F.col("digest").alias("dataset_links_sha256"), F.col("scheme").alias("links_scheme"), "payload",
+        F.col("digest").alias("dataset_links_sha256"), "payload",
         chain_digest(F.col("previous_chain_head"), F.col("payload")).alias("chain_head"),
     )
 
 
-def verify_chain(links: DataFrame, heads: DataFrame, *, anchors: DataFrame | None = None, flat_limit: int = FLAT_LIMIT) -> DataFrame:
+def verify_chain(links: DataFrame, heads: DataFrame, *, anchors: DataFrame | None = None) -> DataFrame:
     """Recompute every link, link digest and head, and follow the heads back.
 
     One row per day: whether its links, its digest and its own head hold, how its
@@ -168,7 +159,7 @@ def verify_chain(links: DataFrame, heads: DataFrame, *, anchors: DataFrame | Non
         F.min("previous_chain_head").alias("_low"),
         F.max("previous_chain_head").alias("_high"),
     )
-    digests = _link_digests(links, flat_limit).select("date", F.col("rows").alias("_rows"), F.col("digest").alias("_digest"))
+    digests = _link_digests(links).select("date", F.col("rows").alias("_rows"), F.col("digest").alias("_digest"))
     known = heads.select(F.col("chain_head").alias("_known"), F.col("date").alias("_known_date"))
     rows = (
         heads.join(per_day, "date", "left").join(digests, "date", "left")
@@ -216,11 +207,11 @@ def verify_chain(links: DataFrame, heads: DataFrame, *, anchors: DataFrame | Non
     )
 
 
-def cycle_digest(history: DataFrame, *, columns: list[str], flat_limit: int = FLAT_LIMIT) -> DataFrame:
+def cycle_digest(history: DataFrame, *, columns: list[str]) -> DataFrame:
     """Digest per cycle over its rows as JSON lines in dataset order."""
     line = F.concat(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), F.lit("\n"))
     return ordered_digest(
-        history.withColumn("_line", line), ["cycle"], "dataset_id", "_line", flat_limit=flat_limit
+        history.withColumn("_line", line), ["cycle"], "dataset_id", "_line"
     )
 
 

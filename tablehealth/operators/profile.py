@@ -160,13 +160,13 @@ _NATIVE_TYPES = {
 }
 
 
-def infer_fields(df: DataFrame, *, sample: int | None = None) -> DataFrame:
-    """(position, name, type) per column from all rows, or from the first ``sample``.
+def infer_fields(df: DataFrame) -> DataFrame:
+    """(position, name, type) per column from all rows.
 
     Blanks are ignored; integers mixed with numbers are numbers, any other mixture
     is string, no value at all is string. All columns are classified in one pass.
     """
-    rows = df if sample is None else df.limit(sample)
+    rows = df
     aggs, plain = [], {}
     for i, (name, kind) in enumerate(df.dtypes):
         if kind in _NATIVE_TYPES:

@@ -11,11 +11,11 @@ from tablehealth import params
 from tablehealth.functions import cadence, text, times
 
 
-def _limited(df: DataFrame, limit: int | None, most: int) -> DataFrame:
+def _limited(df: DataFrame, limit: int | None) -> DataFrame:
     if limit is None:
         return df
-    if not 1 <= limit <= most:
-        raise ValueError(f"limit must be between 1 and {most}")
+    if limit < 1:
+        raise ValueError("limit must be positive")
     return df.limit(limit)
 
 
@@ -53,7 +53,7 @@ def search_datasets(
     ).orderBy(
         F.desc("score"), F.when(F.col("dataset_id").startswith("gtfs_static_"), 0).otherwise(1), "title", "dataset_id"
     )
-    return _limited(ranked, limit, 50)
+    return _limited(ranked, limit)
 
 
 def find_stale(catalog: DataFrame, snapshot: DataFrame, *, as_of, max_age_hours: int = 24) -> DataFrame:
@@ -121,7 +121,7 @@ def find_anomalies(
         latest.alias("latest_days"), threshold.alias("threshold_days"), "severity_ratio", "anomaly_detection",
         "publish_on_time_pct", "reliability_grade", "reliability_sample_days",
     ).orderBy(F.desc("severity_ratio"), F.desc_nulls_last("staleness_days"), "dataset_id")
-    return _limited(ranked, limit, 200)
+    return _limited(ranked, limit)
 
 
 _TREND_COLUMNS = (
@@ -145,14 +145,14 @@ def find_deteriorating(
         F.desc_nulls_last("slope_days_per_week"), F.desc(F.coalesce("anomaly_rate_pct", F.lit(-1.0))),
         F.coalesce("publish_on_time_pct", F.lit(101.0)), "dataset_id",
     )
-    return _limited(ranked, limit, 200)
+    return _limited(ranked, limit)
 
 
 def find_recovering(catalog: DataFrame, trends: DataFrame, *, limit: int | None = 50) -> DataFrame:
     ranked = _titled(catalog, trends.where(F.col("trend") == "recovering")).select(*_TREND_COLUMNS).orderBy(
         F.asc_nulls_last("slope_days_per_week"), "dataset_id"
     )
-    return _limited(ranked, limit, 200)
+    return _limited(ranked, limit)
 
 
 def find_unreliable(catalog: DataFrame, trends: DataFrame, *, limit: int | None = 50, at_or_below_grade: str = "C") -> DataFrame:
@@ -165,7 +165,7 @@ def find_unreliable(catalog: DataFrame, trends: DataFrame, *, limit: int | None
         "dataset_id", "title", "reliability_grade", "publish_on_time_pct", "reliability_sample_days", "latest_status",
         "trend", "reason",
     ).orderBy(F.desc(rank), F.coalesce("publish_on_time_pct", F.lit(101.0)), "dataset_id")
-    return _limited(ranked, limit, 200)
+    return _limited(ranked, limit)
 
 
 def find_schema_drift(catalog: DataFrame, drifts: DataFrame, *, limit: int | None = 50, min_change_count: int = 0) -> DataFrame:
@@ -176,10 +176,7 @@ def find_schema_drift(catalog: DataFrame, drifts: DataFrame, *, limit: int | Non
         "column_count_changed", "column_change_count", "record_trend", "record_change_pct", "record_count",
         "column_count", "expected_record_count", "record_count_within_tolerance", "reason",
     ).orderBy(F.when(F.col("verdict") == "drift_detected", 0).otherwise(1), F.desc(changes), "dataset_id")
-    return _limited(ranked, limit, 200)
-
-
-MAX_OPEN_QUERIES = 1000
+    return _limited(ranked, limit)
 
 
 def check_reconciliation(catalog: DataFrame, members: DataFrame, groups: DataFrame, *, names: DataFrame) -> DataFrame:
@@ -187,9 +184,9 @@ def check_reconciliation(catalog: DataFrame, members: DataFrame, groups: DataFra
 
     An id match beats an exact name (any case), which beats a name that contains the
     text. A query without a match or with several at its best rank fails the job.
-    Ids and exact names are looked up by equality; only queries still open scan the
-    names for a substring. That list travels to the scan as one row, so more than
-    ``MAX_OPEN_QUERIES`` of them is an error instead of an unbounded row.
+    Ids and exact names are looked up by equality. Queries still open meet the names
+    that share their first three characters (the whole of a shorter one) by an
+    equi-join on the names' character runs, and are then verified.
     """
     asked = names.select(F.trim("query").alias("query")).distinct()
     entries = catalog.select("dataset_id", "name")
@@ -198,17 +195,13 @@ def check_reconciliation(catalog: DataFrame, members: DataFrame, groups: DataFra
     by_name = folded.join(entries, F.col("_fold") == F.lower("name")).select("query", "dataset_id", "name", F.lit(2).alias("_rank"))
     settled = by_id.unionByName(by_name)
     open_queries = folded.join(settled.select("query"), "query", "left_anti")
-    # the open queries as one array value: a scan of the names, not a product of tables
-    numbered = open_queries.select("query").limit(MAX_OPEN_QUERIES + 1)
-    needles = numbered.agg(F.collect_set("query").alias("_needles")).select(
-        F.when(F.size("_needles") <= MAX_OPEN_QUERIES, F.col("_needles")).otherwise(
-            F.raise_error(F.lit(f"more than {MAX_OPEN_QUERIES} names without an exact match")).cast("array<string>")
-        ).alias("_needles")
-    ).scalar()
+    lowered = F.lower("name")
+    runs = F.flatten(F.transform(F.array(*[F.lit(n) for n in (1, 2, 3)]), lambda n: F.when(
+        F.length(lowered) >= n, F.transform(F.sequence(F.lit(1), F.length(lowered) - n + 1), lambda i: F.substr(lowered, i, n))).otherwise(F.array().cast("array<string>"))))
+    by_run = entries.where("name is not null").select("dataset_id", "name", F.explode(F.array_distinct(runs)).alias("_run"))
     by_part = (
-        entries.withColumn("_needles", needles)
-        .withColumn("query", F.explode(F.filter("_needles", lambda q: F.contains(F.lower("name"), F.lower(q)))))
-        .select("query", "dataset_id", "name", F.lit(3).alias("_rank"))
+        open_queries.select("query", "_fold", F.substring("_fold", 1, 3).alias("_run")).join(by_run, "_run")
+        .where(F.contains(F.lower("name"), F.col("_fold"))).select("query", "dataset_id", "name", F.lit(3).alias("_rank"))
     )
     candidates = settled.unionByName(by_part)
     best = candidates.groupBy("query").agg(F.min("_rank").alias("_rank"))
@@ -234,9 +227,9 @@ def check_reconciliation(catalog: DataFrame, members: DataFrame, groups: DataFra
     )
 
 
-def paginate(df: DataFrame, *, order: list[str], limit: int = 50, cursor: int = 0, maximum: int = 200) -> DataFrame:
-    """One page in a stable order with the total and the next cursor on every row."""
-    size, start = min(max(1, limit), maximum), max(0, cursor)
+def paginate(df: DataFrame, *, order: list[str], limit: int = 50, cursor: int = 0) -> DataFrame:
+    """One page of ``limit`` rows in a stable order with the total and the next cursor on every row."""
+    size, start = max(1, limit), max(0, cursor)
     page = df.orderBy(*order).offset(start).limit(size).withColumn("total", df.agg(F.count("*")).scalar())
     following = start + size
     return page.withColumn("next_cursor", F.when(F.col("total") > following, F.lit(str(following))))

@@ -88,7 +88,6 @@ UNKNOWN_REVIEW_DAYS = 30
 # ---- fixed values: history ----
 RETENTION_DAYS = 7
 HEARTBEAT_MINUTES = 15
-MAX_SLICE_DAYS = 3650
 
 # ---- fixed values: snapshot comparison ----
 COUNT_THRESHOLDS = {

@@ -5,9 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tablehealth.operators import changes, drift, graph, history, reconcile, signals, snapshot, summary, trust
-from tablehealth.session import configure, cut_lineage
+from tablehealth.session import configure, cut_lineage, stored
 
 
 @dataclass(frozen=True)
@@ -16,6 +17,7 @@ class Cycle:
 
     snapshot: DataFrame
     history: DataFrame
+    observed: DataFrame
     trends: DataFrame
     drifts: DataFrame
     group_members: DataFrame
@@ -26,10 +28,18 @@ class Cycle:
     trust_summary: DataFrame
 
     def write(self, base: str, *, version: str) -> None:
-        from tablehealth.sources.writers import write_snapshot
+        """Store the history first, by date, then every other table as a version.
 
+        Only the dates that this cycle observed are replaced in the history, from a stored copy, as the prior
+        history may lie in the same folder.
+        """
+        from tablehealth.sources.writers import write_history, write_snapshot
+
+        dates = self.observed.select(F.to_date("observed_at").alias("_date")).distinct()
+        touched = self.history.join(dates, F.to_date("observed_at") == F.col("_date"), "left_semi")
+        write_history(stored(touched), f"{base}/history")
         for field in fields(self):
-            if field.name != "history":
+            if field.name not in ("history", "observed"):
                 write_snapshot(getattr(self, field.name), f"{base}/{field.name}", version=version)
 
 
@@ -56,7 +66,7 @@ def run_cycle(
     bare = cut_lineage(snapshot.build_snapshot(probes, catalog, previous, checked_at=as_of))
     anomalies = signals.detect_anomalies(catalog, bare, prior_history, as_of=as_of)
     current = cut_lineage(signals.annotate(bare, anomalies))
-    observed = history.to_observations(current, catalog, cycle=cycle)
+    observed = cut_lineage(history.to_observations(current, catalog, cycle=cycle))
     whole = history.upsert_history(prior_history, observed.select(*prior_history.columns), prior_is_keyed=prior_is_keyed)
     trends = cut_lineage(signals.trend(catalog, whole, daily, as_of=as_of))
     drifts = cut_lineage(drift.drift(catalog, current, whole, daily, as_of=as_of))
@@ -64,7 +74,7 @@ def run_cycle(
     groups = cut_lineage(reconcile.reconcile(members, catalog, current))
     scores = trust.trust_score(catalog, current, trends, drifts, trust.verdict_by_dataset(members, groups))
     return Cycle(
-        snapshot=current, history=whole, trends=trends, drifts=drifts, group_members=members, groups=groups,
+        snapshot=current, history=whole, observed=observed, trends=trends, drifts=drifts, group_members=members, groups=groups,
         scores=scores, deltas=changes.dataset_deltas(catalog, current, whole, cycle=cycle),
         graph_groups=graph.groups(catalog), trust_summary=summary.trust_summary(current),
     )

@@ -45,6 +45,14 @@ FROM (SELECT c.dataset_id, s.last_checked AS observed_at, {previous} AS previous
              FROM obs WHERE observed_at >= {NOW} - INTERVAL 14 DAY GROUP BY dataset_id) p ON p.dataset_id = c.dataset_id)"""
 
 
+def _tree_sql(key: str, leaf: str, rows: str) -> str:
+    """(key, rows, digest): leaves by six hex digits of the hash of dataset_id, nodes by three, one root."""
+    return f"""(
+  SELECT {key}, CAST(sum(n) AS BIGINT) AS rows, sha256(string_agg(d, '' ORDER BY p)) AS digest FROM (
+    SELECT {key}, substr(p, 1, 3) AS p, sum(n) AS n, sha256(string_agg(d, '' ORDER BY p)) AS d FROM (
+      SELECT {key}, substr(sha256(dataset_id), 1, 6) AS p, count(*) AS n, sha256({leaf}) AS d FROM {rows} GROUP BY 1, 2) GROUP BY 1, 2) GROUP BY 1)"""
+
+
 def _head_sql(links: str) -> str:
     return f"""
 SELECT date, previous_chain_head, dataset_count, dataset_links_sha256, payload, sha256(unhex(previous_chain_head) || encode(payload)) AS chain_head
@@ -52,8 +60,9 @@ FROM (SELECT date, previous_chain_head, dataset_count, dataset_links_sha256, CAS
         'dataset_links_sha256', dataset_links_sha256, 'date', strftime(date, '%Y-%m-%d'), 'key_id', '{_KEY}',
         'previous_chain_head', previous_chain_head, 'schema', 'daily-chain-head/v1') AS VARCHAR) AS payload
       FROM (SELECT date, any_value(previous_chain_head) AS previous_chain_head, count(*) AS dataset_count,
-              sha256('[' || string_agg('{{"chain_link":"' || chain_link || '","dataset_id":"' || dataset_id || '"}}', ',' ORDER BY dataset_id) || ']') AS dataset_links_sha256
-            FROM {links} GROUP BY date))"""
+              any_value(digest) AS dataset_links_sha256
+            FROM {links} JOIN {_tree_sql("date", """'[' || string_agg('{"chain_link":"' || chain_link || '","dataset_id":"' || dataset_id || '"}', ',' ORDER BY dataset_id) || ']'""", links)} USING (date)
+            GROUP BY date))"""
 
 
 TABLES["links1"] = _link_sql("2024-01-29", f"'{params.GENESIS}'")
@@ -80,14 +89,15 @@ def _attestation_links(t: Tables):
 
 
 @query("daily_chain_head", """
-SELECT date, previous_chain_head, dataset_count, dataset_links_sha256, 'flat' AS links_scheme, payload, chain_head FROM (SELECT * FROM head1 UNION ALL SELECT * FROM head2)""")
+SELECT date, previous_chain_head, dataset_count, dataset_links_sha256, payload, chain_head FROM (SELECT * FROM head1 UNION ALL SELECT * FROM head2)""")
 def _daily_chain_head(t: Tables):
     _, head, second = _two_days(t)
     return head.unionByName(chain.daily_chain_head(second, key_id=_KEY))
 
 
 @query("verify_chain", f"""
-SELECT date, chain_head, previous, links_valid, digest_valid, head_valid, replayed FROM (
+SELECT date, chain_head, previous, links_valid, digest_valid, head_valid, replayed,
+  CASE WHEN NOT links_valid THEN 'a link or its previous head is invalid' ELSE 'daily heads replay to an anchor' END AS reason FROM (
   SELECT date, chain_head, 'genesis' AS previous, true AS links_valid, true AS digest_valid, true AS head_valid, true AS replayed FROM head1
   UNION ALL SELECT date, chain_head, 'linked', NOT EXISTS (SELECT 1 FROM bare WHERE status = 'stale'), NOT EXISTS (SELECT 1 FROM bare WHERE status = 'stale'), true,
     NOT EXISTS (SELECT 1 FROM bare WHERE status = 'stale') FROM head2)""")
@@ -99,7 +109,7 @@ def _verify_chain(t: Tables):
     altered = second.join(stale, "dataset_id", "left").withColumn(
         "chain_link", F.when(F.col("_stale"), F.reverse("chain_link")).otherwise(F.col("chain_link"))
     ).drop("_stale")
-    return chain.verify_chain(first.unionByName(altered), heads).drop("reason")
+    return chain.verify_chain(first.unionByName(altered), heads)
 
 
 @query("trust_verdict", """
@@ -122,9 +132,9 @@ _CYCLE_COLUMNS = ["dataset_id", "cycle", "status", "record_count", "probe_outcom
 
 
 @query("cycle_digest", """
-SELECT cycle, count(*) AS rows, 'flat' AS scheme, sha256(string_agg(CAST(json_object('dataset_id', dataset_id, 'cycle', cycle, 'status', status,
-  'record_count', record_count, 'probe_outcome', probe_outcome, 'shape_hash', shape_hash) AS VARCHAR) || chr(10), '' ORDER BY dataset_id)) AS digest
-FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id, cycle ORDER BY seq DESC) AS rn FROM obs) WHERE rn = 1 GROUP BY cycle""")
+SELECT cycle, rows, digest FROM """ + _tree_sql("cycle", """string_agg(CAST(json_object('dataset_id', dataset_id, 'cycle', cycle, 'status', status,
+  'record_count', record_count, 'probe_outcome', probe_outcome, 'shape_hash', shape_hash) AS VARCHAR) || chr(10), '' ORDER BY dataset_id)""",
+  "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id, cycle ORDER BY seq DESC) AS rn FROM obs) WHERE rn = 1)"))
 def _cycle_digest(t: Tables):
     return chain.cycle_digest(history.keyed_history(t.history), columns=_CYCLE_COLUMNS)
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from datetime import datetime, timedelta, timezone
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablehealth import params, schemas
@@ -45,14 +45,29 @@ class EpochTable:
             rows = self.spark.createDataFrame([], schema)
         return rows if before is None else rows.where(F.col("epoch") < before)
 
+    def remove(self, column: str, gone) -> None:
+        """Delete the partitions of the first partition column whose value ``gone`` accepts."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if files.exists(folder):
+            for entry in files.listStatus(folder):
+                name, _, value = entry.getPath().getName().partition("=")
+                if name == column and gone(value):
+                    files.delete(entry.getPath(), True)
+
+
+#: Partition of rows whose cycle says nothing about when they were observed; sorts after all dates.
+_APART = "apart"
+
 
 class HistoryStore:
     """Raw observations, daily aggregates, archive and compacted cycles under one folder.
 
     ``upsert`` keys rows by (dataset_id, cycle); the raw table is partitioned by the
     cycle's date, which is part of the key, so versions of a row share a partition.
-    A row may be observed at most ``slack_days`` away from its cycle; this is checked
-    on arrival and lets compaction and reads skip all other partitions.
+    Rows observed more than ``slack_days`` away from their cycle, or whose cycle is no
+    date, share the partition ``apart``, which every read and compaction includes, so
+    that all other partitions can be skipped by date.
     """
 
     def __init__(self, spark: SparkSession, base: str, *, retention_days: int = params.RETENTION_DAYS, slack_days: int = 2):
@@ -67,10 +82,8 @@ class HistoryStore:
     def upsert(self, batch: DataFrame, epoch: int) -> None:
         day = F.substring("cycle", 1, 10)
         apart = F.abs(F.datediff(F.to_date("observed_at"), F.try_to_date(day, "yyyy-MM-dd")))
-        checked = F.when(apart <= self.slack.days, day).otherwise(
-            F.raise_error(F.concat(F.lit("observation too far from its cycle: "), F.col("dataset_id"), F.lit(" "), F.col("cycle"))).cast("string")
-        )
-        self.rows.write(hist.keyed_history(batch.select(*self.columns)).withColumn("cycle_date", checked), epoch)
+        placed = F.when(apart <= self.slack.days, day).otherwise(F.lit(_APART))
+        self.rows.write(hist.keyed_history(batch.select(*self.columns)).withColumn("cycle_date", placed), epoch)
 
     def _current(self, rows: DataFrame) -> DataFrame:
         return latest_by(rows.drop("cycle_date"), ["dataset_id", "cycle"], F.col("epoch")).select(*self.columns)
@@ -85,7 +98,7 @@ class HistoryStore:
         if now is None:
             return self._current(rows)
         cutoff = self._cutoff(now)
-        recent = rows.where(F.col("cycle_date") >= (cutoff - self.slack).date().isoformat())
+        recent = rows.where((F.col("cycle_date") >= (cutoff - self.slack).date().isoformat()) | (F.col("cycle_date") == _APART))
         return self._current(recent).where(F.col("observed_at") >= times.lit_instant(cutoff))
 
     def compact(self, *, now: str | datetime, epoch: int) -> None:
@@ -96,11 +109,12 @@ class HistoryStore:
         recorded last, so an interrupted one is repeated as a whole.
         """
         cutoff = self._cutoff(now)
-        rows = self.rows.read(before=epoch + 1).where(F.col("cycle_date") <= (cutoff + self.slack).date().isoformat())
+        due = F.col("cycle_date") <= (cutoff + self.slack).date().isoformat()
+        rows = self.rows.read(before=epoch + 1).where(due | (F.col("cycle_date") == _APART))
         last = self.runs.read(before=epoch).agg(F.max(F.struct("epoch", "cutoff")).alias("r")).first()["r"]  # one row
         if last is not None:
             since = (datetime.fromisoformat(last["cutoff"]) - self.slack).date().isoformat()
-            rows = rows.where((F.col("epoch") > last["epoch"]) | (F.col("cycle_date") >= since))
+            rows = rows.where((F.col("epoch") > last["epoch"]) | (F.col("cycle_date") >= since) | (F.col("cycle_date") == _APART))
         done = self.cycles.read(before=epoch).select("cycle").distinct()
         result = hist.compact_history(
             self._current(rows), None, done, now=times.lit_instant(cutoff), retention_days=0
@@ -109,6 +123,10 @@ class HistoryStore:
         self.archive.write(result.archived.withColumn("month", F.date_format("observed_at", "yyyy-MM")), epoch)
         self.cycles.write(result.compacted_cycles.join(done, "cycle", "left_anti"), epoch)
         self.runs.write(self.spark.createDataFrame([(cutoff.isoformat(),)], "cutoff STRING"), epoch)
+        if last is not None:
+            # all of their rows expired before the run that is recorded already, so a replay of this one doesn't need them
+            expired = datetime.fromisoformat(last["cutoff"]) - self.slack
+            self.rows.remove("cycle_date", lambda day: day != _APART and day < expired.date().isoformat())
 
     def daily(self) -> DataFrame:
         """One aggregate per (dataset, day): the epochs' partial results merged."""
@@ -134,47 +152,47 @@ def _start(writer, options: dict):
 
 
 class TransitionStore:
-    """Change events, and the last known values they are compared with."""
+    """Change events of a stream, equal to those of its rows in event-time order, however they arrive.
+
+    Rows are stored by day. A batch recomputes the events of its datasets from the earliest day that it touches, from
+    stored rows and the values carried into that day, and the newest epoch of a (dataset, day) slice holds. An
+    in-order stream recomputes the current day only; a late row costs the days since it was due.
+    """
 
     fields = ("status", "shape_hash", "column_count")
-    _state = "dataset_id STRING, observed_at TIMESTAMP, cycle STRING, status STRING, shape_hash STRING, column_count INT"
+    _values = "dataset_id STRING, observed_at TIMESTAMP, cycle STRING, status STRING, shape_hash STRING, column_count INT, day STRING"
 
-    def __init__(self, spark: SparkSession, base: str, *, full_every: int = 100):
-        self.full_every = full_every
-        self.state = EpochTable(spark, f"{base}/state", self._state)
+    def __init__(self, spark: SparkSession, base: str):
+        self.rows = EpochTable(spark, f"{base}/rows", self._values, ("day",))
+        self.slices = EpochTable(spark, f"{base}/slices", self._values, ("day",))
         self.changes = EpochTable(
-            spark, f"{base}/events", "dataset_id STRING, field STRING, from_value STRING, to_value STRING, at TIMESTAMP"
-        )
-
-    def _known(self, epoch: int) -> DataFrame:
-        """Last known values before an epoch; earlier epochs than the last full state are skipped."""
-        full = (epoch - 1) // self.full_every * self.full_every
-        return latest_by(
-            self.state.read(before=epoch).where(F.col("epoch") >= full), ["dataset_id"], F.col("epoch")
-        ).drop("epoch")
+            spark, f"{base}/events", "dataset_id STRING, field STRING, from_value STRING, to_value STRING, at TIMESTAMP, day STRING", ("day",))
 
     def apply(self, batch: DataFrame, epoch: int) -> None:
-        """Events of one micro-batch in event-time order, seeded with the stored values.
-
-        Every batch stores the values of the datasets it touched; every
-        ``full_every``-th stores those of all datasets, which bounds what is read.
-        """
+        """Store one micro-batch and the events and carried values of the slices that it changes."""
         columns = ["dataset_id", "observed_at", "cycle", *self.fields]
-        arrived, known = batch.select(*columns), self._known(epoch).select(*columns)
-        touched = arrived.select("dataset_id").distinct()
-        rows = arrived.unionByName(known.join(touched, "dataset_id", "left_semi"))
-        self.changes.write(drift.transition_events(rows, fields=self.fields), epoch)
+        day = F.date_format("observed_at", "yyyy-MM-dd").alias("day")
+        self.rows.write(batch.select(*columns, day), epoch)
+        since = batch.select("dataset_id", day).groupBy("dataset_id").agg(F.min("day").alias("since"))
+        earliest = since.agg(F.min("since")).first()[0]  # one value
+        if earliest is None:
+            return
+        stored_rows = self.rows.read(before=epoch + 1).where(F.col("day") >= earliest).join(since, "dataset_id").where(F.col("day") >= F.col("since"))
+        before = self.slices.read(before=epoch).join(since, "dataset_id").where(F.col("day") < F.col("since"))
+        carried = latest_by(before.drop("since"), ["dataset_id"], F.struct("day", "epoch")).select(*columns, "day")
+        known = stored_rows.select(*columns, "day").unionByName(carried)
+        self.changes.write(drift.transition_events(known.select(*columns), fields=self.fields).withColumn("day", F.date_format("at", "yyyy-MM-dd")), epoch)
         order = F.struct("observed_at", "cycle")
-        last = rows.groupBy("dataset_id").agg(
+        daily = known.groupBy("dataset_id", "day").agg(
             F.max("observed_at").alias("observed_at"), F.max_by("cycle", order).alias("cycle"),
-            *[F.max_by(name, F.when(F.col(name).isNotNull(), order)).alias(name) for name in self.fields],
-        )
-        if epoch % self.full_every == 0:
-            last = last.unionByName(known.join(touched, "dataset_id", "left_anti"))
-        self.state.write(last, epoch)
+            *[F.max_by(name, F.when(F.col(name).isNotNull(), order)).alias(name) for name in self.fields])
+        by_day = Window.partitionBy("dataset_id").orderBy("day")  # one row per day
+        ends = daily.select("dataset_id", "observed_at", "cycle", *[F.last(name, ignorenulls=True).over(by_day).alias(name) for name in self.fields], "day")
+        self.slices.write(ends.join(since, "dataset_id").where(F.col("day") >= F.col("since")).drop("since"), epoch)
 
     def events(self) -> DataFrame:
-        return self.changes.read().drop("epoch")
+        newest = self.slices.read().groupBy("dataset_id", "day").agg(F.max("epoch").alias("epoch"))
+        return self.changes.read().join(newest, ["dataset_id", "day", "epoch"], "left_semi").drop("day", "epoch")
 
 
 def stream_transitions(stream: DataFrame, store: TransitionStore, *, checkpoint: str, **options):

@@ -38,43 +38,52 @@ def stream_usage(usage: DataFrame, *, watermark: str = "1 day") -> DataFrame:
 _ALERT = "dataset_id STRING, last_success_at TIMESTAMP, alert BOOLEAN"
 
 
-def stream_heartbeat(stream: DataFrame, *, minutes: int = params.HEARTBEAT_MINUTES) -> DataFrame:
-    """An alert row when a dataset had no success for ``minutes`` of processing time, and one when it is back.
+def heartbeat_tracker(wait_ms: int):
+    """The state function of ``stream_heartbeat``.
 
-    The state of a dataset is one timestamp and a flag; its rows are only scanned
-    for the latest success, batch by batch.
+    The state is the latest success, whether its dataset is alerting, and the processing time from which the wait runs: that
+    of the last batch with a success, or of the first sight. Batches of failures never move it.
     """
-    wait = int(minutes * 60_000)
+    stamp = lambda value: pd.to_datetime(value, unit="us") if value is not None else pd.NaT
 
     def track(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, alerting = state.get if state.exists else (None, False)
-        stamp = lambda value: pd.to_datetime(value, unit="us") if value is not None else pd.NaT
+        now = state.getCurrentProcessingTimeMs()
+        last, alerting, since = state.get if state.exists else (None, False, now)
+        row = lambda alert: pd.DataFrame({"dataset_id": [key[0]], "last_success_at": [stamp(last)], "alert": [alert]})
         if state.hasTimedOut:
-            state.update((last, True))
-            yield pd.DataFrame({"dataset_id": [key[0]], "last_success_at": [stamp(last)], "alert": [True]})
+            state.update((last, True, since))
+            if not alerting:
+                yield row(True)
             return
-        newest = None
         for batch in batches:
             seen = batch["success_us"].dropna()
             if len(seen):
-                newest = int(seen.max()) if newest is None else max(newest, int(seen.max()))
-        if newest is not None:
-            last = newest if last is None else max(last, newest)
-            state.update((last, False))
-            state.setTimeoutDuration(wait)
-            if alerting:
-                yield pd.DataFrame({"dataset_id": [key[0]], "last_success_at": [stamp(last)], "alert": [False]})
-        else:
-            if not state.exists:
-                state.update((last, alerting))
-            if not alerting:
-                state.setTimeoutDuration(wait)
+                last, since, back = max(int(seen.max()), last or 0), now, alerting
+                if back:
+                    yield row(False)
+                alerting = False
+        left = since + wait_ms - now
+        if not alerting and left <= 0:
+            alerting = True
+            yield row(True)
+        state.update((last, alerting, since))
+        if not alerting:
+            state.setTimeoutDuration(left)
+
+    return track
 
+
+def stream_heartbeat(stream: DataFrame, *, minutes: int = params.HEARTBEAT_MINUTES) -> DataFrame:
+    """An alert row when a dataset had no success for ``minutes`` of processing time, and one when it is back.
+
+    A dataset that keeps failing alerts like a silent one, and a dataset first seen failing has its deadline from then.
+    """
     success = F.when(F.col("probe_outcome") == "success", F.unix_micros("observed_at"))
     return (
         stream.select("dataset_id", success.alias("success_us"))
         .groupBy("dataset_id")
         .applyInPandasWithState(
-            track, _ALERT, "last_success_us BIGINT, alerting BOOLEAN", "append", GroupStateTimeout.ProcessingTimeTimeout
+            heartbeat_tracker(int(minutes * 60_000)), _ALERT, "last_success_us BIGINT, alerting BOOLEAN, since_ms BIGINT", "append",
+            GroupStateTimeout.ProcessingTimeTimeout,
         )
     )

@@ -66,6 +66,8 @@ def test_cycle(spark, tmp_path):
     result = run_cycle(
         t.probes_at(AS_OF), t.catalog, t.previous, prior, as_of=AS_OF, cycle="2024-01-30T23:59", seeds=t.seeds, prior_is_keyed=True)
     result.write(str(tmp_path), version="1")
+    history = spark.read.parquet(f"{tmp_path}/history")
+    assert history.where(F.col("cycle") == "2024-01-30T23:59").count() == t.catalog.count()
     stored = {name: read_latest(spark, f"{tmp_path}/{name}") for name in ("snapshot", "trends", "drifts", "group_members", "groups", "scores", "deltas")}
     assert stored["snapshot"].count() == t.catalog.count()
     assert integrity.output_invariants(

@@ -152,14 +152,17 @@ def test_tree_digest_by_hand(spark):
     items = [(f"d{i}", f"item{i}") for i in range(200)]
     frame = spark.createDataFrame([("day", *item) for item in items], "day STRING, id STRING, item STRING")
     sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
-    flat = chain.ordered_digest(frame, ["day"], "id", "item", separator=",").first()
-    assert (flat["scheme"], flat["digest"]) == ("flat", sha(",".join(item for _, item in sorted(items))))
-    tree = chain.ordered_digest(frame, ["day"], "id", "item", separator=",", flat_limit=199).first()
-    buckets = {}
+    got = chain.ordered_digest(frame, ["day"], "id", "item", opening="[", separator=",", closing="]").first()
+    level = {}
     for key, item in sorted(items):
-        buckets.setdefault(sha(key)[:3], []).append(item)
-    assert (tree["scheme"], tree["rows"]) == ("tree", 200)
-    assert tree["digest"] == sha("".join(sha(",".join(buckets[b])) for b in sorted(buckets)))
+        level.setdefault(sha(key)[:6], []).append(item)
+    level = {place: sha("[" + ",".join(found) + "]") for place, found in level.items()}
+    for digits in (3, 0):
+        above = {}
+        for place in sorted(level):
+            above.setdefault(place[:digits], []).append(level[place])
+        level = {place: sha("".join(found)) for place, found in above.items()}
+    assert (got["rows"], got["digest"]) == (200, level[""])
 
 
 def test_canonical_json_matches_python(spark):
