@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablehealth.llm import decontamination, language_id, license_scan, line_templates, quality_rules, secret_scan, sentencepiece_bpe, simhash, token_counts, warc_revisits
+from tablehealth.llm import checks, decontamination, language_id, license_scan, line_templates, quality_rules, secret_scan, sentencepiece_bpe, simhash, token_counts, warc_revisits
 from tablehealth.session import configure
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,7 +41,7 @@ def op2(spark: SparkSession, directory: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, directory, "documents"), public_tokenizers.path(MODEL))
 
 
-@_query("op3_benchmark_decontamination")
+@_query("op3_benchmark_decontamination", checks.CONTAMINATION)
 def op3(spark: SparkSession, directory: str) -> DataFrame:
     return decontamination.contamination(_table(spark, directory, "documents"), _table(spark, directory, "benchmark"))
 
@@ -94,12 +94,12 @@ def op7(spark: SparkSession, directory: str) -> DataFrame:
     return found.select("record_id", "refers_to", "verdict", listed.alias("headers"), F.sha2("payload", 256).alias("payload_sha256"))
 
 
-@_query("op8_quality_rules")
+@_query("op8_quality_rules", checks.quality())
 def op8(spark: SparkSession, directory: str) -> DataFrame:
     return quality_rules.quality(_table(spark, directory, "documents"))
 
 
-@_query("op9_license_scan")
+@_query("op9_license_scan", checks.licences())
 def op9(spark: SparkSession, directory: str) -> DataFrame:
     return license_scan.licences(_table(spark, directory, "documents"))
 
