@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tablehealth import params
 
-_MONTH_NUMBERS = {name: number for number, names in params.MONTHS.items() for name in names}
 _ISO = r"(?<!\d)\d{4}-\d{2}-\d{2}(?!\d)"
 # any word of month length: looking the word up afterwards is far cheaper than an
 # alternation of all month names at every position of a long text
@@ -22,7 +21,7 @@ def _valid_date(year: Column, month: Column, day: Column) -> Column:
 
 
 def _month_number(word: Column) -> Column:
-    table = F.create_map(*[F.lit(item) for name, number in _MONTH_NUMBERS.items() for item in (name, str(number))])
+    table = F.create_map(*[F.lit(item) for name, number in params.MONTHS.items() for item in (name, str(number))])
     return F.try_element_at(table, F.lower(word))
 
 

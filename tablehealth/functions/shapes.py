@@ -36,14 +36,15 @@ def json_fingerprint(text: str | None) -> str | None:
         return None
     try:
         return _digest(_signature(json.loads(text)))
-    except ValueError:
+    except (ValueError, RecursionError):  # the latter: nested too deeply to be read
         return None
 
 
 @F.pandas_udf(StringType())
 def json_shape(texts: pd.Series) -> pd.Series:
     """Exact nested fingerprint per row: Spark's schema functions merge array item types."""
-    return texts.map(json_fingerprint)
+    distinct = texts.drop_duplicates()
+    return texts.map(dict(zip(distinct, distinct.map(json_fingerprint))))
 
 
 def header_fingerprint(names: list[str]) -> str:

@@ -53,7 +53,7 @@ def memberships(catalog: DataFrame) -> DataFrame:
 
 
 def _pairs(n: Column) -> Column:
-    return (n * (n - 1) / 2).cast("bigint")
+    return F.shiftright(n.cast("bigint") * (n - 1), 1)  # whole numbers: the product is even
 
 
 def _group_sizes(members: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -170,11 +170,10 @@ EXCERPT_SIZE = 50
 
 # ---- fixed values: month names in the two languages of the sources ----
 MONTHS = {
-    1: ("jan", "january", "januari"), 2: ("feb", "february", "februari"),
-    3: ("mar", "march", "mac"), 4: ("apr", "april"), 5: ("may", "mei"), 6: ("jun", "june"),
-    7: ("jul", "july", "julai"), 8: ("aug", "august", "ogos"),
-    9: ("sep", "sept", "september"), 10: ("oct", "october", "oktober"),
-    11: ("nov", "november"), 12: ("dec", "december", "disember"),
+    "jan": 1, "january": 1, "januari": 1, "feb": 2, "february": 2, "februari": 2, "mar": 3, "march": 3, "mac": 3,
+    "apr": 4, "april": 4, "may": 5, "mei": 5, "jun": 6, "june": 6, "jul": 7, "july": 7, "julai": 7,
+    "aug": 8, "august": 8, "ogos": 8, "sep": 9, "sept": 9, "september": 9, "oct": 10, "october": 10, "oktober": 10,
+    "nov": 11, "november": 11, "dec": 12, "december": 12, "disember": 12,
 }
 
 # ---- fixed values: misc ----

@@ -200,7 +200,7 @@ def _min_max_date(t: Tables):
 
 
 _DAYS = "(DATE '2023-06-01' + CAST(doc_id % 500 AS INTEGER))"
-_MONTH_NAMES = [names[-1] for names in params.MONTHS.values()]
+_MONTH_NAMES = list({number: name for name, number in params.MONTHS.items()}.values())  # the last name of each
 
 
 def _dated_documents(t: Tables) -> DataFrame:

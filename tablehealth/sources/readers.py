@@ -141,19 +141,36 @@ def _nested_ddl(ddl: str) -> str:
     return ", ".join(f"{part.split(None, 1)[0]}: {part.split(None, 1)[1]}" for part in parts)
 
 
+def _is_parquet(spark: SparkSession, path: str) -> bool:
+    """Whether the first data file of a path starts with Parquet's magic bytes; four bytes are read."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = list(files.globStatus(target) or [])
+    while found:
+        entry = found.pop(0)
+        name = entry.getPath().getName()
+        if entry.isDirectory():
+            found[:0] = list(files.listStatus(entry.getPath()))
+        elif not name.startswith(("_", ".")) and entry.getLen() > 0:
+            stream = files.open(entry.getPath())
+            try:
+                return [stream.read() for _ in range(4)] == list(b"PAR1")
+            finally:
+                stream.close()
+    return False
+
+
 def read_payload(spark: SparkSession, path: str, *, comment: str = "#") -> DataFrame:
     """An observed table: Parquet, JSON (plain array, one object, or wrapped rows) or CSV.
 
-    Parquet is recognised by its own reader from the file's magic bytes; otherwise
-    the first character decides between JSON and CSV. CSV columns stay text.
+    The magic bytes tell Parquet, and a damaged Parquet file is an error; otherwise the
+    first character decides between JSON and CSV. CSV columns stay text.
     """
-    try:
+    if _is_parquet(spark, path):
         return spark.read.parquet(path)
-    except Exception as error:  # the reader reports a missing magic number in several classes
-        if "PATH_NOT_FOUND" in str(error):
-            raise
-    first = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
-    if not first or first[0]["value"].lstrip("﻿ \t")[:1] not in ("{", "["):
+    start = F.substring(F.regexp_replace("value", "^[\ufeff\\s]+", ""), 1, 1).alias("start")
+    first = spark.read.text(path).select(start).where(F.col("start") != "").limit(1).collect()  # one character
+    if not first or first[0]["start"] not in ("{", "["):
         return spark.read.csv(path, header=True, comment=comment, enforceSchema=False)
     rows = spark.read.option("multiLine", True).json(path)
     wrapped = next(
@@ -169,20 +186,21 @@ def read_payload(spark: SparkSession, path: str, *, comment: str = "#") -> DataF
 def read_usage(spark: SparkSession, path: str, *, since: str, until: str) -> DataFrame:
     """Ledger rows of an inclusive UTC date range.
 
-    Reads ``date=<day>`` partitions when the folder has them, else one
-    ``<day>.jsonl`` file per day; either way only the days asked for are listed.
+    Reads ``date=<day>`` partitions and ``<day>.jsonl`` files, whichever the folder
+    has, or both; only the days asked for are listed.
     """
     start, end = date.fromisoformat(since), date.fromisoformat(until)
     if start > end:
         raise ValueError("since must be on or before until")
     days = [(start + timedelta(days=i)).isoformat() for i in range((end - start).days + 1)]
+    found = spark.createDataFrame([], schemas.USAGE)
     for pattern in (f"{path}/date={{{','.join(days)}}}", f"{path}/{{{','.join(days)}}}.jsonl"):
         try:
-            return spark.read.schema(schemas.USAGE).option("mode", "DROPMALFORMED").json(pattern)
+            found = found.unionByName(spark.read.schema(schemas.USAGE).option("mode", "DROPMALFORMED").json(pattern))
         except AnalysisException as error:
             if "PATH_NOT_FOUND" not in str(error):
                 raise
-    return spark.createDataFrame([], schemas.USAGE)
+    return found
 
 
 def read_telemetry(spark: SparkSession, path: str) -> DataFrame:

@@ -49,11 +49,11 @@ def write_immutable(df: DataFrame, path: str) -> bool:
     raise ValueError(f"immutable table already exists with different content: {path}")
 
 
-def archive_monthly(rows: DataFrame, base: str) -> None:
-    """Append expired rows to gzip JSON, one folder per month."""
+def archive_monthly(rows: DataFrame, base: str, *, run: str) -> None:
+    """Write expired rows as gzip JSON, one folder per month and run; a run that is repeated replaces its own."""
     (
-        rows.withColumn("month", F.date_format("observed_at", "yyyy-MM"))
-        .write.mode("append").partitionBy("month").option("compression", "gzip").json(base)
+        rows.withColumn("month", F.date_format("observed_at", "yyyy-MM")).withColumn("run", F.lit(run))
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month", "run").option("compression", "gzip").json(base)
     )
 
 

@@ -14,6 +14,12 @@ def one(spark, *columns):
     return spark.range(1).select(*columns).first()
 
 
+def test_deep_json_has_no_fingerprint():
+    from tablehealth.functions.shapes import json_fingerprint
+
+    assert json_fingerprint("[" * 100_000 + "]" * 100_000) is None
+
+
 def test_canonical_url(spark):
     cases = {
         "HTTPS://Example.org/A/b/?z=1&a=%20x&a=#frag": "https://example.org/A/b?a=&a=+x&z=1", "http://example.org": "http://example.org/",

@@ -64,6 +64,11 @@ def test_read_payload_formats(spark, tmp_path):
     sizes = {name: readers.read_payload(spark, str(tmp_path / name)).count() for name in ("p.bin", "t.csv", "list.json", "wrapped.json")}
     assert sizes == {"p.bin": 1, "t.csv": 2, "list.json": 2, "wrapped.json": 3}
     assert readers.read_payload(spark, str(tmp_path / "t.csv")).columns == ["a", "b"]
+    (tmp_path / "line.json").write_text("  [" + ",".join('{"a": %d}' % i for i in range(3000)) + "]")
+    assert readers.read_payload(spark, str(tmp_path / "line.json")).count() == 3000
+    (tmp_path / "damaged.parquet").write_bytes(b"PAR1" + b"rubbish, no footer")
+    with pytest.raises(Exception):
+        readers.read_payload(spark, str(tmp_path / "damaged.parquet")).count()
 
 
 def test_writers(spark, tmp_path):
@@ -78,7 +83,9 @@ def test_writers(spark, tmp_path):
     with pytest.raises(ValueError, match="different content"):
         writers.write_immutable(frame.withColumn("v", F.col("v") + 1), ledger)
     rows = history_rows(spark, [{"dataset_id": "a", "observed_at": ts("2026-07-31 00:00:00")}, {"dataset_id": "a", "observed_at": ts("2026-08-01 00:00:00")}])
-    writers.archive_monthly(rows, str(tmp_path / "archive"))
+    for _ in range(2):  # a retry replaces what the run wrote
+        writers.archive_monthly(rows, str(tmp_path / "archive"), run="r1")
+    assert spark.read.json(str(tmp_path / "archive")).count() == 2
     assert sorted(p.name for p in (tmp_path / "archive").glob("month=*")) == ["month=2026-07", "month=2026-08"]
     assert len(list((tmp_path / "archive").rglob("*.json.gz"))) >= 2
     table = str(tmp_path / "history")
@@ -93,6 +100,11 @@ def test_usage_and_telemetry(spark, tmp_path):
     call = {"ts": "2026-08-01T10:00:00.000Z", "tool": "trust_verdict", "buyer_id": "b", "args": {"dataset_id": "a"}, "result_summary": {"score": 91.0}}
     for day in ("2026-08-01", "2026-08-02", "2026-08-09"):
         (folder / f"{day}.jsonl").write_text(json.dumps(call | {"ts": f"{day}T10:00:00.000Z"}) + "\nbroken\n")
+    (folder / "date=2026-08-02").mkdir()
+    (folder / "date=2026-08-02" / "part.json").write_text(json.dumps(call | {"ts": "2026-08-02T11:00:00.000Z"}))
+    assert readers.read_usage(spark, str(folder), since="2026-08-02", until="2026-08-02").count() == 2  # partitions and files
+    (folder / "date=2026-08-02" / "part.json").unlink()
+    (folder / "date=2026-08-02").rmdir()
     usage = readers.read_usage(spark, str(folder), since="2026-08-01", until="2026-08-03")
     lines = {(r["metric"], r["key"]): r["calls"] for r in summary.usage_summary(usage, buyer_id="b").collect()}
     assert lines == {("total_calls", "all"): 2, ("by_tool", "trust_verdict"): 2, ("by_dataset", "a"): 2, ("trust_distribution", "90-100"): 2}
