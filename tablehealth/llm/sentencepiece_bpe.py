@@ -4,8 +4,8 @@
 piece's score, then by place; the best pair is merged and its new neighbours join the agenda; entries whose symbols have
 changed meanwhile are passed over. What remains outside the vocabulary becomes byte pieces.
 
-If no piece has a word mark after another character, no merge crosses from a word to the next mark, so a text is the
-sequence of its segments. Segments repeat, so each is encoded once per worker while it is remembered; every newly
+If no piece has a word mark after another character, no merge crosses from a word to the next mark, and none from a word
+to a punctuation mark unless a piece has both in a row; so a text is the sequence of its segments. Segments repeat, so each is encoded once per worker while it is remembered; every newly
 encoded segment of an Arrow batch is compared with the sentencepiece library, ids and decoded text, before the batch's
 results are returned. A worker remembers up to ``REMEMBERED`` short segments and then starts anew: memory is bounded, and
 results don't depend on it.
@@ -16,9 +16,11 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import string
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -26,8 +28,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 MARK = "▁"
-REMEMBERED = 800_000
+REMEMBERED = 400_000
 _SHORT = 64
+_ROWS = 256  # rows of an Arrow batch that are worked on together
 _TOGETHER = 500  # segments compared in one call
 _FLAT = 24  # symbols up to which a plain list is the faster agenda
 
@@ -47,7 +50,12 @@ class Merger:
             raise ValueError("the model must have byte fallback, a dummy prefix and no normalisation")
         self.longest = max(map(len, self.pieces))
         apart = not any(MARK in text.lstrip(MARK) for text in self.pieces) and not any("\n" in text for text in self.pieces)
-        self.segments = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n+" if apart else r"(?s:.+)")
+        # a piece that goes from these characters on to ASCII punctuation forbids a cut between the two
+        joined = {a for text in self.pieces for a, b in zip(text, text[1:]) if b in string.punctuation}
+        stop, onward = re.escape(string.punctuation), re.escape("".join(sorted(joined)))
+        before_stop = f"{MARK}*[^{MARK}\n{stop}]++(?=[{stop}])(?<![{onward}])|" if onward else ""
+        self.segments = re.compile(f"{before_stop}{MARK}*[^{MARK}\n]+|{MARK}+|\n+" if apart else r"(?s:.+)")
+        self.known: dict[str, str] = {}  # a segment's ids, comma-joined
 
     def split(self, text: str | None) -> list[str]:
         """The segments of a text, marks for spaces and a mark in front; none for null and empty texts."""
@@ -136,8 +144,8 @@ def merger(model: str) -> Merger:
 def encoded(batches: Iterator[pa.RecordBatch], model: str, outputs: tuple[str, ...], keep: tuple[str, ...] = ("doc_id",)) -> Iterator[pa.RecordBatch]:
     """Add n_tokens and the asked ones of ids, ids_sha256, decoded, decoded_sha256 to the kept columns of the batches."""
     tool = merger(model)
-    known: dict[str, str] = {}  # a segment's ids, comma-joined
-    for batch in batches:
+    known = tool.known
+    for batch in (whole.slice(at, _ROWS) for whole in batches for at in range(0, max(1, whole.num_rows), _ROWS)):
         rows: list[tuple] = []
         fresh: dict[str, list[int]] = {}
 
@@ -160,7 +168,7 @@ def encoded(batches: Iterator[pa.RecordBatch], model: str, outputs: tuple[str, .
             decoded = "".join(segments).replace(MARK, " ")[1:]
             row = {"n_tokens": ids.count(",") + 1 if ids else 0}
             if "ids" in outputs:
-                row["ids"] = [int(x) for x in ids.split(",")] if ids else []
+                row["ids"] = np.array(ids.split(",") if ids else [], np.int32)
             if "decoded" in outputs:
                 row["decoded"] = decoded
             if "ids_sha256" in outputs:
