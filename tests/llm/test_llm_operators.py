@@ -102,6 +102,29 @@ def test_language_from_text_declaration_and_host(spark):
     assert not got[303].kept and got[303].language == "de"  # its host's texts are German
 
 
+def test_rare_languages_and_text_of_none(spark):
+    """A language with 0.3 % of the texts is a class; a foreign language, another script and random letters are of none."""
+    vocabulary = {
+        "en": "the and of that with for was this are from which have they their would about there could other these",
+        "es": "que los las una por con para como pero sus este entre cuando muy sobre tambien hasta donde quien desde",
+        "fi": "ja ei se on oli hanen mutta kuin niin mita tama kaikki nyt sitten vain koska jotka ovat minun myos",
+    }
+    polish = "nie sie jest tak jak ale czy tylko przez przy jeszcze wszystko gdzie kiedy dlaczego bardzo dobrze czlowiek przyszedl wziac"
+    rng = random.Random(8)
+
+    def text(words, n=50):
+        return " ".join(rng.choice(words.split()) for _ in range(n))
+    rows = [(i, text(vocabulary["en"]), "en", "h1") for i in range(1500)] + [(2000 + i, text(vocabulary["es"]), "es", "h1") for i in range(480)]
+    rows += [(3000 + i, text(vocabulary["fi"]), "fi", "h1") for i in range(6)] + [(3100, text(vocabulary["fi"]), None, "h1")]
+    odd = [text(polish), "Это предложение написано по-русски и здесь никто его не знает. " * 5, "これは日本語で書かれた文章です。誰も知らない言葉です。" * 5,
+           " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9))) for _ in range(45))]
+    rows += [(4000 + 10 * i + j, t, lang, "h1") for i, t in enumerate(odd) for j, lang in enumerate((None, "en"))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    got = {r.doc_id: r for r in language_id.identify(language_id.document_evidence(docs)).collect()}
+    assert all(r.kept and r.language == ("en" if i < 2000 else "es" if i < 3000 else "fi") for i, r in got.items() if i < 4000)
+    assert sum(i >= 4000 for i in got) == 8 and all(r.language == language_id.UNKNOWN and not r.kept for i, r in got.items() if i >= 4000)
+
+
 def test_page_evidence(spark):
     pages = spark.createDataFrame([(1, "https://a.example.de/x", '<html LANG="de-AT"><script>var x</script><p>Gut</p></html>'), (2, None, None)], "page_id bigint, url string, html string")
     one, two = language_id.page_evidence(pages).orderBy("doc_id").collect()
