@@ -1,13 +1,19 @@
 """Line dedup by a log-template tree.
 
 A line's way down the tree has a fixed depth: its token count, then its ``leading`` first tokens, with digits generalised.
-In the leaf the remaining tokens are cut to ``FIELDS`` consecutive fields (single tokens in short lines). The leaf's
-template has the most frequent value of each field; a line belongs to it if it agrees on at least ``agree`` fields, and the
-others are the template's variable fields. A line that doesn't belong is a template of its own, up to its digits.
+In the leaf the remaining tokens are cut to ``FIELDS`` consecutive fields (single tokens or none in short lines). Two lines of
+a leaf agree if at least ``agree`` of ``FIELDS`` fields are equal; in lines with fewer tokens than fields, the same share of tokens
+must be, so a line may differ in a quarter of them. A leaf's templates are the components of agreeing lines, however many it
+holds, and the fields in which their lines differ are variable. A line that agrees with none is a template of its own, up to its digits.
+
+Agreeing pairs are not compared: lines that may differ in m fields share one of m + 1 runs of fields, and lines without a partner
+there are left out; the others get a key for every choice of the fields that must be equal, and each key's lines are linked to the
+smallest of them.
 
 A template that occurs in two or more documents is recurring: its lines stay in the document with the smallest id and are
 dropped from the others, so that no text is lost from the corpus. Lines of fewer than ``min_words`` tokens are never
-dropped, and only lines of at least ``min_general`` tokens are generalised beyond their digits.
+dropped, and only lines of at least ``min_general`` tokens are generalised beyond their digits: in shorter ones, no token
+may differ.
 
 The lines become rows of fixed size (hashes), so a line or document of any length and a line that a third of the
 documents share are no special cases: counts are pre-aggregated, and joins on a template's key are left for adaptive
@@ -16,11 +22,12 @@ execution to split. Texts move once, by document id, to have their lines taken o
 
 from __future__ import annotations
 
-from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablehealth.llm.simhash import components
 from tablehealth.session import stored
 
 #: Number of fields of a line behind its leading tokens.
@@ -53,8 +60,37 @@ def parse_lines(docs: DataFrame, *, leading: int = 3, min_words: int = 3) -> Dat
     )
 
 
-def recurring(parsed: DataFrame, *, agree: int = 6, min_general: int = 12) -> DataFrame:
-    """(leaf, own, keeper) of the lines that recur as themselves or through their leaf's template.
+def _keys(choices: list[tuple[int, ...]]) -> Column:
+    """A key for each choice of fields: equal in lines of a leaf that agree on them."""
+    return F.array(*[F.xxhash64("leaf", F.lit(i), *[_NAMES[k] for k in fields]) for i, fields in enumerate(choices)])
+
+
+def agreeing(lines: DataFrame, *, leading: int = 3, agree: int = 6) -> DataFrame:
+    """(a, b): links between the distinct lines (leaf, own, tokens, f0..f7), whose components are those of all agreeing pairs."""
+    most = FIELDS - agree
+    allowed = F.floor(F.least(F.col("tokens") - leading, F.lit(FIELDS)) * most / FIELDS)
+
+    def by_allowed(choices) -> Column:
+        """Lines that may differ in m fields have a token count of their own, so keys for different m never meet."""
+        found = F.array().cast("array<bigint>")
+        for m in range(1, most + 1):
+            found = F.when(allowed == m, _keys(choices(m))).otherwise(found)
+        return found
+
+    def runs(m: int) -> list[tuple[int, ...]]:
+        ends = [FIELDS * i // (m + 1) for i in range(m + 2)]
+        return [tuple(range(*pair)) for pair in zip(ends, ends[1:])]
+
+    met = lines.select("own", F.explode(by_allowed(runs)).alias("key"))
+    shared = met.groupBy("key").agg(F.min("own").alias("least"), F.max("own").alias("most")).where(F.col("least") < F.col("most")).select("key")
+    partners = stored(met.join(shared, "key", "left_semi").select("own").distinct())
+    met = stored(lines.join(partners, "own", "left_semi").select("own", F.explode(by_allowed(lambda m: list(combinations(range(FIELDS), FIELDS - m)))).alias("key")))
+    hubs = met.groupBy("key").agg(F.min("own").alias("hub"), F.max("own").alias("most")).where(F.col("hub") < F.col("most")).select("key", "hub")
+    return met.join(hubs, "key").where(F.col("own") != F.col("hub")).select(F.col("own").alias("a"), F.col("hub").alias("b")).distinct()
+
+
+def recurring(parsed: DataFrame, *, leading: int = 3, agree: int = 6, min_general: int = 7) -> DataFrame:
+    """(leaf, own, keeper) of the lines that recur as themselves or through a template of their leaf.
 
     ``keeper`` is the smallest id of a document with the template.
     """
@@ -63,21 +99,18 @@ def recurring(parsed: DataFrame, *, agree: int = 6, min_general: int = 12) -> Da
     crowded = lines.where(F.col("tokens") >= min_general).groupBy("leaf").agg(
         F.count(F.lit(1)).alias("lines"), F.min("first").alias("first"), F.max("last").alias("last")).where("lines > 1 and first < last").select("leaf")
     several = stored(lines.join(crowded, "leaf"))
-    values = several.select("leaf", F.posexplode(F.array(*_NAMES)).alias("i", "value")).groupBy("leaf", "i", "value").agg(F.count(F.lit(1)).alias("n"))
-    usual = values.groupBy("leaf", "i").agg(F.max(F.struct("n", "value")).alias("most"))
-    template = usual.groupBy("leaf").agg(*[F.max(F.when(F.col("i") == i, F.col("most.value"))).alias(f"t{i}") for i in range(FIELDS)])
-    same = reduce(lambda a, b: a + b, [(F.col(f"f{i}") == F.col(f"t{i}")).cast("int") for i in range(FIELDS)])
-    fitting = stored(several.join(template, "leaf").where(same >= agree).select("leaf", "own", "first", "last"))
-    groups = fitting.groupBy("leaf").agg(F.min("first").alias("keeper"), F.max("last").alias("end")).where(F.col("keeper") < F.col("end"))
-    general = fitting.join(groups, "leaf").select("leaf", "own", "keeper")
+    roots = components(agreeing(several, leading=leading, agree=agree))
+    fitting = stored(several.join(roots, several["own"] == roots["node"]).select("leaf", "own", "root", "first", "last"))
+    groups = fitting.groupBy("leaf", "root").agg(F.min("first").alias("keeper"), F.max("last").alias("end")).where(F.col("keeper") < F.col("end"))
+    general = stored(fitting.join(groups, ["leaf", "root"]).select("leaf", "own", "keeper"))
     exact = lines.where(F.col("first") < F.col("last")).join(general, ["leaf", "own"], "left_anti").select("leaf", "own", F.col("first").alias("keeper"))
     return general.union(exact)
 
 
-def repeated_lines(docs: DataFrame, *, leading: int = 3, min_words: int = 3, agree: int = 6, min_general: int = 12) -> DataFrame:
+def repeated_lines(docs: DataFrame, *, leading: int = 3, min_words: int = 3, agree: int = 6, min_general: int = 7) -> DataFrame:
     """(doc_id, version, dropped): the sorted line numbers, from 0, that each affected document loses."""
     parsed = stored(parse_lines(docs, leading=leading, min_words=min_words))
-    found = recurring(parsed, agree=agree, min_general=min_general)
+    found = recurring(parsed, leading=leading, agree=agree, min_general=min_general)
     lost = parsed.select("doc_id", "version", "line", "leaf", "own").join(found, ["leaf", "own"]).where(F.col("doc_id") != F.col("keeper"))
     return lost.select("doc_id", "version", "line").distinct().groupBy("doc_id", "version").agg(F.sort_array(F.collect_list("line")).alias("dropped"))
 

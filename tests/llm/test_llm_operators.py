@@ -244,6 +244,44 @@ def test_exact_lines_equal_brute_force(spark):
 
 
 # 6
+def test_crowded_leaves_equal_brute_force(spark):
+    """Many templates in one leaf, in long and short lines: components of all agreeing pairs."""
+    rng = random.Random(12)
+    words = [w for w in prose(1, 300).split() if len(w) > 2]
+    pools = {n: [["the", "same", "start", *rng.choices(words, k=n - 3)] for _ in range(12)] for n in (5, 7, 9, 11, 14, 30)}
+
+    def variant():
+        n = rng.choice(list(pools))
+        line = list(rng.choice(pools[n]))
+        for at in rng.sample(range(3, n), rng.choice((0, 1, 1, 2, 3) if n > 5 else (0, 1))):
+            line[at] = rng.choice(words)
+        return " ".join(line)
+    texts = ["\n".join(variant() for _ in range(8)) for _ in range(60)]
+
+    def fields(line):
+        rest = line.split()[3:]
+        return [tuple(rest[len(rest) * i // 8:len(rest) * (i + 1) // 8]) for i in range(8)]
+    lines = sorted({line for t in texts for line in t.split("\n")})
+    root = {line: line for line in lines}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+    for i, a in enumerate(lines):
+        for b in lines[:i]:
+            n = len(a.split())
+            if n == len(b.split()) and sum(x != y for x, y in zip(fields(a), fields(b))) <= min(n - 3, 8) // 4:
+                root[find(a)] = find(b)
+    first = {}
+    for i, t in enumerate(texts):
+        for line in t.split("\n"):
+            first.setdefault(find(line), i)
+    want = {i: [j for j, line in enumerate(t.split("\n")) if first[find(line)] != i] for i, t in enumerate(texts)}
+    got = {r.doc_id: r.dropped for r in line_templates.without_repeated_lines(table(spark, texts)).collect()}
+    assert got == want and len({find(line) for line in lines}) < 0.6 * len(lines)
+
+
 def brute_fingerprint(text):
     import xxhash
     words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(UPPER))
