@@ -108,8 +108,13 @@ def output_invariants(
     groups: DataFrame | None = None,
     scores: DataFrame | None = None,
     edges: DataFrame | None = None,
+    memberships: DataFrame | None = None,
 ) -> DataFrame:
-    """Invariants of the derived tables: complete unique keys, closed domains, known endpoints."""
+    """Invariants of the derived tables: complete unique keys, closed domains, known endpoints.
+
+    ``memberships`` (kind, key, publisher, dataset_id) stand for all undirected edges: a dataset that is in one group of a kind once has
+    no edge to itself and none twice.
+    """
     parts = []
     domains = (
         (trends, "trends", "trend", tuple(params.TREND_SCORE)),
@@ -128,6 +133,8 @@ def output_invariants(
         tables["groups"] = members
     if edges is not None:
         tables["edges"] = edges.select(F.explode(F.array("from_id", "to_id")).alias("dataset_id"))
+    if memberships is not None:
+        tables["memberships"] = memberships.select("dataset_id")
     counts = {label: F.col(f"_n{i}") for i, label in enumerate(tables)}
     listed = counts["catalogue"] > 0
     rules = []
@@ -144,6 +151,8 @@ def output_invariants(
         ]
     if edges is not None:
         rules.append((~listed & (counts["edges"] > 0), "edge endpoint missing from catalogue", None))
+    if memberships is not None:
+        rules.append((~listed & (counts["memberships"] > 0), "edge group member missing from catalogue", None))
     parts.append(_explode_findings(_presence(tables, "dataset_id"), rules))
     if scores is not None:
         parts.append(_findings(
@@ -156,4 +165,8 @@ def output_invariants(
         for kind, value in params.EDGE_WEIGHTS.items():
             weight = F.when(F.col("kind") == kind, value).otherwise(weight)
         parts.append(_findings(edges.where(~F.col("weight").eqNullSafe(weight)), "edge weight differs", "from_id", F.col("kind")))
+    if memberships is not None:
+        parts.append(duplicates(memberships, ["kind", "dataset_id"], "dataset twice in edge groups of a kind"))
+        outside = memberships.where(~F.coalesce(F.col("kind").isin(*params.EDGE_WEIGHTS), F.lit(False)))
+        parts.append(_findings(outside, "edge kind without weight", "dataset_id", F.col("kind")))
     return _all(parts)

@@ -159,9 +159,9 @@ def _integrity_findings(t: Tables):
 @query("output_invariants")
 def _output_invariants(t: Tables):
     s = t.stored
-    edges = graph.edges_of(s.catalog, s.catalog.where(F.col("data_type") == "reference"))
     return integrity.output_invariants(
-        s.catalog, trends=s.trends, drifts=s.drifts, members=s.group_members, groups=s.groups, scores=s.scores, edges=edges
+        s.catalog, trends=s.trends, drifts=s.drifts, members=s.group_members, groups=s.groups, scores=s.scores,
+        edges=graph.successor_edges(s.catalog), memberships=graph.memberships(s.catalog),
     )
 
 

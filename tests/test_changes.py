@@ -114,6 +114,25 @@ def test_output_invariants_find_each_violation(spark):
     }
 
 
+def test_output_invariants_of_edges_as_memberships(spark):
+    catalog = catalog_rows(spark, [{"dataset_id": "a", "data_type": "series"}, {"dataset_id": "b"}])
+    rows = [("same_geography", "x", None, "a"), ("same_geography", "y", None, "a"), ("shared_schema", "s", None, "z"), ("odd", "s", None, "b")]
+    members = spark.createDataFrame(rows, "kind STRING, key STRING, publisher STRING, dataset_id STRING")
+    rules = {r["rule"] for r in integrity.output_invariants(catalog, memberships=members).collect()}
+    assert rules == {"edge group member missing from catalogue", "dataset twice in edge groups of a kind", "edge kind without weight"}
+
+
+def test_output_invariants_query_checks_all_edges(spark, monkeypatch):
+    from tablehealth.plans import registry
+
+    seen = {}
+    check = integrity.output_invariants
+    monkeypatch.setattr(integrity, "output_invariants", lambda catalog, **tables: seen.update(tables, catalog=catalog) or check(catalog, **tables))
+    assert registry.queries()["output_invariants"](spark, "/root/testdata/sf0.001").count() == 0
+    declared = seen["catalog"].where("geography <> ''").count()
+    assert declared > 0 and seen["memberships"].where("kind = 'same_geography'").count() == declared
+
+
 def test_percentages_sum_to_100(spark):
     snap = snapshot_rows(spark, [{"dataset_id": str(i), "status": s} for i, s in enumerate(["fresh", "aging", "stale"])])
     rows = {r["status"]: r["percent"] for r in summary.status_distribution(snap).collect()}
