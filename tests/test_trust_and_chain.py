@@ -49,6 +49,21 @@ def canonical(value):
     return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode()
 
 
+def tree_digest_by_hand(links):
+    """Leaf, node and root of the day's digest tree: not one flat digest over the sorted list of links.
+
+    A link's place is the start of its dataset id's hash: six digits name its leaf, three its node.
+    """
+    leaves, nodes = {}, {}
+    for row in sorted(links, key=lambda r: r["dataset_id"]):
+        item = canonical({"dataset_id": row["dataset_id"], "chain_link": row["chain_link"]}).decode()
+        leaves.setdefault(hashlib.sha256(row["dataset_id"].encode()).hexdigest()[:6], []).append(item)
+    for place, items in sorted(leaves.items()):
+        nodes.setdefault(place[:3], []).append(hashlib.sha256(f"[{','.join(items)}]".encode()).hexdigest())
+    above = [hashlib.sha256("".join(digests).encode()).hexdigest() for _, digests in sorted(nodes.items())]
+    return hashlib.sha256("".join(above).encode()).hexdigest()
+
+
 def test_links_and_head_by_hand(spark):
     links = links_for(spark, "2026-08-14", None).collect()
     for row in links:
@@ -56,8 +71,7 @@ def test_links_and_head_by_hand(spark):
         assert canonical(payload) == row["payload"].encode()
         assert row["chain_link"] == hashlib.sha256(bytes.fromhex(params.GENESIS) + canonical(payload)).hexdigest()
     head = chain.daily_chain_head(links_for(spark, "2026-08-14", None), key_id="k").first()
-    listed = sorted(({"dataset_id": r["dataset_id"], "chain_link": r["chain_link"]} for r in links), key=lambda r: r["dataset_id"])
-    assert head["dataset_links_sha256"] == hashlib.sha256(canonical(listed)).hexdigest()
+    assert head["dataset_links_sha256"] == tree_digest_by_hand(links)
     assert head["chain_head"] == hashlib.sha256(bytes.fromhex(params.GENESIS) + head["payload"].encode()).hexdigest()
 
 
