@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablehealth.llm import checks, decontamination, language_id, license_scan, line_templates, quality_rules, secret_scan, sentencepiece_bpe, simhash, token_counts, warc_revisits
+from tablehealth.llm import bitsliced_search, checks, decontamination, language_id, license_scan, line_templates, quality_rules, secret_scan, sentencepiece_bpe, simhash, token_counts, warc_revisits
 from tablehealth.session import configure
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,6 +109,11 @@ def op10(spark: SparkSession, directory: str) -> DataFrame:
     return secret_scan.secrets(_table(spark, directory, "documents"))
 
 
+@_query("op11_ranked_search", checks.RANKED)
+def op11(spark: SparkSession, directory: str) -> DataFrame:
+    return bitsliced_search.search(_table(spark, directory, "documents"), _table(spark, directory, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
