@@ -36,8 +36,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Terms of a UTF-8 text: what is no letter, digit or part of a longer character becomes a space.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
-#: Bits of a signature for each mark, and slices of a mark: less than one in a hundred bitmaps' columns is wrong.
-BITS, HASHES = 10, 6
+#: Bits of a signature for each mark, and slices of a mark: less than one in a thousand bitmaps' columns is wrong.
+BITS, HASHES = 16, 8
 #: Bits of a block, and the growth of signature widths from one class of documents to the next.
 BLOCK_BITS, WIDER = 1 << 22, 2 ** 0.5
 #: The marks of a term say that it occurs more than 0, 1, 2, 4, 8 ... times.
