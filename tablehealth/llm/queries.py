@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablehealth.llm import bitsliced_search, checks, conversation_trie, decontamination, language_id, license_scan, line_templates, quality_rules, secret_scan, sentencepiece_bpe, simhash, token_counts, warc_revisits
+from tablehealth.llm import bitsliced_search, checks, conversation_trie, decontamination, language_id, license_scan, line_quality, line_templates, quality_rules, secret_scan, sentencepiece_bpe, simhash, token_counts, warc_revisits
 from tablehealth.session import configure
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,6 +114,11 @@ def op11(spark: SparkSession, directory: str) -> DataFrame:
     return bitsliced_search.search(_table(spark, directory, "documents"), _table(spark, directory, "benchmark"))
 
 
+@_query("op12_line_quality")
+def op12(spark: SparkSession, directory: str) -> DataFrame:
+    return line_quality.quality(_table(spark, directory, "documents"), _table(spark, directory, "labels"))
+
+
 @_query("op13_conversation_trie", checks.TRIE)
 def op13(spark: SparkSession, directory: str) -> DataFrame:
     return conversation_trie.trie(_table(spark, directory, "conversations"))
