@@ -26,8 +26,8 @@ from tablehealth.session import stored
 
 #: Hex digits of a turn, and conversation ids in one row of equal conversations.
 DIGITS, CHUNK = 32, 4096
-#: Turns that a shard is meant to hold, the most shards, rows sampled for each shard, and the longest splitter in turns.
-SHARD_TURNS, MAX_SHARDS, SAMPLED, SPLITTER_TURNS = 100_000, 8192, 10, 16
+#: Turns that a shard is meant to hold up to the most shards, rows sampled for each shard, and the longest splitter in turns.
+SHARD_TURNS, MAX_SHARDS, SAMPLED, SPLITTER_TURNS = 2_000, 8192, 10, 16
 
 _NODES = ("kind STRING, key STRING, conv_id BIGINT, depth BIGINT, parent_conv_id BIGINT, n_convs BIGINT, n_children BIGINT, n_leaves BIGINT, "
           "saved_tokens BIGINT, chars BIGINT, ends_sha256 STRING")
@@ -179,7 +179,7 @@ def trie(conversations: DataFrame, *, shards: int | None = None) -> DataFrame:
     spark = paths.sparkSession
     if shards is None:
         turns = paths.agg(F.sum(F.size("chars") + 1)).first()[0] or 0  # one row
-        shards = max(1, min(MAX_SHARDS, -(-turns // SHARD_TURNS)), min(spark.sparkContext.defaultParallelism, turns // 1000))
+        shards = max(1, min(MAX_SHARDS, -(-turns // SHARD_TURNS)))
     ends = splitters(paths, shards)
     cut = spark.sparkContext.broadcast(ends)
 
@@ -187,7 +187,7 @@ def trie(conversations: DataFrame, *, shards: int | None = None) -> DataFrame:
     def shard(path: pd.Series) -> pd.Series:
         return path.map(lambda p: bisect_right(cut.value, p)).astype("int32")
 
-    dealt = paths.withColumn("shard", shard("path")).repartition(len(ends) + 1, "shard").sortWithinPartitions("shard", "path", "chunk")
+    dealt = paths.withColumn("shard", shard("path")).repartitionById(len(ends) + 1, "shard").sortWithinPartitions("shard", "path", "chunk")
     found = stored(dealt.select("shard", "path", "first", "n", "ids", "chars").mapInArrow(_finish(skeleton_of(ends)), _NODES))
     skeleton = stored(reduced(found.where("kind = 'part'")))
     # at most MAX_SHARDS * SPLITTER_TURNS rows
