@@ -199,3 +199,6 @@ AUDIT_CADENCE_DAYS = {
     "30 seconds": 0.001, "hourly": 1 / 24, "daily": 1.0, "weekly": 7.0, "monthly": 30.0,
     "quarterly": 90.0, "annual": 365.0,
 }
+
+#: Days of state that are read beside a base before they are folded into the next one.
+STATE_FOLD_DAYS = 7

@@ -10,7 +10,7 @@ from tablehealth.plans.bindings import AS_OF, Tables
 from tablehealth.plans.oracle import NOW, TABLES, case_of
 from tablehealth.plans.registry import query
 
-# a cycle that exists in the history, with a catalogue that lacks some of its ids
+# a cycle that exists in the history, with the catalogue of datasets that are still published
 _CYCLE = "2024-01-25T12:00"
 
 TABLES["lastcycle"] = f"SELECT max(cycle) AS c FROM obs WHERE cycle <= '{_CYCLE}'"
@@ -19,7 +19,7 @@ TABLES["base"] = f"""
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY cycle DESC, observed_at DESC, seq) AS rn FROM obs
   WHERE cycle < '{_CYCLE}' AND probe_outcome = 'success') WHERE rn = 1"""
 TABLES["prevcycle"] = f"SELECT DISTINCT dataset_id FROM obs WHERE cycle = (SELECT max(cycle) FROM obs WHERE cycle < '{_CYCLE}')"
-TABLES["shortcat"] = "SELECT * FROM cat WHERE n % 4 <> 1"
+TABLES["shortcat"] = "SELECT * FROM cat WHERE NOT discontinued"
 TABLES["compared"] = """
 SELECT c.dataset_id, c.name, c.url AS new_url, b.cycle, b.status AS old_status, b.anomaly_detected AS old_flag, b.url AS old_url,
   b.shape_hash, b.record_count AS old_count, b.record_count_estimated AS old_estimated, s.status, a.anomaly_detected, s.first_row_hash,
@@ -53,7 +53,7 @@ def _history_with_cycle(t: Tables):
 
 
 def _ledger(t: Tables):
-    catalog = t.stored.catalog.where(F.col("n") % 4 != 1)
+    catalog = t.stored.catalog.where(~F.col("discontinued"))
     return changes.dataset_deltas(catalog, t.stored.snapshot, _history_with_cycle(t), cycle=_CYCLE)
 
 

@@ -36,7 +36,7 @@ def present(df: DataFrame) -> DataFrame:
 
 def _load() -> None:
     from tablehealth.plans import (  # noqa: F401
-        queries_catalog, queries_changes, queries_history, queries_payload, queries_ranked, queries_trust,
+        queries_catalog, queries_changes, queries_history, queries_payload, queries_ranked, queries_state, queries_trust,
     )
 
 

@@ -44,12 +44,21 @@ def local_session(cpus: int | str = "*", app: str = "tablehealth", **conf: str)
 def scratch_folder(spark: SparkSession) -> str:
     """The folder for intermediate tables: the one named in ``spark.checkpoint.dir``, else one below the warehouse.
 
-    Both are shared by all executors on a cluster; no machine-local folder is ever used.
+    On a cluster one of the two must be set to a folder that all executors share: the warehouse's own default is a folder of
+    the driver's machine and serves local sessions only.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     return folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
+def scratch_path(spark: SparkSession, label: str = "tablehealth") -> str:
+    """A new path in the scratch folder, deleted with all below it when the session's JVM ends."""
+    path = f"{scratch_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write the frame once as Parquet to the shared scratch folder and continue from there.
 
@@ -57,10 +66,8 @@ def stored(df: DataFrame) -> DataFrame:
     The files are deleted when the session's JVM ends.
     """
     spark = df.sparkSession
-    path = f"{scratch_folder(spark).rstrip('/')}/tablehealth-{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     df.write.parquet(path)
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
 
 
