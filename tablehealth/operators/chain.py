@@ -215,27 +215,36 @@ def cycle_digest(history: DataFrame, *, columns: list[str]) -> DataFrame:
     )
 
 
+#: Order of a registry's entries for one key: the last of those that have begun holds.
+_ENTRY = ("not_before", "not_after", "public_key", "algorithm", "status", "compromised_at")
+
+
 def key_validity(attestations: DataFrame, registry: DataFrame) -> DataFrame:
-    """Attestations matched to the key registry; valid inside the key's validity interval.
+    """Attestations with the registry entry of their key that holds at ``observed_at``; one row each.
 
-    Input columns: ``key_id, public_key, observed_at`` against ``key_id, public_key,
-    not_before, not_after, algorithm, status, compromised_at``.
+    Input columns: ``key_id, public_key, observed_at`` against ``key_id, public_key, not_before, not_after, algorithm,
+    status, compromised_at``. A key id may be listed many times, with intervals that repeat or overlap. The entry with the
+    latest start at or before the instant holds; of equal starts the one that ends last, then the greatest in the order of
+    the other columns (nulls least). If none has begun, or the instant is null, the first entry stands for the key, so that its
+    public key is still compared; its interval doesn't hold.
+
+    The entries of a key become one sorted list, so a key that signs most attestations multiplies no rows.
     """
-    keys = registry.select(
-        F.col("key_id").alias("_key_id"), F.col("public_key").alias("_public_key"), "not_before", "not_after",
-        "algorithm", F.col("status").alias("_key_status"), "compromised_at",
-    )
-    in_time = F.col("observed_at").between(F.col("not_before"), F.col("not_after"))
-    joined = attestations.join(keys, F.col("key_id") == F.col("_key_id"), "left")
-    match = F.coalesce(F.col("public_key") == F.col("_public_key"), F.lit(False))
+    entries = registry.groupBy(F.col("key_id").alias("_key_id")).agg(F.array_sort(F.collect_set(F.struct(*_ENTRY))).alias("_entries"))
+    begun = F.filter("_entries", lambda e: e["not_before"] <= F.col("observed_at"))
+    joined = attestations.join(entries, F.col("key_id") == F.col("_key_id"), "left").withColumn("_begun", begun)
+    held = F.coalesce(F.try_element_at("_begun", F.lit(-1)), F.try_element_at("_entries", F.lit(1)))
+    joined = joined.withColumn("_entry", held)
+    entry = F.col("_entry")
+    in_time = F.coalesce(F.col("observed_at").between(entry["not_before"], entry["not_after"]), F.lit(False))
+    match = F.coalesce(F.col("public_key") == entry["public_key"], F.lit(False))
     sound = (
-        (F.coalesce("algorithm", F.lit("Ed25519")) == "Ed25519")
-        & (F.coalesce("_key_status", F.lit("")) != "compromised")
-        & F.col("compromised_at").isNull()
+        (F.coalesce(entry["algorithm"], F.lit("Ed25519")) == "Ed25519")
+        & (F.coalesce(entry["status"], F.lit("")) != "compromised")
+        & entry["compromised_at"].isNull()
     )
     return joined.select(
         *attestations.columns,
-        match.alias("key_registry_match"),
-        F.coalesce(in_time, F.lit(False)).alias("key_time_valid"),
-        (match & F.coalesce(in_time, F.lit(False)) & sound & F.col("_key_id").isNotNull()).alias("key_valid"),
+        match.alias("key_registry_match"), in_time.alias("key_time_valid"),
+        (match & in_time & sound & F.col("_key_id").isNotNull()).alias("key_valid"),
     )

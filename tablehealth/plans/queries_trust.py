@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablehealth import params
-from tablehealth.operators import chain, evidence, history, signals, trust
+from tablehealth.operators import chain, evidence, history, membership, signals, trust
 from tablehealth.plans.bindings import AS_OF, Tables
 from tablehealth.plans.oracle import NOW, TABLES
 from tablehealth.plans.registry import query
+from tablehealth.session import cut_lineage
 
 _DAY = AS_OF[:10]
 _KEY = "key-1"
@@ -161,6 +162,55 @@ def _key_validity(t: Tables):
     return chain.key_validity(signed, registry).select("seq", "key_registry_match", "key_time_valid", "key_valid")
 
 
+_KEYS_SQL = """(SELECT DISTINCT 'key-' || (n % 3) AS key_id, 'pk-' || (n % 3) || '-' || (n % 2) AS public_key,
+  TIMESTAMP '2024-01-03' + to_days(CAST(n % 10 AS INTEGER)) AS not_before, TIMESTAMP '2024-01-03' + to_days(CAST(n % 10 + 4 + 3 * (n % 4) AS INTEGER)) AS not_after,
+  CASE WHEN n % 11 = 0 THEN 'compromised' ELSE 'active' END AS status FROM cat)"""
+
+
+@query("key_validity_as_of", f"""
+SELECT seq, pk = public_key AS key_registry_match, coalesce(seen BETWEEN not_before AND not_after, false) AS key_time_valid,
+  pk = public_key AND coalesce(seen BETWEEN not_before AND not_after, false) AND status <> 'compromised' AS key_valid
+FROM (SELECT seq, observed_at AS seen, 'pk-' || (n % 3) || '-' || (seq % 2) AS pk, k.*,
+    row_number() OVER (PARTITION BY seq ORDER BY k.not_before <= observed_at DESC,
+      CASE WHEN k.not_before <= observed_at THEN -epoch_us(k.not_before) ELSE epoch_us(k.not_before) END,
+      CASE WHEN k.not_before <= observed_at THEN -epoch_us(k.not_after) ELSE epoch_us(k.not_after) END,
+      CASE WHEN k.not_before <= observed_at THEN -CAST(right(k.public_key, 1) AS INTEGER) ELSE CAST(right(k.public_key, 1) AS INTEGER) END,
+      CASE WHEN (k.not_before <= observed_at) = (k.status = 'compromised') THEN 0 ELSE 1 END) AS rn
+  FROM obs JOIN {_KEYS_SQL} k ON k.key_id = 'key-' || (n % 3)) WHERE rn = 1""")
+def _key_validity_as_of(t: Tables):
+    """Keys listed many times, with intervals that overlap and repeat."""
+    n, start = F.col("n"), F.lit("2024-01-03").cast("timestamp")
+    days = lambda count: F.timestamp_micros(F.unix_micros(start) + count * 86_400_000_000)
+    registry = t.catalog.select(
+        F.concat(F.lit("key-"), (n % 3).cast("string")).alias("key_id"), F.concat(F.lit("pk-"), (n % 3).cast("string"), F.lit("-"), (n % 2).cast("string")).alias("public_key"),
+        days(n % 10).alias("not_before"), days(n % 10 + 4 + 3 * (n % 4)).alias("not_after"),
+        F.lit("Ed25519").alias("algorithm"), F.when(n % 11 == 0, "compromised").otherwise("active").alias("status"), F.lit(None).cast("timestamp").alias("compromised_at"),
+    )
+    signed = t.observations.select(
+        "seq", F.concat(F.lit("key-"), (n % 3).cast("string")).alias("key_id"),
+        F.concat(F.lit("pk-"), (n % 3).cast("string"), F.lit("-"), (F.col("seq") % 2).cast("string")).alias("public_key"), "observed_at")
+    return chain.key_validity(signed, registry).select("seq", "key_registry_match", "key_time_valid", "key_valid")
+
+
+@query("verify_membership", """
+SELECT l.date, l.dataset_id, CASE WHEN left(sha256(l.dataset_id), 6) = (SELECT left(sha256(min(b.dataset_id)), 6) FROM bare b JOIN cat k ON k.dataset_id = b.dataset_id
+    WHERE b.status = 'aging' AND k.n % 23 <> 5) THEN 'invalid_path'
+  WHEN c.n % 23 = 5 THEN 'omitted' WHEN s.status = 'stale' THEN 'other_link' ELSE 'member' END AS membership
+FROM links1 l JOIN cat c ON c.dataset_id = l.dataset_id JOIN bare s ON s.dataset_id = l.dataset_id""")
+def _verify_membership(t: Tables):
+    """A tree without some datasets, links altered after the head, and one listed link altered in the tree."""
+    links = cut_lineage(_links(t, "2024-01-29"))
+    status = t.stored.bare_snapshot.select("dataset_id", F.col("status").alias("_status"))
+    numbers = t.stored.catalog.select("dataset_id", F.col("n").alias("_n"))
+    marked = cut_lineage(links.join(status, "dataset_id").join(numbers, "dataset_id"))
+    kept = marked.where(F.col("_n") % 23 != 5).select(*links.columns)
+    tree = cut_lineage(membership.head_tree(kept))
+    chosen = marked.where((F.col("_status") == "aging") & (F.col("_n") % 23 != 5)).agg(F.min("dataset_id")).scalar()
+    forged = tree.withColumn("chain_link", F.when(F.col("dataset_id") == chosen, F.reverse("chain_link")).otherwise(F.col("chain_link")))
+    shown = marked.withColumn("chain_link", F.when(F.col("_status") == "stale", F.reverse("chain_link")).otherwise(F.col("chain_link"))).select(*links.columns)
+    return membership.verify_membership(shown, forged, chain.daily_chain_head(kept, key_id=_KEY)).select("date", "dataset_id", "membership")
+
+
 # ---- record evidence: customers as the records of a product register ----
 
 
