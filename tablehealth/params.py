@@ -202,3 +202,6 @@ AUDIT_CADENCE_DAYS = {
 
 #: Days of state that are read beside a base before they are folded into the next one.
 STATE_FOLD_DAYS = 7
+
+#: Epochs of a stream's store after which the closed ones are folded.
+FOLD_EPOCHS = 50
