@@ -46,8 +46,10 @@ FROM m GROUP BY doc_id
 def quality(reach: float = 3.0, min_group: int = 200) -> str:
     rates = quality_rules.RATES
     values = " UNION ALL ".join(
-        f"SELECT doc_id, lang, source, base_failed, '{name}' AS rate, CAST(floor({up} * 1000000 / greatest({down}, 1)) AS BIGINT) AS v, {least or 0} AS lo, {most} AS hi, {least is not None} AS low FROM base"
-        for name, up, down, least, most in rates)
+        f"SELECT doc_id, lang, source, base_failed, '{name}' AS rate, CAST(floor({up} * 1000000 / greatest({down}, 1)) AS BIGINT) AS v, {up} AS up, {down} AS down, {first} AS first, {width} AS width, {share} AS share FROM base"
+        for name, up, down, first, width, share in rates)
+    growth = f"{math.log(quality_rules.GROWTH)!r}"
+    decile = lambda x, share: f"{x}[CAST(ceil(len({x}) * {share}) AS BIGINT)]"
     return f"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) > 2)),
@@ -57,17 +59,19 @@ base AS (SELECT d.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(
     CAST(len(regexp_extract_all(text, '{quality_rules.SYMBOLS}')) AS BIGINT) AS n_symbols, coalesce(l.n, 0) AS n_lines, coalesce(l.dup, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
     len(w) < {quality_rules.MIN_WORDS} OR 100 * coalesce(r.n, 0) > {quality_rules.MAX_REPEAT_PERCENT} * len(w) AS base_failed
   FROM d LEFT JOIN l ON l.doc_id = d.doc_id LEFT JOIN r ON r.doc_id = d.doc_id),
-v AS (SELECT *, CASE WHEN v <= 0 THEN 0 ELSE CAST(ceil(ln(CAST(v AS DOUBLE)) / {math.log(quality_rules.GROWTH)!r} - 1e-9) AS INTEGER) + 1 END AS b FROM ({values})),
+v AS (SELECT *, CASE WHEN v <= first THEN 0 ELSE CAST(ceil(ln(CAST(v AS DOUBLE) / first) / {growth} - 1e-9) AS INTEGER) END AS b FROM ({values})),
 good AS (SELECT * FROM v WHERE NOT base_failed),
-own AS (SELECT lang, source, rate, count(*) AS n, list_sort(list(b)) AS s FROM good GROUP BY ALL),
+own AS (SELECT lang, source, rate, any_value(width) AS width, count(*) AS n, list_sort(list(b)) AS s FROM good GROUP BY lang, source, rate),
 lng AS (SELECT lang, rate, count(*) AS n, list_sort(list(b)) AS s FROM good GROUP BY ALL),
 al AS (SELECT rate, list_sort(list(b)) AS s FROM good GROUP BY ALL),
-pick AS (SELECT o.lang, o.source, o.rate, CASE WHEN o.n >= {min_group} THEN o.s WHEN l.n >= {min_group} THEN l.s ELSE a.s END AS s
+pick AS (SELECT o.lang, o.source, o.rate, o.width, CASE WHEN o.n >= {min_group} THEN o.s WHEN l.n >= {min_group} THEN l.s ELSE a.s END AS s
   FROM own o JOIN lng l ON l.lang IS NOT DISTINCT FROM o.lang AND l.rate = o.rate JOIN al a ON a.rate = o.rate),
-fence AS (SELECT lang, source, rate, q1 - {reach} * (q3 - q1) AS lower, q3 + {reach} * (q3 - q1) AS upper
-  FROM (SELECT lang, source, rate, s[CAST(ceil(len(s) * 0.25) AS BIGINT)] AS q1, s[CAST(ceil(len(s) * 0.75) AS BIGINT)] AS q3 FROM pick)),
-broken AS (SELECT v.doc_id, v.rate, v.low AND v.b < f.lower AND v.v < v.lo AS under, v.b > f.upper AND v.v > v.hi AS over
-  FROM v JOIN fence f ON f.lang IS NOT DISTINCT FROM v.lang AND f.source IS NOT DISTINCT FROM v.source AND f.rate = v.rate),
+fence AS (SELECT lang, source, rate, low - {reach} * greatest(middle - low, width) AS lower, high + {reach} * greatest(high - middle, width) AS upper
+  FROM (SELECT lang, source, rate, width, {decile('s', 0.1)} AS low, {decile('s', 0.5)} AS middle, {decile('s', 0.9)} AS high FROM pick)),
+broken AS (SELECT doc_id, rate, NOT share AND b < lower AS under,
+    CASE WHEN share THEN up - allowed > {quality_rules.SIGMAS} * sqrt(allowed) ELSE b > upper END AS over
+  FROM (SELECT v.*, f.lower, f.upper, v.down * (v.first / 1e6) * pow({quality_rules.GROWTH}, f.upper) AS allowed
+    FROM v JOIN fence f ON f.lang IS NOT DISTINCT FROM v.lang AND f.source IS NOT DISTINCT FROM v.source AND f.rate = v.rate)),
 failed AS (SELECT doc_id, string_agg(CASE WHEN under THEN 'low_' ELSE 'high_' END || rate, ',' ORDER BY list_position({[name for name, *_ in rates]}, rate)) AS failed FROM broken WHERE under OR over GROUP BY doc_id)
 SELECT base.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed IS NULL AS kept,
   CASE WHEN base_failed THEN '' ELSE coalesce(failed, '') END AS failed

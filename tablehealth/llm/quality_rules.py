@@ -1,9 +1,15 @@
 """Quality rules with adaptive thresholds from mergeable quantile sketches per language and source.
 
 A document passes the fixed base rules, or it is out. Of those that pass, each rate (symbols, repeated lines, repeated
-words, word length) must lie within bounds that its own language and source set: fences around the middle half of its documents, read from a sketch. The sketch of a group is its histogram over buckets of fixed relative width (``GROWTH``), so sketches merge
-by adding counts, are exact in rank, off by at most one bucket in value, and do not depend on how rows are dealt out. A
-group smaller than ``min_group`` uses its language's merged sketch, and a language smaller than that the sketch of all.
+words, word length) must lie within bounds that its own language and source set, read from a sketch: above its ninth decile
+(and, for word length, below its first) by ``reach`` times the decile's distance from the median, which counts as ``width``
+buckets at least. No cutoff is fixed: a group that is full of symbols tolerates them, one that has none doesn't.
+
+The sketch of a group is its histogram over buckets of fixed relative width (``GROWTH``), so sketches merge by adding counts, are
+exact in rank, off by at most one bucket in value, and do not depend on how rows are dealt out. Shares below ``RESOLUTION`` are
+one bucket. A group smaller than ``min_group`` uses its language's merged sketch, and a language smaller than that the sketch of all.
+As a share of few things is no evidence, a document breaks a bound only if its count is more than ``SIGMAS`` standard
+deviations (of a Poisson count) above what the bound allows a document of its size.
 
 Counting partly on each task keeps a source with a third of all rows from being special: a group's sketch has at most a
 few hundred rows.
@@ -26,11 +32,15 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 #: Each bucket of a sketch ends at so many times the end of the one before.
 GROWTH = 1.05
-#: Rates in parts per million: column, numerator, denominator, and what no group's lower or upper bound goes within.
+#: Parts per million up to which shares are one bucket, and standard deviations that a count must lie above its bound.
+RESOLUTION, SIGMAS = 10_000, 3.0
+#: Rates in parts per million: column, numerator, denominator, end of the first bucket, least spread in buckets, and whether it is a
+#: share (of which only an excess counts) or a size with bounds on both sides.
 RATES = (
-    ("symbol_rate", "n_symbols", "word_chars", None, 50_000), ("dup_line_rate", "n_dup_lines", "n_lines", None, 300_000),
-    ("repeat_rate", "n_repeat_words", "n_words", None, 300_000), ("word_length", "word_chars", "n_words", 2_500_000, 10_000_000),
+    ("symbol_rate", "n_symbols", "word_chars", RESOLUTION, 10, True), ("dup_line_rate", "n_dup_lines", "n_lines", RESOLUTION, 10, True),
+    ("repeat_rate", "n_repeat_words", "n_words", RESOLUTION, 10, True), ("word_length", "word_chars", "n_words", 1, 1, False),
 )
+_DECILES = {"low": 0.1, "middle": 0.5, "high": 0.9}
 
 
 def base_counts(docs: DataFrame) -> DataFrame:
@@ -77,17 +87,17 @@ def repeated_words(words: Column, window: int = 3) -> Column:
 
 def sketch(rates: DataFrame, keys: list[str]) -> DataFrame:
     """The quantile sketches of every rate: (*keys, rate, bucket, n), to be merged by adding ``n``."""
-    named = F.explode(F.array(*[F.struct(F.lit(name).alias("rate"), bucket(F.col(name)).alias("bucket")) for name, *_ in RATES]))
+    named = F.explode(F.array(*[F.struct(F.lit(name).alias("rate"), bucket(F.col(name), first).alias("bucket")) for name, _, _, first, *_ in RATES]))
     return rates.select(*keys, named.alias("x")).groupBy(*keys, "x.rate", "x.bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
-def bucket(value: Column) -> Column:
-    """Bucket 0 holds zero; bucket b the values up to GROWTH ** b."""
-    return F.when(value <= 0, 0).otherwise(F.ceil(F.log(value.cast("double")) / math.log(GROWTH) - 1e-9) + 1).cast("int")
+def bucket(value: Column, first: int) -> Column:
+    """Bucket 0 holds the values up to ``first``; bucket b those up to ``first`` * GROWTH ** b."""
+    return F.when(value <= first, 0).otherwise(F.ceil(F.log(value.cast("double") / first) / math.log(GROWTH) - 1e-9)).cast("int")
 
 
-def quartiles(sketches: DataFrame, keys: list[str]) -> DataFrame:
-    """(*keys, rate, size, lower, upper): the buckets in which the quartiles of each sketch lie.
+def deciles(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, rate, size, low, middle, high): the buckets in which the deciles of each sketch lie.
 
     A sketch is small, so it is read as one sorted list.
     """
@@ -99,21 +109,23 @@ def quartiles(sketches: DataFrame, keys: list[str]) -> DataFrame:
             (acc["seen"] + c["n"]).alias("seen"), F.coalesce(acc["at"], F.when(acc["seen"] + c["n"] >= rank, c["bucket"])).alias("at")))
         return step["at"]
 
-    return cells.select(*keys, "rate", "size", at(0.25).alias("lower"), at(0.75).alias("upper"))
+    return cells.select(*keys, "rate", "size", *[at(share).alias(name) for name, share in _DECILES.items()])
 
 
 def thresholds(rates: DataFrame, *, reach: float, min_group: int) -> DataFrame:
-    """(lang, source, lower_<rate>, upper_<rate> ...): bucket bounds of every language and source, nulls as keys of their own."""
+    """(lang, source, lower_<rate>, upper_<rate> ...): bounds in buckets of every language and source, nulls as keys of their own."""
     fine = stored(sketch(rates, ["lang", "source"]))
     by_lang = fine.groupBy("lang", "rate", "bucket").agg(F.sum("n").alias("n"))
     overall = by_lang.groupBy("rate", "bucket").agg(F.sum("n").alias("n"))
-    own, lang, all_ = (quartiles(x, keys) for x, keys in ((fine, ["lang", "source"]), (by_lang, ["lang"]), (overall, [])))
-    lang = lang.select(F.col("lang").alias("l_lang"), F.col("rate").alias("l_rate"), F.col("size").alias("l_size"), F.col("lower").alias("l_lower"), F.col("upper").alias("l_upper"))
-    all_ = all_.select(F.col("rate").alias("a_rate"), F.col("lower").alias("a_lower"), F.col("upper").alias("a_upper"))
+    own, lang, all_ = (deciles(x, keys) for x, keys in ((fine, ["lang", "source"]), (by_lang, ["lang"]), (overall, [])))
+    lang = lang.select(*[F.col(c).alias(f"l_{c}") for c in ("lang", "rate", "size", *_DECILES)])
+    all_ = all_.select(*[F.col(c).alias(f"a_{c}") for c in ("rate", *_DECILES)])
     joined = own.join(lang, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("rate") == F.col("l_rate"))).join(all_, F.col("rate") == F.col("a_rate"))
-    pick = {side: F.when(F.col("size") >= min_group, F.col(side)).when(F.col("l_size") >= min_group, F.col(f"l_{side}")).otherwise(F.col(f"a_{side}")) for side in ("lower", "upper")}
-    width = reach * (pick["upper"] - pick["lower"])
-    bounds = joined.select("lang", "source", "rate", (pick["lower"] - width).alias("lower"), (pick["upper"] + width).alias("upper"))
+    pick = {d: F.when(F.col("size") >= min_group, F.col(d)).when(F.col("l_size") >= min_group, F.col(f"l_{d}")).otherwise(F.col(f"a_{d}")) for d in _DECILES}
+    width = F.element_at(F.create_map(*[F.lit(x) for name, _, _, _, width, _ in RATES for x in (name, width)]), F.col("rate"))
+    bounds = joined.select(
+        "lang", "source", "rate", (pick["low"] - reach * F.greatest(pick["middle"] - pick["low"], width)).alias("lower"),
+        (pick["high"] + reach * F.greatest(pick["high"] - pick["middle"], width)).alias("upper"))
     return bounds.groupBy("lang", "source").agg(
         *[F.max(F.when(F.col("rate") == name, F.col(side))).alias(f"{side}_{name}") for name, *_ in RATES for side in ("lower", "upper")])
 
@@ -121,8 +133,7 @@ def thresholds(rates: DataFrame, *, reach: float, min_group: int) -> DataFrame:
 def quality(docs: DataFrame, *, reach: float = 3.0, min_group: int = 200) -> DataFrame:
     """Per row of ``docs``: doc_id, the base counts, base_failed, kept and ``failed``, the names of the bounds it broke.
 
-    A bound lies ``reach`` times the distance of the quartiles, on the logarithmic scale of the buckets, outside the middle
-    half, and never within the values in ``RATES``. Thresholds come from all documents that pass the base rules. Null and empty texts have no words and fail; null languages and sources are groups of their own;
+    Thresholds come from all documents that pass the base rules. Null and empty texts have no words and fail; null languages and sources are groups of their own;
     repeated rows are judged each; an empty table gives an empty result. Other columns are ignored.
     """
     n = F.col("n_words")
@@ -132,11 +143,13 @@ def quality(docs: DataFrame, *, reach: float = 3.0, min_group: int = 200) -> Dat
     bounds = bounds.withColumnsRenamed({"lang": "b_lang", "source": "b_source"})
     joined = rates.join(bounds, F.col("lang").eqNullSafe(F.col("b_lang")) & F.col("source").eqNullSafe(F.col("b_source")), "left")
     broken = []
-    for name, _, _, least, most in RATES:
-        value = bucket(F.col(name))
-        if least is not None:
-            broken.append(F.when((value < F.col(f"lower_{name}")) & (F.col(name) < least), f"low_{name}"))
-        broken.append(F.when((value > F.col(f"upper_{name}")) & (F.col(name) > most), f"high_{name}"))
+    for name, up, down, first, _, share in RATES:
+        lower, upper, value = F.col(f"lower_{name}"), F.col(f"upper_{name}"), bucket(F.col(name), first)
+        if share:
+            allowed = F.col(down) * (first / 1e6) * F.pow(F.lit(GROWTH), upper)
+            broken.append(F.when(F.col(up) - allowed > SIGMAS * F.sqrt(allowed), f"high_{name}"))
+        else:
+            broken += [F.when(value < lower, f"low_{name}"), F.when(value > upper, f"high_{name}")]
     failed = F.filter(F.array(*broken), lambda x: x.isNotNull())
     return joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
