@@ -3,15 +3,18 @@
 A line's way down the tree has a fixed depth: its token count, then its ``leading`` first tokens, with digits generalised.
 In the leaf the remaining tokens are cut to ``FIELDS`` consecutive fields (single tokens or none in short lines). Two lines of
 a leaf agree if at least ``agree`` of ``FIELDS`` fields are equal; in lines with fewer tokens than fields, the same share of tokens
-must be, so a line may differ in a quarter of them. A leaf's templates are the components of agreeing lines, however many it
-holds, and the fields in which their lines differ are variable. A line that agrees with none is a template of its own, up to its digits.
+must be, so a line may differ in a quarter of them. Agreeing lines form components, however many a leaf holds. The fields in which
+a component's lines differ are variable, the others fixed; it is a template if as many are fixed as two lines must have in common.
+A component with fewer is a chain, whose ends may share nothing, and is split: a line goes to the choice of fixed fields that most
+lines of the chain share with it (of equal ones, the one with the greatest hash). So all lines of a template agree in its fixed
+fields. A line that agrees with none is a template of its own, up to its digits.
 
 Agreeing pairs are not compared: lines that may differ in m fields share one of m + 1 runs of fields, and lines without a partner
 there are left out; the others get a key for every choice of the fields that must be equal, and each key's lines are linked to the
 smallest of them.
 
 A template that occurs in two or more documents is recurring: its lines stay in the document with the smallest id and are
-dropped from the others, so that no text is lost from the corpus. Lines of fewer than ``min_words`` tokens are never
+dropped from the others; what is lost is the text of variable fields. Lines of fewer than ``min_words`` tokens are never
 dropped, and only lines of at least ``min_general`` tokens are generalised beyond their digits: in shorter ones, no token
 may differ.
 
@@ -65,10 +68,16 @@ def _keys(choices: list[tuple[int, ...]]) -> Column:
     return F.array(*[F.xxhash64("leaf", F.lit(i), *[_NAMES[k] for k in fields]) for i, fields in enumerate(choices)])
 
 
-def agreeing(lines: DataFrame, *, leading: int = 3, agree: int = 6) -> DataFrame:
-    """(a, b): links between the distinct lines (leaf, own, tokens, f0..f7), whose components are those of all agreeing pairs."""
+def _variable(leading: int, agree: int) -> Column:
+    """In how many fields agreeing lines of so many tokens may differ."""
+    return F.floor(F.least(F.col("tokens") - leading, F.lit(FIELDS)) * (FIELDS - agree) / FIELDS)
+
+
+def agreeing(lines: DataFrame, *, leading: int = 3, agree: int = 6) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) between the distinct lines (leaf, own, tokens, f0..f7), whose components are those of all agreeing pairs, and
+    (own, key) of the choices of fixed fields of every line that may have a partner."""
     most = FIELDS - agree
-    allowed = F.floor(F.least(F.col("tokens") - leading, F.lit(FIELDS)) * most / FIELDS)
+    allowed = _variable(leading, agree)
 
     def by_allowed(choices) -> Column:
         """Lines that may differ in m fields have a token count of their own, so keys for different m never meet."""
@@ -86,7 +95,17 @@ def agreeing(lines: DataFrame, *, leading: int = 3, agree: int = 6) -> DataFrame
     partners = stored(met.join(shared, "key", "left_semi").select("own").distinct())
     met = stored(lines.join(partners, "own", "left_semi").select("own", F.explode(by_allowed(lambda m: list(combinations(range(FIELDS), FIELDS - m)))).alias("key")))
     hubs = met.groupBy("key").agg(F.min("own").alias("hub"), F.max("own").alias("most")).where(F.col("hub") < F.col("most")).select("key", "hub")
-    return met.join(hubs, "key").where(F.col("own") != F.col("hub")).select(F.col("own").alias("a"), F.col("hub").alias("b")).distinct()
+    links = met.join(hubs, "key").where(F.col("own") != F.col("hub")).select(F.col("own").alias("a"), F.col("hub").alias("b")).distinct()
+    return links, met
+
+
+def _split(chained: DataFrame, choices: DataFrame) -> DataFrame:
+    """(leaf, own, keeper) of the lines of chains that recur through the choice of fixed fields that most lines share with them."""
+    shared = choices.join(chained.select("own", "leaf", "first", "last"), "own")
+    sizes = shared.groupBy("key").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1")
+    chosen = shared.join(sizes, "key").groupBy("leaf", "own", "first", "last").agg(F.max_by("key", F.struct("lines", "key")).alias("key"))
+    kept = chosen.groupBy("key").agg(F.min("first").alias("keeper"), F.max("last").alias("end")).where(F.col("keeper") < F.col("end")).select("key", "keeper")
+    return chosen.join(kept, "key").select("leaf", "own", "keeper")
 
 
 def recurring(parsed: DataFrame, *, leading: int = 3, agree: int = 6, min_general: int = 7) -> DataFrame:
@@ -99,10 +118,15 @@ def recurring(parsed: DataFrame, *, leading: int = 3, agree: int = 6, min_genera
     crowded = lines.where(F.col("tokens") >= min_general).groupBy("leaf").agg(
         F.count(F.lit(1)).alias("lines"), F.min("first").alias("first"), F.max("last").alias("last")).where("lines > 1 and first < last").select("leaf")
     several = stored(lines.join(crowded, "leaf"))
-    roots = components(agreeing(several, leading=leading, agree=agree))
-    fitting = stored(several.join(roots, several["own"] == roots["node"]).select("leaf", "own", "root", "first", "last"))
-    groups = fitting.groupBy("leaf", "root").agg(F.min("first").alias("keeper"), F.max("last").alias("end")).where(F.col("keeper") < F.col("end"))
-    general = stored(fitting.join(groups, ["leaf", "root"]).select("leaf", "own", "keeper"))
+    links, choices = agreeing(several, leading=leading, agree=agree)
+    roots = components(links)
+    fitting = stored(several.join(roots, several["own"] == roots["node"]).select("leaf", "own", "root", "first", "last", "tokens", *_NAMES))
+    fixed = sum(((F.min(f) == F.max(f)).cast("int") for f in _NAMES), F.lit(0))
+    groups = stored(fitting.groupBy("leaf", "root").agg(F.min("first").alias("keeper"), F.max("last").alias("end"), fixed.alias("fixed"), F.max("tokens").alias("tokens")))
+    whole = F.col("fixed") >= FIELDS - _variable(leading, agree)
+    templates = groups.where(whole & (F.col("keeper") < F.col("end"))).select("leaf", "root", "keeper")
+    general = fitting.join(templates, ["leaf", "root"]).select("leaf", "own", "keeper")
+    general = stored(general.unionByName(_split(fitting.join(groups.where(~whole).select("leaf", "root"), ["leaf", "root"], "left_semi"), choices)))
     exact = lines.where(F.col("first") < F.col("last")).join(general, ["leaf", "own"], "left_anti").select("leaf", "own", F.col("first").alias("keeper"))
     return general.union(exact)
 
