@@ -10,6 +10,8 @@ from conftest import history_rows
 from pyspark.sql import functions as F
 
 from tablehealth.operators import drift, history, state
+from tablehealth.plans.bindings import AS_OF, Tables
+from tablehealth.plans.cycle import run_cycle
 from tablehealth.session import stored
 from tablehealth.sources.writers import write_history
 
@@ -111,3 +113,16 @@ def test_empty(spark, tmp_path):
     table = state.StateTable(spark, str(tmp_path))
     table.record(none)
     assert table.days() == [] and table.before(none, "2026-08-01T00:00").collect() == []
+
+
+def test_cycle_with_and_without_state(spark, tmp_path):
+    t = Tables(spark, "/root/testdata/sf0.001").stored
+    write_history(history.keyed_history(t.history), f"{tmp_path}/history")
+    prior = spark.read.parquet(f"{tmp_path}/history").select(*state.COLUMNS)
+    table = state.StateTable(spark, f"{tmp_path}/state")
+    table.record(prior)
+    found = []
+    for kept_state in (None, table):
+        cycle = run_cycle(t.probes_at(AS_OF), t.catalog, t.previous, prior, as_of=AS_OF, cycle="2024-01-30T23:59", state=kept_state)
+        found.append([listed(df, *sorted(df.columns)) for df in (cycle.drifts, cycle.deltas)])
+    assert found[0] == found[1] and all(found[0])
