@@ -13,6 +13,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Python workers get batches by size too: rows may hold very long texts
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
 }
 
 
