@@ -9,12 +9,13 @@ Posterior of a language = host prior x likelihood of the declared language x tem
 * host and address suffix: shares of languages among a host's texts, smoothed towards the shares of its address suffix,
   and those towards the shares of all, by grouped aggregation.
 
-Every declared language with at least ``min_texts`` texts is a class, whatever its share. One more class, ``UNKNOWN``, stands for
-none of these: foreign languages and garbage. Its text model is the background, trigrams of independent bytes mixed with the
+Every language of ``KNOWN`` that at least ``min_texts`` texts declare is a class, whatever its share. Other tags are no languages
+but one further declared value, so junk tags, however many, cost nothing. One more class, ``UNKNOWN``, stands for none of these: foreign
+languages and garbage. Its text model is the background, trigrams of independent bytes mixed with the
 uniform distribution; its priors are counted as those of the others.
 
-The trigram model and the table of declared languages have classes x ``BUCKETS`` and classes x (classes + 1) numbers, and classes
-are as many as languages are declared, so both may go to every task.
+The trigram model and the table of declared languages have 2 x classes x ``BUCKETS`` and classes x (classes + 1) numbers, and classes
+are at most those of ``KNOWN`` and one: under 105 MB if every language of the list is declared, so both may go to every task.
 Host priors grow with the hosts and are joined, with texts left out; a host with a third of the rows is counted partly on
 each task and its join left for adaptive execution to split.
 """
@@ -35,7 +36,14 @@ from tablehealth.session import stored
 BUCKETS = 1 << 16
 #: The language of texts that none of the declared languages explains, and tags that name no language.
 UNKNOWN = "und"
-NO_LANGUAGE = (UNKNOWN, "mis", "mul", "zxx", "unknown")
+# The two-letter codes of ISO 639-1, and three-letter codes (ISO 639-3) of languages that web texts often declare.
+KNOWN = tuple("""
+    aa ab ae af ak am an ar as av ay az ba be bg bi bm bn bo br bs ca ce ch co cr cs cu cv cy da de dv dz ee el en eo es et eu
+    fa ff fi fj fo fr fy ga gd gl gn gu gv ha he hi ho hr ht hu hy hz ia id ie ig ii ik io is it iu ja jv ka kg ki kj kk kl km kn
+    ko kr ks ku kv kw ky la lb lg li ln lo lt lu lv mg mh mi mk ml mn mr ms mt my na nb nd ne ng nl nn no nr nv ny oc oj om or os
+    pa pi pl ps pt qu rm rn ro ru rw sa sc sd se sg si sk sl sm sn so sq sr ss st su sv sw ta te tg th ti tk tl tn to tr ts tt tw
+    ty ug uk ur uz ve vi vo wa wo xh yi yo za zh zu
+    arz ast ceb fil gsw haw hmn nds pnb sco war""".split())
 _PIECE = 1 << 20  # bytes of a text that are looked at together
 _FOLD = bytes((b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32) for b in range(256))
 
@@ -85,10 +93,10 @@ def document_evidence(docs: DataFrame) -> DataFrame:
 
 
 def languages_of(evidence: DataFrame, min_texts: int = 2) -> list[str]:
-    """The languages that at least ``min_texts`` texts declare by a tag of 2 to 8 letters."""
-    counts = evidence.select(primary(F.col("declared")).alias("declared")).where("declared is not null").groupBy("declared").agg(F.count(F.lit(1)).alias("n"))
-    named = F.col("declared").rlike("^[a-z]{2,8}$") & ~F.col("declared").isin(*NO_LANGUAGE)
-    return sorted(row[0] for row in counts.where(named & (F.col("n") >= min_texts)).select("declared").collect())
+    """The languages of ``KNOWN`` that at least ``min_texts`` texts declare."""
+    named = evidence.select(primary(F.col("declared")).alias("declared")).where(F.col("declared").isin(*KNOWN))
+    counts = named.groupBy("declared").agg(F.count(F.lit(1)).alias("n"))
+    return sorted(row[0] for row in counts.where(F.col("n") >= min_texts).select("declared").collect())
 
 
 def background(bytes_seen: np.ndarray) -> np.ndarray:
@@ -130,10 +138,13 @@ def fit(evidence: DataFrame, languages: list[str], smoothing: float = 0.01) -> n
     table = np.zeros((2, BUCKETS, len(languages) + 1), np.float32)
     table[1 - counted["fold"], counted["bucket"], counted["language"]] = counted["n"]
     bytes_seen = table[:, :256, -1].sum(axis=0)
-    size = table.sum(axis=1, keepdims=True, dtype=np.float64)
-    table = np.where(size > 0, table, table[::-1]) * ((1 - smoothing) / np.maximum(np.where(size > 0, size, size[::-1]), 1)) + smoothing / BUCKETS
-    table[:, :, -1] = background(bytes_seen)
-    return np.log(table).astype(np.float32)
+    for one in range(len(languages)):  # a language at a time: the wide numbers never exist for all of them together
+        seen = table[:, :, one].astype(np.float64)
+        size = seen.sum(axis=1, keepdims=True)
+        share = np.where(size > 0, seen, seen[::-1]) / np.maximum(np.where(size > 0, size, size[::-1]), 1)
+        table[:, :, one] = np.log((1 - smoothing) * share + smoothing / BUCKETS)
+    table[:, :, -1] = np.log(background(bytes_seen))
+    return table
 
 
 def scored(evidence: DataFrame, model: np.ndarray, temper: float) -> DataFrame:

@@ -200,8 +200,10 @@ def encode_documents(docs: DataFrame, model: str, outputs: tuple[str, ...] = ("i
 
 def with_tokens(docs: DataFrame, model: str) -> DataFrame:
     """``docs`` with n_tokens and token_ids beside its own columns (of the same names, the new ones hold)."""
-    own = [f for f in docs.schema.fields if f.name not in ("ids", "token_ids", "n_tokens")]
-    kept = tuple(f.name for f in own)
-    schema = StructType([*own, StructField("n_tokens", LongType()), StructField("ids", ArrayType(IntegerType()))])
-    done = docs.select(*[F.col(f"`{name}`") for name in kept]).mapInArrow(lambda batches: encoded(batches, model, ("ids",), kept), schema)
-    return done.withColumnRenamed("ids", "token_ids")
+    own = [f for f in docs.schema.fields if f.name not in ("token_ids", "n_tokens")]
+    names = [f.name for f in own]
+    inner = tuple(name if name == "text" else f"c{i}" for i, name in enumerate(names))  # no name can clash on the way
+    schema = StructType([StructField(name, f.dataType, f.nullable) for name, f in zip(inner, own)]
+                        + [StructField("n_tokens", LongType()), StructField("ids", ArrayType(IntegerType()))])
+    rows = docs.select(*[F.col(f"`{name}`").alias(new) for name, new in zip(names, inner)])
+    return rows.mapInArrow(lambda batches: encoded(batches, model, ("ids",), inner), schema).toDF(*names, "n_tokens", "token_ids")

@@ -160,7 +160,8 @@ def near_duplicates(docs: DataFrame, *, words: int = 4, seed: int = 42, max_bits
 def keep_first(docs: DataFrame, **settings) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: the one with the smallest id, all columns as they were.
 
-    Of rows that repeat an id, one stays. Rows without an id stay, as nothing can tell which document they are.
+    Of rows that repeat an id, the one with the least SHA-256 of its text stays, then the one with the least JSON form.
+    Rows without an id stay, as nothing can tell which document they are.
     """
     found = stored(near_duplicates(docs, **settings))
     copies = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
@@ -168,8 +169,10 @@ def keep_first(docs: DataFrame, **settings) -> DataFrame:
     kept = docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
     if repeated.isEmpty():
         return kept
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).union(
-        kept.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+    row = F.struct(*[F.col(f"`{name}`") for name in docs.columns])
+    order = F.struct(F.sha2(F.coalesce("text", F.lit("")), 256), F.to_json(row))
+    one = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, order).alias("row")).select("row.*")
+    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).union(one.select(*docs.columns))
 
 
 def _signed(value: int) -> int:
