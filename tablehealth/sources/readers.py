@@ -11,6 +11,8 @@ from pyspark.sql.types import ArrayType, StructType
 
 from tablehealth import schemas
 from tablehealth.functions import times
+from tablehealth.session import scratch_path
+from tablehealth.sources import documents
 
 WRAPPER_FIELDS = ("data", "result", "results", "records", "items", "rows")
 
@@ -62,35 +64,48 @@ def read_history(spark: SparkSession, path: str, *, mode: str = "tolerant") -> D
     )
 
 
-def _document(spark: SparkSession, path: str, ddl: str, head: str) -> DataFrame:
-    return spark.read.schema(f"{head}, datasets ARRAY<STRUCT<{ddl}>>").option("multiLine", True).json(path)
+def _document(spark: SparkSession, path: str, ddl: str, head: str, *, array: str = "datasets", in_splits: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Documents (head fields and ``found``, whether they have the array), and their entries (head fields, ``entry``)."""
+    if not in_splits:
+        whole = spark.read.schema(f"{head}, {array} ARRAY<STRUCT<{ddl}>>").option("multiLine", True).json(path)
+        heads = whole.withColumn("found", F.col(array).isNotNull()).drop(array)
+        return heads, whole.withColumn("entry", F.explode(array)).drop(array)
+    records, rests = documents.split_documents(spark, path, array)
+    heads = rests.select("file", F.col("key").isNotNull().alias("found"), F.from_json("rest", head).alias("h")).select("file", "h.*", "found")
+    entries = records.select("file", F.from_json("record", f"STRUCT<{ddl}>").alias("entry")).join(heads.drop("found"), "file")
+    return heads.drop("file"), entries.drop("file")
+
+
+def _entries(heads: DataFrame, entries: DataFrame, valid: Column, message: str) -> DataFrame:
+    """``entries``, and an error if a document is not valid."""
+    wrong = heads.where(~F.coalesce(valid, F.lit(False))).select(F.raise_error(F.lit(message)).cast("boolean").alias("wrong"))
+    fields = [F.col(f"`{name}`") for name in entries.columns]
+    bad = wrong.where("wrong").select(*[F.lit(None).cast(entries.schema[name].dataType).alias(name) for name in entries.columns])
+    return entries.select(*fields).union(bad)
 
 
 def _struct_ddl(columns: list[tuple[str, str]], text: tuple[str, ...] = ()) -> str:
     return ", ".join(f"{name}: {'STRING' if name in text else kind}" for name, kind in columns)
 
 
-def read_catalog(spark: SparkSession, path: str, *, version_field: str = "$schema") -> DataFrame:
+def read_catalog(spark: SparkSession, path: str, *, version_field: str = "$schema", in_splits: bool = False) -> DataFrame:
     """Catalogue document with a ``datasets`` array (``id`` becomes ``dataset_id``).
 
     ``supersedes`` may be one id or an array. A document without the array fails.
-    Large catalogues should be stored as a table instead; any table with these
-    columns is a valid catalogue.
+    One document is one task; ``in_splits`` reads a large one by many, at the price of two passes and three shuffles of its text.
     """
     columns = [("id" if name == "dataset_id" else name, kind) for name, kind in _fields(schemas.CATALOG)]
-    document = _document(spark, path, _struct_ddl(columns, ("supersedes",)), f"`{version_field}` STRING")
-    entries = F.when(F.col("datasets").isNotNull(), F.col("datasets")).otherwise(
-        F.raise_error(F.lit("the catalogue must contain a datasets array"))
-    )
-    rows = document.select(F.col(f"`{version_field}`").alias("manifest_version"), F.inline(entries))
+    heads, entries = _document(spark, path, _struct_ddl(columns, ("supersedes",)), f"`{version_field}` STRING", in_splits=in_splits)
+    entries = _entries(heads, entries, F.col("found"), "the catalogue must contain a datasets array")
+    rows = entries.select(F.col(f"`{version_field}`").alias("manifest_version"), "entry.*")
     listed = F.when(F.col("supersedes").startswith("["), F.from_json("supersedes", "array<string>")).when(
         F.col("supersedes").isNotNull(), F.array("supersedes")
     )
     return rows.withColumn("supersedes", listed).withColumnRenamed("id", "dataset_id")
 
 
-def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """Snapshot document; ``checked_at`` must be a timestamp with an offset."""
+def read_snapshot(spark: SparkSession, path: str, *, in_splits: bool = False) -> DataFrame:
+    """Snapshot document; ``checked_at`` must be a timestamp with an offset. ``in_splits`` reads one document by many tasks."""
     columns = [
         ("dataset_id", "STRING"), ("last_checked", "STRING"), ("namespace", "STRING"), ("url", "STRING"), ("status", "STRING"),
         ("message", "STRING"), ("request_url", "STRING"), ("access_method", "STRING"), ("http_status", "INT"),
@@ -101,12 +116,10 @@ def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
         ("access_dependency", "STRING"), ("freshness_signal", "STRING"), ("freshness_signal_source", "STRING"),
         ("anomaly_detected", "BOOLEAN"),
     ]
-    document = _document(spark, path, _struct_ddl(columns), "schema STRING, checked_at STRING")
+    heads, entries = _document(spark, path, _struct_ddl(columns), "schema STRING, checked_at STRING", in_splits=in_splits)
     checked = times.parse_instant(F.col("checked_at"))
-    entries = F.when(F.col("datasets").isNotNull() & checked.isNotNull(), F.col("datasets")).otherwise(
-        F.raise_error(F.lit("the snapshot must contain a datasets array and a checked_at with a UTC offset"))
-    )
-    rows = document.select(checked.alias("checked_at"), F.inline(entries))
+    entries = _entries(heads, entries, F.col("found") & checked.isNotNull(), "the snapshot must contain a datasets array and a checked_at with a UTC offset")
+    rows = entries.select(checked.alias("checked_at"), "entry.*")
     return rows.withColumns({
         "last_checked": times.parse_instant(F.col("last_checked")),
         "last_modified": times.parse_instant(F.col("last_modified")),
@@ -114,17 +127,16 @@ def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     })
 
 
-def read_daily(spark: SparkSession, path: str, *, schema_name: str | None = None, mode: str = "tolerant") -> DataFrame:
-    """Aggregates from a document with ``schema`` and ``aggregates``; an unsupported schema is empty, or an error when strict."""
-    aggregate = _nested_ddl(schemas.DAILY)
-    document = spark.read.schema(f"schema STRING, aggregates ARRAY<STRUCT<{aggregate}>>").option("multiLine", True).json(path)
-    supported = F.col("aggregates").isNotNull()
-    if schema_name is not None:
-        supported = supported & F.coalesce(F.col("schema") == schema_name, F.lit(False))
+def read_daily(spark: SparkSession, path: str, *, schema_name: str | None = None, mode: str = "tolerant", in_splits: bool = False) -> DataFrame:
+    """Aggregates from a document with ``schema`` and ``aggregates``; an unsupported schema is empty, or an error when strict.
+
+    ``in_splits`` reads one document by many tasks.
+    """
+    heads, entries = _document(spark, path, _nested_ddl(schemas.DAILY), "schema STRING", array="aggregates", in_splits=in_splits)
+    named = F.lit(True) if schema_name is None else F.coalesce(F.col("schema") == schema_name, F.lit(False))
     if mode == "strict":
-        rows = F.when(supported, F.col("aggregates")).otherwise(F.raise_error(F.lit("daily history has an unsupported schema")))
-        return document.select(F.inline(rows))
-    return document.where(supported).select(F.inline("aggregates"))
+        return _entries(heads, entries, F.col("found") & named, "daily history has an unsupported schema").select("entry.*")
+    return entries.where(named).select("entry.*")
 
 
 def _nested_ddl(ddl: str) -> str:
@@ -160,11 +172,12 @@ def _is_parquet(spark: SparkSession, path: str) -> bool:
     return False
 
 
-def read_payload(spark: SparkSession, path: str, *, comment: str = "#") -> DataFrame:
+def read_payload(spark: SparkSession, path: str, *, comment: str = "#", in_splits: bool = False) -> DataFrame:
     """An observed table: Parquet, JSON (plain array, one object, or wrapped rows) or CSV.
 
     The magic bytes tell Parquet, and a damaged Parquet file is an error; otherwise the
-    first character decides between JSON and CSV. CSV columns stay text.
+    first character decides between JSON and CSV. CSV columns stay text. ``in_splits`` reads one
+    JSON document of objects by many tasks, by way of a JSON-lines copy in the scratch folder.
     """
     if _is_parquet(spark, path):
         return spark.read.parquet(path)
@@ -172,6 +185,12 @@ def read_payload(spark: SparkSession, path: str, *, comment: str = "#") -> DataF
     first = spark.read.text(path).select(start).where(F.col("start") != "").limit(1).collect()  # one character
     if not first or first[0]["start"] not in ("{", "["):
         return spark.read.csv(path, header=True, comment=comment, enforceSchema=False)
+    if in_splits:
+        records, rests = documents.split_documents(spark, path, *(WRAPPER_FIELDS if first[0]["start"] == "{" else ()))
+        lines = scratch_path(spark, "payload")
+        single = rests.where("key is null").select(F.regexp_replace("rest", r"[\r\n]+", " "))  # one object
+        records.select("record").union(single).write.text(lines)
+        return spark.read.json(lines)
     rows = spark.read.option("multiLine", True).json(path)
     wrapped = next(
         (name for name in WRAPPER_FIELDS if name in rows.columns and isinstance(rows.schema[name].dataType, ArrayType)), None

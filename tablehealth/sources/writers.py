@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -73,3 +73,16 @@ def write_history(history: DataFrame, base: str) -> None:
         history.withColumn("date", F.to_date("observed_at"))
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(base)
     )
+
+
+def write_documents(df: DataFrame, base: str, *, key: str, by: str) -> None:
+    """One JSON document per value of ``by``, ``{"<key>": [rows]}``, each written by one task as a stream of lines."""
+    names = [name for name in df.columns if name != by]
+    body = df.select(F.col(by), F.lit(1).alias("_kind"), F.to_json(F.struct(*[f"`{name}`" for name in names]), {"ignoreNullFields": "false"}).alias("_line"))
+    groups = df.select(by).distinct()
+    frame = [groups.select(by, F.lit(part).alias("_kind"), F.lit(line).alias("_line")) for part, line in ((0, f'{{"{key}": ['), (2, "]}"))]
+    ordered = frame[0].union(body).union(frame[1])
+    # every row but the first is led by a comma: the window only looks one row back
+    before = F.lag("_kind").over(Window.partitionBy(by).orderBy("_kind", "_line"))
+    lines = ordered.select(by, F.concat(F.when((F.col("_kind") == 1) & (before == 1), ",").otherwise(""), F.col("_line")).alias("value"))
+    lines.write.partitionBy(by).text(base)
