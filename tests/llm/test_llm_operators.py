@@ -125,6 +125,34 @@ def test_rare_languages_and_text_of_none(spark):
     assert sum(i >= 4000 for i in got) == 8 and all(r.language == language_id.UNKNOWN and not r.kept for i, r in got.items() if i >= 4000)
 
 
+def test_junk_tags_are_no_classes(spark):
+    """However many texts declare a tag that is no language's code, it is no class: texts are of the one language or of none."""
+    rows = [(i, prose(i, 30), ("en", "xx", "qqq", "klingon", "zz-zz")[i % 5], "h") for i in range(100)]
+    evidence = language_id.document_evidence(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string"))
+    assert language_id.languages_of(evidence) == ["en"]
+    got = language_id.identify(evidence).collect()
+    assert len(got) == 100 and {r.language for r in got} <= {"en", language_id.UNKNOWN} and sum(r.kept for r in got) > 80
+    assert len(set(language_id.KNOWN)) == len(language_id.KNOWN) < 200
+
+
+def test_tokens_beside_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "one text", "x", 5, 7), (2, None, "y", 6, 8)], "doc_id bigint, text string, ids string, c0 int, n_tokens int")
+    done = sentencepiece_bpe.with_tokens(docs, MODEL)
+    assert done.columns == ["doc_id", "text", "ids", "c0", "n_tokens", "token_ids"]
+    one, two = done.orderBy("doc_id").collect()
+    assert (one.ids, one.c0, two.ids, two.n_tokens, two.token_ids) == ("x", 5, "y", 0, []) and one.n_tokens == len(one.token_ids) > 0
+
+
+def test_of_repeated_ids_a_stated_one_stays(spark):
+    """The same row whatever the order and the partitions: least SHA-256 of the text, then least JSON form."""
+    rows = [(1, prose(i, 40), i) for i in range(6)] + [(1, prose(0, 40), 9), (2, "alone", 0)]
+    want = min((sha(text), n) for i, text, n in rows if i == 1)[1]
+    for seed, parts in ((1, 1), (2, 5)):
+        random.Random(seed).shuffle(rows)
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string, n int").repartition(parts)
+        assert {r.doc_id: r.n for r in simhash.keep_first(docs).collect()} == {1: want, 2: 0}
+
+
 def test_page_evidence(spark):
     pages = spark.createDataFrame([(1, "https://a.example.de/x", '<html LANG="de-AT"><script>var x</script><p>Gut</p></html>'), (2, None, None)], "page_id bigint, url string, html string")
     one, two = language_id.page_evidence(pages).orderBy("doc_id").collect()
