@@ -29,17 +29,22 @@ def _pairs(words: str) -> str:
 
 
 def licences(least: float = 0.8) -> str:
-    quoted = ", ".join("('{}', {}, '{}')".format(name, i, text.replace("'", "''")) for name, texts in license_scan.TEMPLATES.items() for i, text in enumerate(texts))
+    quoted = lambda text: "'" + text.replace("'", "''") + "'"
+    texts = [(name, text) for name, group in license_scan.TEMPLATES.items() for text in group]
+    values = ", ".join(f"({i}, {quoted(name)}, {quoted(text)}, {list(license_scan.REQUIRED.get(name, ()))}::VARCHAR[])" for i, (name, text) in enumerate(texts))
     return f"""
-WITH t AS (SELECT licence, {_pairs('w')} AS b FROM (SELECT licence, regexp_extract_all(lower(text), '{license_scan.WORD}') AS w FROM (VALUES {quoted}) v(licence, i, text))),
-p AS (SELECT doc_id, 0 AS kind, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents
-  UNION ALL SELECT * FROM (SELECT doc_id, 1 AS kind, unnest(regexp_split_to_array(text, '\\n(?:[\\x20\\x09-\\x0D]*\\n)+')) AS x,
-    generate_subscripts(regexp_split_to_array(text, '\\n(?:[\\x20\\x09-\\x0D]*\\n)+'), 1) AS pos FROM documents) WHERE contains(x, chr(10))),
-q AS (SELECT doc_id, kind, pos, {_pairs('w')} AS b FROM (SELECT doc_id, kind, pos, regexp_extract_all(lower(x), '{license_scan.WORD}') AS w FROM p) WHERE len(w) > 1),
-s AS (SELECT doc_id, kind, pos, licence, 2.0 * len(list_intersect(q.b, t.b)) / (len(q.b) + len(t.b)) AS dice FROM q, t WHERE len(q.b) BETWEEN {least / (2 - least)} * len(t.b) - 1 AND {(2 - least) / least} * len(t.b) + 1),
-m AS (SELECT doc_id, kind, pos, licence, max(dice) AS dice FROM s WHERE dice >= {least} GROUP BY ALL)
-SELECT doc_id, count(*) AS n_matches, array_to_string(list_sort(list_distinct(list(licence))), ',') AS licences, CAST(round(max(dice) * 1000) AS BIGINT) AS best_permille
-FROM m GROUP BY doc_id
+WITH t AS (SELECT t, licence, w, {_pairs('w')} AS b, must FROM (SELECT t, licence, regexp_extract_all(lower(text), '{license_scan.WORD}') AS w, must FROM (VALUES {values}) v(t, licence, text, must))),
+k AS (SELECT t, p, row_number() OVER (PARTITION BY t ORDER BY length(p) DESC, p) AS rank, n FROM (SELECT t, unnest(b) AS p, len(b) AS n FROM t)),
+a AS (SELECT t.t, k.p, o, len(w) AS width FROM (SELECT t, w, unnest(range(0, len(w) - 1)) AS o FROM t) t
+  JOIN k ON k.t = t.t AND k.p = w[o + 1] || ' ' || w[o + 2] WHERE rank <= n - ceil(n * {least / (2 - least)!r} - 1e-9) + 1),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(text), '{license_scan.WORD}') AS w FROM documents),
+h AS (SELECT r, i, w[i + 1] || ' ' || w[i + 2] AS p FROM (SELECT r, w, unnest(range(0, len(w) - 1)) AS i FROM d)),
+c AS (SELECT DISTINCT r, t, greatest(0, i - o) AS s, width FROM h JOIN a ON a.p = h.p),
+x AS (SELECT r, doc_id, t, s, {_pairs('w')} AS b FROM (SELECT c.r, doc_id, t, s, w[s + 1 : s + width] AS w FROM c JOIN d ON d.r = c.r)),
+m AS (SELECT r, doc_id, x.t, licence, 2.0 * len(list_intersect(x.b, t.b)) / (len(x.b) + len(t.b)) AS dice FROM x JOIN t ON t.t = x.t
+  WHERE len(list_intersect(must, x.b)) = len(list_intersect(must, t.b)))
+SELECT doc_id, count(DISTINCT t) AS n_templates, array_to_string(list_sort(list_distinct(list(licence))), ',') AS licences, CAST(round(max(dice) * 1000) AS BIGINT) AS best_permille
+FROM m WHERE dice >= {least} GROUP BY r, doc_id
 """
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import textwrap
 from collections import Counter
 
 import public_tokenizers
@@ -465,23 +466,64 @@ def test_sketches_merge_by_addition(spark):
 
 
 # 9
+def flat(licence, i):
+    return " ".join(license_scan.TEMPLATES[licence][i].split())
+
+
+def commented(text, mark=" * ", width=60):
+    """The text as a comment block, without an empty line before the code that follows."""
+    return "/*\n" + "\n".join(mark + line for line in textwrap.wrap(text, width)) + "\n */\nint main(void) { return 0; }\n"
+
+
+def licence_texts():
+    mit, bsd, unlicense = flat("MIT", 4), flat("BSD-2-Clause", 0), flat("Unlicense", 2)
+    gpl2 = flat("GPL-2.0", 3)
+    return [
+        (None, None), ("", None), ("License", None), (prose(1, 60), None), ("x\nReleased under the MIT license\ny", "MIT"), (mit, "MIT"),
+        (prose(2, 3000) + commented("Copyright (c) 2020 A. Author " + mit) + prose(3, 3000), "MIT"),
+        (mit.replace("Software", "Program", 2), "MIT"), (commented(bsd, "# "), "BSD-2-Clause"),
+        (f"{bsd} 3. {flat('BSD-3-Clause', 0)} {flat('BSD-2-Clause', 1)}", "BSD-2-Clause,BSD-3-Clause"),
+        ("This project is licensed under the MIT License and was written by a person.", "MIT"),
+        ("The pictures here are licensed under CC BY 4.0. See the page of the project.", "CC-BY-4.0"),
+        ("Pictures under CC BY-SA 4.0, sounds under CC BY-NC 4.0.", "CC-BY-NC-4.0,CC-BY-SA-4.0"),
+        (commented(gpl2, "// "), "GPL-2.0"), (gpl2.replace("version 2", "version 3"), "GPL-3.0"),
+        (commented(flat("LGPL-3.0", 3)), "LGPL-3.0"), (flat("AGPL-3.0", 2), "AGPL-3.0"), (unlicense, "MIT,Unlicense"),
+        ("# SPDX-License-Identifier: GPL-2.0", "GPL-2.0"), ("All rights reserved. All rights reserved.", "All-Rights-Reserved"),
+        ("The right of all to reserved seats is a matter of licence, not of the general public.", None), (mit + "\n" + flat("Apache-2.0", 1), "Apache-2.0,MIT"),
+    ]
+
+
 def test_licences_equal_brute_force(spark):
-    mit = " ".join(license_scan.TEMPLATES["MIT"][1].split())
-    texts = [None, "", "License", prose(1, 60), "x\nReleased under the MIT license\ny", mit, mit.replace("Software", "Program", 2), "All rights reserved. All rights reserved.",
-             "This program is free software: you can redistribute it\nand/or modify it under the terms of the GNU General Public License as\npublished by the Free Software Foundation, either version 3 of the License,\nor (at your option) any later version.\n\nother text here"]
+    """Every window of a template's length, at every word of the text, against every template."""
+    texts = licence_texts()
 
-    def grams(text):
-        words = re.findall("[a-z0-9]+", text.lower())
+    def grams(words):
         return set(zip(words, words[1:]))
     want = {}
-    for i, text in enumerate(texts):
-        blocks = [b for b in re.split(r"\n(?:[\x20\x09-\x0D]*\n)+", text or "") if "\n" in b]
-        found = [(name, 2 * len(grams(t) & grams(p)) / (len(grams(t)) + len(grams(p)))) for p in [*(text or "").split("\n"), *blocks] if grams(p)
-                 for name, ts in license_scan.TEMPLATES.items() for t in ts]
-        if hits := [(n, d) for n, d in found if d >= 0.8]:
+    for i, (text, _) in enumerate(texts):
+        words, hits = re.findall("[a-z0-9]+", (text or "").lower()), []
+        for name, group in license_scan.TEMPLATES.items():
+            for template in group:
+                known = re.findall("[a-z0-9]+", template.lower())
+                goal = grams(known)
+                must = {tuple(x.split()) for x in license_scan.REQUIRED.get(name, ())} & goal
+                for start in range(len(words) - 1):
+                    got = grams(words[start:start + len(known)])
+                    if len(got & goal) >= 0.4 * (len(got) + len(goal)) - 1e-9 and must <= got:
+                        hits.append((name, 2 * len(got & goal) / (len(got) + len(goal))))
+        if hits:
             want[i] = (",".join(sorted({n for n, _ in hits})), round(max(d for _, d in hits) * 1000))
-    got = {r.doc_id: (r.licences, r.best_permille) for r in license_scan.licences(table(spark, texts)).collect()}
-    assert got == want and {4, 5, 6, 8} <= set(got)
+    got = {r.doc_id: (r.licences, r.best_permille) for r in license_scan.licences(table(spark, [t for t, _ in texts])).collect()}
+    assert got == want
+    assert {i: names for i, (names, _) in got.items()} == {i: names for i, (_, names) in enumerate(texts) if names}
+
+
+def test_anchors_hold_for_every_window():
+    """Whatever bigrams a window lacks, if it reaches the coefficient it holds an anchor."""
+    for template in license_scan.known_templates():
+        n, anchors = len(template.pairs), {pair for pair, _ in template.anchors}
+        assert n - len(anchors) < n * 0.8 / 1.2 + 1e-9 and anchors <= set(template.pairs)
+        assert set(template.required) <= set(template.pairs)
 
 
 def test_licences_of_odd_tables(edge, empty):
