@@ -180,86 +180,100 @@ def weekly_changes(
 # ---- live against candidate --------------------------------------------------
 
 
-def classify_record_count(before: Column, after: Column, adapter: Column) -> Column:
-    """``struct(classification, category, reason)`` of a comparable record-count change."""
-    change = F.when(before == 0, F.lit(float("inf"))).otherwise(F.abs(after - before) / F.abs(before))
-    adapter = F.coalesce(adapter, F.lit("direct"))
-    threshold = F.coalesce(lookup(adapter, params.COUNT_THRESHOLDS), F.lit(params.COUNT_THRESHOLDS["direct"]))
-    percent = F.round(threshold * 100).cast("int").cast("string")
-    realtime = adapter == "gtfs-realtime"
-    category = F.when(realtime, "Operational").otherwise("Structural")
-    reached = F.concat(
-        F.lit("record count changed by "), F.when(change > threshold, "more than").otherwise("reached"), F.lit(" "), percent, F.lit("%"),
-        F.when(realtime & (after == 0), "; possible upstream stall").otherwise(""),
-    )
-
-    def verdict(classification: str, kind: Column | str, why: Column | str) -> Column:
-        kind = F.lit(kind) if isinstance(kind, str) else kind
-        why = F.lit(why) if isinstance(why, str) else why
-        return F.struct(F.lit(classification).alias("classification"), kind.alias("category"), why.alias("reason"))
-
+#: Every rule of the comparison by its own code: what follows from it, and why in words. ``compare_snapshots`` finds codes only.
+RULES = {
+    "id-unlisted": ("Blocker", "the candidate holds a dataset that the catalogue doesn't list"),
+    "id-missing": ("Blocker", "the catalogue lists a dataset that the candidate lacks"),
+    "id-dropped": ("Blocker", "a live dataset is neither listed nor in the candidate"),
+    "id-new": ("Blocker", "the candidate holds a dataset that isn't live"),
+    "status-ended": ("Approved", "the source has ended, so failing probes are no surprise"),
+    "status-window": ("Approved", "moved between fresh and aging"),
+    "status-revived": ("Approved", "a probe dated the data again"),
+    "status-aged": ("Approved", "an aging dataset went stale"),
+    "status-aged-at-once": ("Approved", "went stale at once, and both its age and its last check moved on"),
+    "status-unexplained": ("Blocker", "went stale at once, and neither age nor last check accounts for it"),
+    "status-first": ("Approved", "unknown so far, now probed"),
+    "status-other": ("Pending", "no rule covers this change of status"),
+    "check-first": ("Approved", "checked for the first time"),
+    "check-later": ("Approved", "checked again, later"),
+    "check-lost": ("Blocker", "the time of the last check is gone"),
+    "check-earlier": ("Blocker", "the last check lies before the live one"),
+    "age-first": ("Approved", "an age is known for the first time"),
+    "age-moved": ("Approved", "ages count up to the probe, which is another one"),
+    "age-lost": ("Pending", "the age is no longer known"),
+    "date-first": ("Approved", "a publisher's date is known for the first time"),
+    "date-later": ("Approved", "the publisher's date is later"),
+    "date-earlier": ("Blocker", "the publisher's date lies before the live one"),
+    "date-lost": ("Pending", "the publisher's date is no longer known"),
+    "count-ended": ("Approved", "the source has ended, so it has no rows"),
+    "count-first": ("Approved", "rows counted for the first time"),
+    "count-lost": ("Pending", "the rows are no longer counted"),
+    "count-within": ("Approved", "the count moved by less than its adapter allows"),
+    "count-lively": ("Volatile", "the count of a live feed moves this much by itself"),
+    "count-stalled": ("Blocker", "a live feed has no rows any more"),
+    "count-jumped": ("Blocker", "the count moved by as much as its adapter allows, or more"),
+    "columns": ("Blocker", "the number of columns differs"),
+    "sum-status": ("Blocker", "the summary's count of a status isn't that of the rows"),
+    "sum-total": ("Blocker", "the summary's total isn't the catalogue's"),
+}
+# pairs of statuses (before, after) that are judged without further evidence
+_STATUS_PAIRS = {
+    **{f"{old}>{new}": "status-revived" for old in ("stale", "degraded", "unreachable", "unknown-freshness") for new in ("fresh", "aging", "stale")},
+    "fresh>aging": "status-window", "aging>fresh": "status-window", "aging>stale": "status-aged",
+}
+
+
+def _rule(code: Column) -> list[Column]:
+    return [lookup(code, {name: rule[i] for name, rule in RULES.items()}).alias(label) for i, label in enumerate(("classification", "reason"))]
+
+
+def _count_code(before: Column, after: Column, adapter: Column) -> Column:
+    limit = lookup(adapter, params.COUNT_THRESHOLDS, F.lit(params.COUNT_THRESHOLDS["direct"]))
+    share = F.when(before != 0, F.abs(after - before) / F.abs(before)).otherwise(F.lit(float("inf")))
+    live = F.coalesce(adapter == "gtfs-realtime", F.lit(False))
     return (
-        F.when(change >= threshold, verdict("Blocker", category, reached))
-        .when(
-            realtime & (change >= params.REALTIME_VOLATILE_THRESHOLD),
-            verdict("Volatile", "Volatile",
-                    "GTFS-realtime record count changed by at least 10% but less than 50%; expected operational noise"),
-        )
-        .otherwise(verdict(
-            "Approved", category,
-            F.concat(F.lit("record count changed within the "), percent, F.lit("% "), adapter, F.lit(" tolerance")),
-        ))
+        F.when((share >= limit) & live & (after == 0), "count-stalled").when(share >= limit, "count-jumped")
+        .when(live & (share >= params.REALTIME_VOLATILE_THRESHOLD), "count-lively").otherwise("count-within")
     )
 
 
-def _verdict(classification: str, reason: str) -> Column:
-    return F.struct(F.lit(classification).alias("classification"), F.lit(reason).alias("reason"))
+def _count_category(code: Column, adapter: Column) -> Column:
+    side = F.when(adapter == "gtfs-realtime", "Operational").otherwise("Structural")
+    return F.when(code == "count-lively", "Volatile").when(code == "count-lost", "Field").otherwise(side)
 
 
-def _status_rule(old: str, new: str) -> Column:
-    was, now = F.col(f"{old}.status"), F.col(f"{new}.status")
-    newer = F.col(f"{new}.last_checked") > F.col(f"{old}.last_checked")
-    older = F.col(f"{new}.freshness_days") > F.col(f"{old}.freshness_days")
-    return (
-        F.when((F.col("_real_status") == "discontinued") & now.isin("degraded", "unreachable"),
-               _verdict("Approved", "failed probe is expected for a discontinued upstream feed"))
-        .when(((was == "fresh") & (now == "aging")) | ((was == "aging") & (now == "fresh")),
-              _verdict("Approved", "freshness-window transition consistent with policy"))
-        .when(was.isin("stale", "degraded", "unreachable", "unknown-freshness") & now.isin("fresh", "aging", "stale"),
-              _verdict("Approved", "successful probe supplied improved freshness evidence"))
-        .when((was == "aging") & (now == "stale"),
-              _verdict("Approved", "freshness aged beyond the policy stale boundary"))
-        .when((was == "fresh") & (now == "stale") & newer & older,
-              _verdict("Approved", "freshness aged across the policy stale boundary"))
-        .when((was == "fresh") & (now == "stale"),
-              _verdict("Blocker", "fresh to stale without evidence that freshness time passed"))
-        .when((was == "unknown") & ~now.eqNullSafe(F.lit("unknown")),
-              _verdict("Approved", "first completed probe replaced unknown status"))
-        .otherwise(_verdict("Pending", "status transition is not pre-classified by the canary policy"))
-    )
-
-
-def _checked_rule(old: str, new: str) -> Column:
-    was, now = F.col(f"{old}.last_checked"), F.col(f"{new}.last_checked")
-    return (
-        F.when(was.isNull() & now.isNotNull(), _verdict("Approved", "first successful observation recorded"))
-        .when(now >= was, _verdict("Approved", "full probe advanced the observation timestamp"))
-        .when(was.isNotNull() & now.isNull(), _verdict("Blocker", "full probe removed an existing observation timestamp"))
-        .when(now < was, _verdict("Blocker", "full probe moved the observation timestamp backwards"))
-        .otherwise(_verdict("Pending", "observation timestamp change needs review"))
-    )
-
-
-def _freshness_rule(old: str, new: str, field: str) -> Column:
-    was, now = F.col(f"{old}.{field}"), F.col(f"{new}.{field}")
-    rule = F.when(was.isNull() & now.isNotNull(), _verdict("Approved", "full probe supplied new freshness evidence"))
-    if field == "freshness_days":
-        rule = rule.when(was.isNotNull() & now.isNotNull(), _verdict("Approved", "freshness age changed with the probe observation time"))
-    else:
-        rule = rule.when(now >= was, _verdict("Approved", "publisher freshness date advanced")).when(
-            now < was, _verdict("Blocker", "publisher freshness date moved backwards")
-        )
-    return rule.otherwise(_verdict("Pending", "freshness evidence change needs review"))
+def classify_record_count(before: Column, after: Column, adapter: Column) -> Column:
+    """``struct(classification, category, reason)`` of a change between two known record counts."""
+    code = _count_code(before, after, adapter)
+    return F.struct(*_rule(code), _count_category(code, adapter).alias("category"))
+
+
+def _appearing(was: Column, now: Column, name: str, both: Column) -> Column:
+    """The code of a value that may be missing on a side; ``both`` where it is on neither."""
+    return F.when(was.isNull(), f"{name}-first").when(now.isNull(), f"{name}-lost").otherwise(both)
+
+
+def _codes(old: str, new: str) -> dict[str, Column]:
+    """The code of a difference, by field."""
+    def sides(field: str) -> tuple[Column, Column]:
+        return F.col(f"{old}.{field}"), F.col(f"{new}.{field}")
+
+    ended = F.coalesce(F.col("_real_status") == "discontinued", F.lit(False))
+    checked, age, date, count = sides("last_checked"), sides("freshness_days"), sides("content_freshness_date"), sides("record_count")
+    was, now = sides("status")
+    grown = F.coalesce((checked[1] > checked[0]) & (age[1] > age[0]), F.lit(False))
+    at_once = F.when((was == "fresh") & (now == "stale"), F.when(grown, "status-aged-at-once").otherwise("status-unexplained"))
+    first = F.when((was == "unknown") & ~now.eqNullSafe(F.lit("unknown")), "status-first")
+    return {
+        "status": F.coalesce(
+            F.when(ended & now.isin("degraded", "unreachable"), "status-ended"), lookup(F.concat(was, F.lit(">"), now), _STATUS_PAIRS), at_once, first, F.lit("status-other")),
+        "last_checked": _appearing(*checked, "check", F.when(checked[1] < checked[0], "check-earlier").otherwise("check-later")),
+        "freshness_days": _appearing(*age, "age", F.lit("age-moved")),
+        "content_freshness_date": _appearing(*date, "date", F.when(date[1] < date[0], "date-earlier").otherwise("date-later")),
+        "record_count": F.when(ended & F.coalesce(count[1] == 0, F.lit(True)), "count-ended").otherwise(
+            _appearing(*count, "count", _count_code(*count, F.col("_adapter")))),
+        "column_count": F.lit("columns"),
+    }
 
 
 def compare_snapshots(
@@ -292,79 +306,46 @@ def compare_snapshots(
         both = both.withColumn("_adapter", F.lit("direct"))
     in_live, in_new, listed = F.col("o").isNotNull(), F.col("n").isNotNull(), F.col("_listed").isNotNull()
 
-    def item(classification, category, field, before, after, reason) -> Column:
-        def col(value):
-            return F.lit(value) if isinstance(value, str) else value.cast("string")
-        names = ("classification", "category", "field", "before", "after", "reason")
-        return F.struct(*[col(v).alias(n) for n, v in zip(names, (classification, category, field, before, after, reason))])
+    def item(code, field, before, after) -> Column:
+        return F.struct(code.alias("code"), F.lit(field).alias("field"), before.cast("string").alias("before"), after.cast("string").alias("after"))
 
-    def id_item(before: str, after: str, reason: str) -> Column:
-        return item("Blocker", "ID set", "dataset_id", before, after, reason)
+    def ids(code: str) -> Column:
+        place = [F.when(found, "present").otherwise("absent") for found in (listed if code in ("id-unlisted", "id-missing") else in_live, in_new)]
+        return item(F.lit(code), "dataset_id", *place)
 
     items = [
-        F.when(listed & ~in_new, id_item("present in manifest", "missing from canary", "manifest dataset is missing from canary")),
-        F.when(in_new & ~listed, id_item("absent from manifest", "present in canary", "canary contains an ID absent from the manifest")),
-        F.when(in_live & ~in_new & ~listed, id_item("present in live", "missing from canary", "live dataset is missing from canary")),
-        F.when(in_new & ~in_live, id_item("missing from live", "present in canary", "canary and live ID sets differ")),
+        F.when(listed & ~in_new, ids("id-missing")), F.when(in_new & ~listed, ids("id-unlisted")),
+        F.when(in_live & ~in_new & ~listed, ids("id-dropped")), F.when(in_new & ~in_live, ids("id-new")),
     ]
-    shared = in_live & in_new
-    for field in fields:
+    for field, code in _codes("o", "n").items():
         was, now = F.col(f"o.{field}"), F.col(f"n.{field}")
-        differs = shared & ~was.eqNullSafe(now)
-        if field == "record_count":
-            measured = classify_record_count(was, now, F.col("_adapter"))
-            gone = (F.col("_real_status") == "discontinued") & F.coalesce(now == 0, F.lit(True))
-            # a missing count has no comparable ratio, so its category is the adapter's
-            side = F.when(F.col("_adapter") == "gtfs-realtime", "Operational").otherwise("Structural")
-            kind = F.when(was.isNotNull() & now.isNotNull(), measured["category"]).otherwise(side)
-            found = (
-                F.when(gone, item("Approved", kind, field, was, now, "no records are expected for a discontinued upstream feed"))
-                .when(was.isNotNull() & now.isNotNull(), item(measured["classification"], kind, field, was, now, measured["reason"]))
-                .when(was.isNull() & now.isNotNull(), item("Approved", kind, field, was, now, "full probe extracted a record count"))
-                .otherwise(item("Pending", "Field", field, was, now, "record-count comparability needs review"))
-            )
-        elif field == "column_count":
-            found = item("Blocker", "Schema", field, was, now, "schema-shape column count changed")
-        else:
-            rule = {
-                "status": lambda: _status_rule("o", "n"),
-                "last_checked": lambda: _checked_rule("o", "n"),
-                "freshness_days": lambda: _freshness_rule("o", "n", "freshness_days"),
-                "content_freshness_date": lambda: _freshness_rule("o", "n", "content_freshness_date"),
-            }[field]()
-            found = item(rule["classification"], "Status flip" if field == "status" else "Field", field, was, now, rule["reason"])
-        items.append(F.when(differs, found))
-    findings = both.select(
-        "dataset_id", F.explode(F.filter(F.array(*items), lambda entry: entry.isNotNull())).alias("_f")
-    ).select("_f.classification", "_f.category", "dataset_id", "_f.field", "_f.before", "_f.after", "_f.reason")
+        items.append(F.when(in_live & in_new & ~was.eqNullSafe(now), item(code, field, was, now)))
+    code = F.col("code")
+    kinds = {"dataset_id": F.lit("ID set"), "status": F.lit("Status flip"), "record_count": _count_category(code, F.col("_adapter")), "column_count": F.lit("Schema")}
+    category = F.coalesce(*[F.when(F.col("field") == field, kind) for field, kind in kinds.items()], F.lit("Field"))
+    found = both.select("dataset_id", "_adapter", F.inline(F.filter(F.array(*items), lambda entry: entry.isNotNull())))
+    classification, reason = _rule(code)
+    findings = found.select(classification, category.alias("category"), "dataset_id", "field", "before", "after", reason)
     if candidate_summary is None:
         return findings
     return findings.unionByName(_summary_findings(candidate, catalog, candidate_summary))
 
 
 def _summary_findings(candidate: DataFrame, catalog: DataFrame, summary: Mapping[str, int]) -> DataFrame:
-    """``summary`` holds ``datasets_total`` and one count per status (underscored names)."""
-    spark = candidate.sparkSession
-    counts = {name: value for name, value in summary.items() if name != "datasets_total"}
-    reported = spark.createDataFrame(list(counts.items()), "status string, reported bigint")
-    actual = candidate.groupBy(
-        F.replace(F.coalesce("status", F.lit("unknown")), F.lit("-"), F.lit("_")).alias("status")
-    ).agg(F.count("*").alias("actual"))
-    wrong = reported.join(actual, "status", "full").where(
-        F.coalesce("reported", F.lit(0)) != F.coalesce("actual", F.lit(0))
-    ).select(
-        F.lit("Blocker").alias("classification"), F.lit("Distribution").alias("category"), F.lit("(canary)").alias("dataset_id"),
-        F.concat(F.lit("by_status."), F.col("status")).alias("field"),
-        F.coalesce("actual", F.lit(0)).cast("string").alias("before"), F.coalesce("reported", F.lit(0)).cast("string").alias("after"),
-        F.lit("canary by_status does not agree with its dataset rows").alias("reason"),
-    )
-    total = F.lit(summary.get("datasets_total")).cast("bigint")
-    size = catalog.agg(F.count("*").alias("_n")).where(~F.col("_n").eqNullSafe(total)).select(
-        F.lit("Blocker").alias("classification"), F.lit("Shape").alias("category"), F.lit("(canary)").alias("dataset_id"),
-        F.lit("datasets_total").alias("field"), F.col("_n").cast("string").alias("before"), total.cast("string").alias("after"),
-        F.lit("canary summary count does not equal manifest count").alias("reason"),
-    )
-    return wrong.unionByName(size)
+    """``summary`` holds ``datasets_total`` and one count per status (underscored names); null statuses count as unknown."""
+    name = F.translate(F.coalesce("status", F.lit("unknown")), "-", "_")
+    counted = candidate.groupBy(F.concat(F.lit("by_status."), name).alias("field")).agg(F.count("*").alias("n"))
+    total = catalog.agg(F.count("*").alias("n")).select(F.lit("datasets_total").alias("field"), "n")
+    claims = [(key if key == "datasets_total" else f"by_status.{key}", value) for key, value in ({"datasets_total": None} | dict(summary)).items()]
+    claimed = candidate.sparkSession.createDataFrame(claims, "field string, claim bigint")
+    whole = F.col("field") == "datasets_total"
+    # a status that one side doesn't name has no datasets there; a total that isn't given agrees with none
+    both = counted.unionByName(total).join(claimed, "field", "full").select(
+        "field", F.coalesce("n", F.lit(0)).alias("n"), F.when(whole, F.col("claim")).otherwise(F.coalesce("claim", F.lit(0))).alias("claim"))
+    classification, reason = _rule(F.when(whole, "sum-total").otherwise("sum-status"))
+    return both.where(~F.col("n").eqNullSafe(F.col("claim"))).select(
+        classification, F.when(whole, "Shape").otherwise("Distribution").alias("category"), F.lit("(summary)").alias("dataset_id"), "field",
+        F.col("n").cast("string").alias("before"), F.col("claim").cast("string").alias("after"), reason)
 
 
 def status_delta(live: DataFrame, candidate: DataFrame) -> DataFrame:

@@ -106,34 +106,44 @@ FROM prev p JOIN bare s ON s.dataset_id = p.dataset_id JOIN cat c ON c.dataset_i
 WHERE p.status <> 'unknown-freshness' AND s.http_status IS NOT NULL"""
 
 
+_RULE_ROWS = ", ".join("('{}', '{}', '{}')".format(code, kind, why.replace("'", "''")) for code, (kind, why) in changes.RULES.items())
+
+
 @query("compare_snapshots", f"""
-SELECT * FROM (
-SELECT CASE WHEN kind IN ('missing', 'extra', 'newid') THEN 'Blocker' ELSE cls END AS classification, dataset_id, field FROM (
-  SELECT 'missing' AS kind, dataset_id, 'dataset_id' AS field, '' AS cls FROM cat WHERE dataset_id NOT IN (SELECT dataset_id FROM bare WHERE http_status IS NOT NULL)
-  UNION ALL SELECT 'newid', dataset_id, 'dataset_id', '' FROM bare WHERE http_status IS NOT NULL
+SELECT r.classification, CASE field WHEN 'dataset_id' THEN 'ID set' WHEN 'status' THEN 'Status flip' WHEN 'column_count' THEN 'Schema'
+    WHEN 'record_count' THEN CASE f.code WHEN 'count-lively' THEN 'Volatile' WHEN 'count-lost' THEN 'Field' ELSE CASE WHEN adapter = 'gtfs-realtime' THEN 'Operational' ELSE 'Structural' END END
+    ELSE 'Field' END AS category, f.dataset_id, f.field, f.before, f.after, r.reason FROM (
+  SELECT 'id-missing' AS code, dataset_id, 'dataset_id' AS field, 'present' AS before, 'absent' AS after, NULL AS adapter FROM cat WHERE dataset_id NOT IN (SELECT dataset_id FROM bare WHERE http_status IS NOT NULL)
+  UNION ALL SELECT 'id-new', dataset_id, 'dataset_id', 'absent', 'present', NULL FROM bare WHERE http_status IS NOT NULL
     AND dataset_id NOT IN (SELECT dataset_id FROM prev WHERE status <> 'unknown-freshness')
-  UNION ALL SELECT 'field', dataset_id, 'status', CASE
-      WHEN real_status = 'discontinued' AND b IN ('degraded', 'unreachable') THEN 'Approved'
-      WHEN (a = 'fresh' AND b = 'aging') OR (a = 'aging' AND b = 'fresh') THEN 'Approved'
-      WHEN a IN ('stale', 'degraded', 'unreachable', 'unknown-freshness') AND b IN ('fresh', 'aging', 'stale') THEN 'Approved'
-      WHEN a = 'aging' AND b = 'stale' THEN 'Approved'
-      WHEN a = 'fresh' AND b = 'stale' AND checked_b > checked_a AND age_b > age_a THEN 'Approved'
-      WHEN a = 'fresh' AND b = 'stale' THEN 'Blocker' ELSE 'Pending' END FROM sides WHERE a <> b
-  UNION ALL SELECT 'field', dataset_id, 'last_checked', CASE WHEN checked_b IS NULL THEN 'Blocker' ELSE 'Approved' END FROM sides WHERE checked_a IS DISTINCT FROM checked_b
-  UNION ALL SELECT 'field', dataset_id, 'freshness_days', CASE WHEN age_b IS NOT NULL THEN 'Approved' ELSE 'Pending' END FROM sides WHERE age_a IS DISTINCT FROM age_b
-  UNION ALL SELECT 'field', dataset_id, 'content_freshness_date', CASE WHEN date_a IS NULL THEN 'Approved' WHEN date_b IS NULL THEN 'Pending'
-      WHEN date_b >= date_a THEN 'Approved' ELSE 'Blocker' END FROM sides WHERE date_a IS DISTINCT FROM date_b
-  UNION ALL SELECT 'field', dataset_id, 'record_count', CASE WHEN coalesce(count_b, 0) = 0 AND real_status = 'discontinued' THEN 'Approved'
-      WHEN count_a IS NOT NULL AND count_b IS NOT NULL THEN
-        CASE WHEN count_a = 0 OR abs(count_b - count_a) / CAST(abs(count_a) AS DOUBLE) >= CAST(t AS DOUBLE) THEN 'Blocker'
-             WHEN adapter = 'gtfs-realtime' AND abs(count_b - count_a) / CAST(abs(count_a) AS DOUBLE) >= CAST(0.1 AS DOUBLE) THEN 'Volatile' ELSE 'Approved' END
-      WHEN count_a IS NULL AND count_b IS NOT NULL THEN 'Approved' ELSE 'Pending' END FROM sides WHERE count_a IS DISTINCT FROM count_b
-  UNION ALL SELECT 'field', dataset_id, 'column_count', 'Blocker' FROM sides WHERE cols_a IS DISTINCT FROM cols_b))""")
+  UNION ALL SELECT CASE
+      WHEN real_status = 'discontinued' AND b IN ('degraded', 'unreachable') THEN 'status-ended'
+      WHEN (a = 'fresh' AND b = 'aging') OR (a = 'aging' AND b = 'fresh') THEN 'status-window'
+      WHEN a IN ('stale', 'degraded', 'unreachable', 'unknown-freshness') AND b IN ('fresh', 'aging', 'stale') THEN 'status-revived'
+      WHEN a = 'aging' AND b = 'stale' THEN 'status-aged'
+      WHEN a = 'fresh' AND b = 'stale' AND checked_b > checked_a AND age_b > age_a THEN 'status-aged-at-once'
+      WHEN a = 'fresh' AND b = 'stale' THEN 'status-unexplained' WHEN a = 'unknown' THEN 'status-first' ELSE 'status-other' END,
+      dataset_id, 'status', a, b, adapter FROM sides WHERE a IS DISTINCT FROM b
+  UNION ALL SELECT CASE WHEN checked_a IS NULL THEN 'check-first' WHEN checked_b IS NULL THEN 'check-lost' WHEN checked_b < checked_a THEN 'check-earlier' ELSE 'check-later' END,
+      dataset_id, 'last_checked', '', '', adapter FROM sides WHERE checked_a IS DISTINCT FROM checked_b
+  UNION ALL SELECT CASE WHEN age_a IS NULL THEN 'age-first' WHEN age_b IS NULL THEN 'age-lost' ELSE 'age-moved' END,
+      dataset_id, 'freshness_days', '', '', adapter FROM sides WHERE age_a IS DISTINCT FROM age_b
+  UNION ALL SELECT CASE WHEN date_a IS NULL THEN 'date-first' WHEN date_b IS NULL THEN 'date-lost' WHEN date_b < date_a THEN 'date-earlier' ELSE 'date-later' END,
+      dataset_id, 'content_freshness_date', CAST(date_a AS VARCHAR), CAST(date_b AS VARCHAR), adapter FROM sides WHERE date_a IS DISTINCT FROM date_b
+  UNION ALL SELECT CASE WHEN coalesce(count_b, 0) = 0 AND real_status = 'discontinued' THEN 'count-ended' WHEN count_a IS NULL THEN 'count-first' WHEN count_b IS NULL THEN 'count-lost'
+      WHEN count_a = 0 OR abs(count_b - count_a) / CAST(abs(count_a) AS DOUBLE) >= CAST(t AS DOUBLE) THEN CASE WHEN adapter = 'gtfs-realtime' AND count_b = 0 THEN 'count-stalled' ELSE 'count-jumped' END
+      WHEN adapter = 'gtfs-realtime' AND abs(count_b - count_a) / CAST(abs(count_a) AS DOUBLE) >= CAST(0.1 AS DOUBLE) THEN 'count-lively' ELSE 'count-within' END,
+      dataset_id, 'record_count', CAST(count_a AS VARCHAR), CAST(count_b AS VARCHAR), adapter FROM sides WHERE count_a IS DISTINCT FROM count_b
+  UNION ALL SELECT 'columns', dataset_id, 'column_count', CAST(cols_a AS VARCHAR), CAST(cols_b AS VARCHAR), adapter FROM sides WHERE cols_a IS DISTINCT FROM cols_b) f
+JOIN (VALUES {_RULE_ROWS}) r(code, classification, reason) ON r.code = f.code""")
 def _compare_snapshots(t: Tables):
     adapters = t.catalog.select("dataset_id", changes.lookup(F.col("n") % 5, _ADAPTERS).alias("adapter"))
     live = t.previous.where(F.col("status") != "unknown-freshness")
     candidate = t.bare_snapshot.where(F.col("http_status").isNotNull())
-    return changes.compare_snapshots(live, candidate, t.catalog, adapters=adapters).select("classification", "dataset_id", "field")
+    found = changes.compare_snapshots(live, candidate, t.catalog, adapters=adapters)
+    # the text forms of an instant and of a fractional age differ between Spark and SQL
+    spelt = F.col("field").isin("last_checked", "freshness_days")
+    return found.withColumns({name: F.when(spelt, "").otherwise(F.col(name)) for name in ("before", "after")})
 
 
 @query("status_delta", """

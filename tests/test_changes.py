@@ -71,7 +71,8 @@ def test_record_count_classes(spark):
         [(float(b), float(a), k) for b, a, k, _, _ in cases], "b DOUBLE, a DOUBLE, k STRING")
     rows = frame.select(changes.classify_record_count(F.col("b"), F.col("a"), F.col("k")).alias("v")).select("v.*").collect()
     assert [(r["classification"], r["category"]) for r in rows] == [case[3:] for case in cases]
-    assert rows[4]["reason"].endswith("; possible upstream stall") and rows[7]["reason"] == "record count changed by reached 10%"
+    codes = ["count-jumped", "count-within", "count-lively", "count-jumped", "count-stalled", "count-jumped", "count-within", "count-jumped"]
+    assert [r["reason"] for r in rows] == [changes.RULES[code][1] for code in codes]
 
 
 def test_compare_snapshots_sets_and_summary(spark):
@@ -81,13 +82,13 @@ def test_compare_snapshots_sets_and_summary(spark):
     new = snapshot_rows(spark, [{"dataset_id": "a", "status": "stale", "last_checked": at + dt.timedelta(hours=1), "staleness_days": 5, "record_count": 100}, {"dataset_id": "x", "status": "fresh"}])
     found = {(r["dataset_id"], r["field"], r["reason"]): r["classification"] for r in changes.compare_snapshots(
         live, new, catalog, candidate_summary={"datasets_total": 9, "fresh": 2, "stale": 1}).collect()}
-    assert found[("a", "status", "freshness aged across the policy stale boundary")] == "Approved"
-    assert found[("b", "dataset_id", "manifest dataset is missing from canary")] == "Blocker"
-    assert found[("x", "dataset_id", "canary contains an ID absent from the manifest")] == "Blocker"
-    assert found[("x", "dataset_id", "canary and live ID sets differ")] == "Blocker"
-    assert found[("old", "dataset_id", "live dataset is missing from canary")] == "Blocker"
-    assert found[("(canary)", "by_status.fresh", "canary by_status does not agree with its dataset rows")] == "Blocker"
-    assert found[("(canary)", "datasets_total", "canary summary count does not equal manifest count")] == "Blocker"
+    assert found[("a", "status", changes.RULES["status-aged-at-once"][1])] == "Approved"
+    assert found[("b", "dataset_id", changes.RULES["id-missing"][1])] == "Blocker"
+    assert found[("x", "dataset_id", changes.RULES["id-unlisted"][1])] == "Blocker"
+    assert found[("x", "dataset_id", changes.RULES["id-new"][1])] == "Blocker"
+    assert found[("old", "dataset_id", changes.RULES["id-dropped"][1])] == "Blocker"
+    assert found[("(summary)", "by_status.fresh", changes.RULES["sum-status"][1])] == "Blocker"
+    assert found[("(summary)", "datasets_total", changes.RULES["sum-total"][1])] == "Blocker"
     assert len(found) == 9
 
 
