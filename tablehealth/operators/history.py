@@ -307,10 +307,11 @@ def history_slice(
     history: DataFrame, *, dataset_id: str, as_of, days: int = 30, limit: int = 50, cursor: int = 0
 ) -> DataFrame:
     """One dataset's last days, oldest first, as one page."""
-    days = max(1, days)
+    if days < 1 or limit < 1 or cursor < 0:
+        raise ValueError("days and limit must be positive and cursor must not be negative")
     since = times.lit_instant(as_of) - F.make_dt_interval(F.lit(days))
     rows = between(history, since=since).where(F.col("dataset_id") == dataset_id)
-    return rows.orderBy("observed_at", "cycle", "seq").offset(max(0, cursor)).limit(max(1, limit))
+    return rows.orderBy("observed_at", "cycle", "seq").offset(cursor).limit(limit)
 
 
 def snapshot_as_of(versions: DataFrame, *, cutoff, date_col: str = "version_date") -> DataFrame:

@@ -229,9 +229,10 @@ def check_reconciliation(catalog: DataFrame, members: DataFrame, groups: DataFra
 
 def paginate(df: DataFrame, *, order: list[str], limit: int = 50, cursor: int = 0) -> DataFrame:
     """One page of ``limit`` rows in a stable order with the total and the next cursor on every row."""
-    size, start = max(1, limit), max(0, cursor)
-    page = df.orderBy(*order).offset(start).limit(size).withColumn("total", df.agg(F.count("*")).scalar())
-    following = start + size
+    if limit < 1 or cursor < 0:
+        raise ValueError("limit must be positive and cursor must not be negative")
+    page = df.orderBy(*order).offset(cursor).limit(limit).withColumn("total", df.agg(F.count("*")).scalar())
+    following = cursor + limit
     return page.withColumn("next_cursor", F.when(F.col("total") > following, F.lit(str(following))))
 
 

@@ -4,6 +4,7 @@ import hashlib
 import json
 
 from conftest import catalog_rows, snapshot_rows, ts
+import pytest
 from pyspark.sql import functions as F
 
 from tablehealth.functions import dates, shapes, text, times
@@ -130,6 +131,9 @@ def test_search_and_pages(spark):
     assert [(r["dataset_id"], r["score"]) for r in rows] == [("b", 112), ("gtfs_static_a", 110), ("x", 5)]
     assert [r["dataset_id"] for r in ranked.search_datasets(catalog, snapshot_rows(spark, []), query="cpi", source="dosm").collect()] == ["x"]
     page = ranked.paginate(catalog, order=["dataset_id"], limit=3, cursor=2).collect()
+    for wrong in ({"limit": 0}, {"cursor": -1}):
+        with pytest.raises(ValueError):
+            ranked.paginate(catalog, order=["dataset_id"], **wrong)
     assert [(r["dataset_id"], r["total"], r["next_cursor"]) for r in page] == [("none", 4, None), ("x", 4, None)]
 
 
