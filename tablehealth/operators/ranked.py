@@ -186,7 +186,9 @@ def check_reconciliation(catalog: DataFrame, members: DataFrame, groups: DataFra
     text. A query without a match or with several at its best rank fails the job.
     Ids and exact names are looked up by equality. Queries still open meet the names
     that share their first three characters (the whole of a shorter one) by an
-    equi-join on the names' character runs, and are then verified.
+    equi-join on the names' character runs, and are then verified. Of the runs, many
+    times the catalogue, only those that some open query begins with are kept; they
+    are sorted and merged, as their estimated size says nothing about a broadcast's.
     """
     asked = names.select(F.trim("query").alias("query")).distinct()
     entries = catalog.select("dataset_id", "name")
@@ -199,8 +201,9 @@ def check_reconciliation(catalog: DataFrame, members: DataFrame, groups: DataFra
     runs = F.flatten(F.transform(F.array(*[F.lit(n) for n in (1, 2, 3)]), lambda n: F.when(
         F.length(lowered) >= n, F.transform(F.sequence(F.lit(1), F.length(lowered) - n + 1), lambda i: F.substr(lowered, i, n))).otherwise(F.array().cast("array<string>"))))
     by_run = entries.where("name is not null").select("dataset_id", "name", F.explode(F.array_distinct(runs)).alias("_run"))
+    begun = open_queries.withColumn("_run", F.substring("_fold", 1, 3))
     by_part = (
-        open_queries.select("query", "_fold", F.substring("_fold", 1, 3).alias("_run")).join(by_run, "_run")
+        by_run.join(begun.select("_run").distinct(), "_run", "left_semi").hint("merge").join(begun, "_run")
         .where(F.contains(F.lower("name"), F.col("_fold"))).select("query", "dataset_id", "name", F.lit(3).alias("_rank"))
     )
     candidates = settled.unionByName(by_part)

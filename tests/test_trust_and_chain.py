@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 
 import pytest
@@ -178,3 +179,21 @@ def test_reconciliation_cases(spark):
     bad = seeds.withColumn("members", F.array(F.lit("e"), F.lit("zz")))
     with pytest.raises(Exception, match="not in the catalogue"):
         reconcile.discover_groups(catalog, bad).collect()
+
+
+def test_reconciliation_name_runs_stay_off_the_driver(spark):
+    # a stored table: its size is known, and that of what is made from its rows only guessed
+    catalog = cut_lineage(catalog_rows(spark, [{"dataset_id": f"d{i:03}", "name": f"Series {i:03} of the catalogue"} for i in range(200)] + [{"dataset_id": "nameless"}]))
+    members = spark.createDataFrame([("d007", "g")], "dataset_id STRING, group_key STRING")
+    groups = spark.createDataFrame([("g", "G", "agree", 2, "why")], "group_key STRING, logical_name STRING, verdict STRING, member_count INT, reason STRING")
+    names = spark.createDataFrame([("d001",), (" series 002 OF the catalogue",), ("SERIES 007",), ("s 199",), ("d001",)], "query STRING")
+    got = ranked.check_reconciliation(catalog, members, groups, names=names)
+    lines = got._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = [len(line) - len(line.lstrip(" :+-*")) for line in lines]
+    for i, line in enumerate(lines):
+        if line.lstrip(" :+-*").startswith("BroadcastExchange"):
+            below = itertools.takewhile(lambda k: depth[k] > depth[i], range(i + 1, len(lines)))
+            assert not any("Generate explode" in lines[k] for k in below), "the names' runs are broadcast"
+    assert sorted((r["query"], r["matched_dataset_id"], r["verdict"]) for r in got.collect()) == [
+        ("SERIES 007", "d007", "agree"), ("d001", "d001", "single_source"), ("s 199", "d199", "single_source"),
+        ("series 002 OF the catalogue", "d002", "single_source")]
