@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tablehealth import params
 from tablehealth.functions.cadence import lookup
+from tablehealth.session import cut_lineage
 
 
 def nodes(catalog: DataFrame) -> DataFrame:
@@ -138,25 +139,71 @@ def edge_kinds(catalog: DataFrame) -> DataFrame:
     return kinds.join(counted, "kind", "left").select("kind", F.coalesce("edges", F.lit(0)).alias("edges"))
 
 
-def edges_of(catalog: DataFrame, focus: DataFrame) -> DataFrame:
-    """All edges that touch the focus datasets; ids of an undirected edge are ordered."""
-    members = memberships(catalog)
-    chosen = members.join(focus.select("dataset_id"), "dataset_id", "left_semi").select(
-        F.col("kind").alias("_kind"), F.col("key").alias("_key"), F.col("publisher").alias("_publisher"),
-        F.col("dataset_id").alias("_id"),
+def _linkable(catalog: DataFrame, focus: DataFrame) -> DataFrame:
+    """One row per (kind, key, dataset_id) with what a pair's test needs.
+
+    ``low`` and ``high`` bound the known publishers, ``open`` tells of a row without one, ``several`` of
+    an id with further keys of the kind, ``chosen`` of one in focus.
+    """
+    rows = memberships(catalog).where(F.col("dataset_id").isNotNull()).groupBy("kind", "key", "dataset_id").agg(
+        F.min("publisher").alias("low"), F.max("publisher").alias("high"), (F.count("publisher") < F.count("*")).alias("open")
     )
-    linked = chosen.join(members, (F.col("_kind") == F.col("kind")) & (F.col("_key") == F.col("key"))).where(
-        (F.col("_id") != F.col("dataset_id")) & F.coalesce(F.col("_publisher") != F.col("publisher"), F.lit(True))
+    several = rows.groupBy("kind", "dataset_id").agg(F.count("*").alias("_keys")).where("_keys > 1").select(
+        "kind", "dataset_id", F.lit(True).alias("several")
     )
-    undirected = linked.select(
-        "kind",
-        F.least("_id", "dataset_id").alias("from_id"),
-        F.greatest("_id", "dataset_id").alias("to_id"),
-        lookup(F.col("kind"), params.EDGE_WEIGHTS).alias("weight"),
+    ids = focus.select("dataset_id").distinct().withColumn("chosen", F.lit(True))
+    return rows.join(several, ["kind", "dataset_id"], "left").join(ids, "dataset_id", "left").select(
+        "kind", "key", "dataset_id", "low", "high", "open",
+        F.coalesce("several", F.lit(False)).alias("several"), F.coalesce("chosen", F.lit(False)).alias("chosen"),
+    )
+
+
+def _clique_pairs(chosen: DataFrame, members: DataFrame, block: int) -> DataFrame:
+    """(kind, from_id, to_id) of the linked pairs of a chosen and any member of the same key.
+
+    Both sides of a large clique are dealt into blocks, and each block meets each block of the other side, so
+    that no task gets a whole clique. The copies are sorted and merged: their number is not what Spark estimates.
+    """
+    def sized(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("kind", "key").agg(F.count("*").alias("_n")).where(F.col("_n") > block).select(
+            "kind", "key", F.ceil(F.col("_n") / block).cast("int").alias(name)
+        )
+
+    own, other = sized(chosen, "_own"), sized(members, "_other")
+
+    def dealt(df: DataFrame, mine: str, its: str) -> DataFrame:
+        tiled = df.join(own, ["kind", "key"], "left").join(other, ["kind", "key"], "left")
+        place = F.pmod(F.xxhash64("dataset_id"), F.coalesce(mine, F.lit(1))).cast("int")
+        copies = F.explode(F.sequence(F.lit(0), F.coalesce(its, F.lit(1)) - 1))
+        return tiled.withColumn(f"{mine}_block", place).withColumn(f"{its}_block", copies)
+
+    tile = ["kind", "key", "_own_block", "_other_block"]
+    left = dealt(chosen, "_own", "_other").select(*tile, F.struct("dataset_id", "low", "high", "open").alias("a"))
+    right = dealt(members, "_other", "_own").select(*tile, F.struct("dataset_id", "low", "high", "open", "chosen").alias("b"))
+    a, b = F.col("a.dataset_id"), F.col("b.dataset_id")
+    once = (a < b) | (~F.col("b.chosen") & (a != b))  # two chosen ones meet twice
+    publishers = F.col("a.open") | F.col("b.open") | (F.least("a.low", "b.low") < F.greatest("a.high", "b.high"))
+    return left.hint("merge").join(right, tile).where(once & publishers).select(
+        "kind", F.least(a, b).alias("from_id"), F.greatest(a, b).alias("to_id")
+    )
+
+
+def edges_of(catalog: DataFrame, focus: DataFrame, *, block: int = 1024) -> DataFrame:
+    """All edges that touch the focus datasets; ids of an undirected edge are ordered.
+
+    Each edge is made once, so the edges, as many as a clique's pairs, are neither shuffled nor held. Only where both
+    ids have several keys of a kind can an edge come from more than one, and those edges are made distinct.
+    """
+    members = cut_lineage(_linkable(catalog, focus))
+    several = members.where("several")
+    once = _clique_pairs(members.where("chosen and not several"), members, block).unionByName(
+        _clique_pairs(several.where("chosen"), members.where("not several"), block)
     )
+    pairs = once.unionByName(_clique_pairs(several.where("chosen"), several, block).distinct())
+    undirected = pairs.select("kind", "from_id", "to_id", lookup(F.col("kind"), params.EDGE_WEIGHTS).alias("weight"))
     ids = focus.select(F.col("dataset_id").alias("_focus"))
     directed = successor_edges(catalog)
     touching = directed.join(ids, (directed["from_id"] == ids["_focus"]), "left_semi").unionByName(
         directed.join(ids, directed["to_id"] == ids["_focus"], "left_semi")
     )
-    return undirected.unionByName(touching).distinct()
+    return undirected.unionByName(touching.distinct())

@@ -123,6 +123,40 @@ def test_graph_matches_all_pairs(spark):
     assert {(r["kind"], r["from_id"], r["to_id"]) for r in graph.edges_of(catalog, catalog).collect()} == edges
 
 
+def test_edges_of_repeated_ids_in_blocks(spark):
+    rng = random.Random(3)
+    entries = [{
+        "dataset_id": rng.choice([None] + [f"d{i % 60:02}"] * 12), "source": rng.choice(["x", "y", "", None]), "steward": rng.choice(["s", "s", "s", "t", None]),
+        "geography": rng.choice(["g", "g", "h", None]), "schema_id": rng.choice(["a", None]),
+    } for i in range(130)]
+    ids = {e["dataset_id"] for e in entries} - {None}
+    focus = {f"d{i:02}" for i in range(0, 60, 4)}
+    edges = set()
+    for a, b in itertools.permutations(entries, 2):
+        if None in (a["dataset_id"], b["dataset_id"]) or a["dataset_id"] >= b["dataset_id"] or not focus & {a["dataset_id"], b["dataset_id"]}:
+            continue
+        same = lambda field: a[field] and a[field] == b[field]
+        if same("steward"):
+            if same("source"):
+                edges.add(("same_steward", a["dataset_id"], b["dataset_id"]))
+            else:
+                edges.add(("same_agency", a["dataset_id"], b["dataset_id"]))
+        edges |= {(kind, a["dataset_id"], b["dataset_id"]) for kind, field in (("same_geography", "geography"), ("shared_schema", "schema_id")) if same(field)}
+    wanted = spark.createDataFrame([(i,) for i in [*focus & ids, *focus & ids, "unknown", None]], "dataset_id STRING")
+    for block in (7, 1024):
+        got = graph.edges_of(catalog_rows(spark, entries), wanted, block=block)
+        rows = [(r["kind"], r["from_id"], r["to_id"]) for r in got.collect()]
+        assert len(rows) == len(set(rows)) and set(rows) == edges
+
+
+def test_edges_of_neither_collects_pairs_nor_keeps_a_clique_in_one_task(spark):
+    _, catalog = _random_catalog(spark, 5)
+    plan = graph.edges_of(catalog, catalog)._jdf.queryExecution().optimizedPlan()
+    assert plan.nodeName() == "Union"  # not an aggregate of all edges
+    joins = [line for line in plan.toString().splitlines() if "Join Inner" in line and "_block" in line]
+    assert len(joins) == 3 and all("strategy=merge" in line for line in joins)
+
+
 def test_group_verdicts_match_all_pairs(spark):
     rng = random.Random(9)
     entries, catalog = _random_catalog(spark, 8)
