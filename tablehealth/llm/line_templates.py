@@ -35,7 +35,8 @@ from tablehealth.session import stored
 
 #: Number of fields of a line behind its leading tokens.
 FIELDS = 8
-_SPACE = r"[\x20\x09-\x0D]+"
+#: White space other than blanks and line ends. With blanks in its place, lines are cut at a fixed character, without a pattern.
+_BLANK = r"[\x09\x0B-\x0D]"
 _NAMES = [f"f{i}" for i in range(FIELDS)]
 
 
@@ -48,9 +49,13 @@ def parse_lines(docs: DataFrame, *, leading: int = 3, min_words: int = 3) -> Dat
 
     ``version`` is the text's hash: it tells texts apart that share an id.
     """
-    lines = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("version"), F.posexplode(lines_of(F.col("text"))).alias("line", "content"))
-    content = F.regexp_replace(F.regexp_replace("content", "^" + _SPACE + "|" + _SPACE + "$", ""), "[0-9]+", "<*>")
-    tokens = lines.select("doc_id", "version", "line", F.split(content, _SPACE).alias("parts")).where(F.size("parts") >= min_words)
+    texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("version"), F.regexp_replace(F.regexp_replace("text", "[0-9]+", "<*>"), _BLANK, " ").alias("text"))
+    lines = texts.select("doc_id", "version", F.posexplode(lines_of(F.col("text"))).alias("line", "content"))
+    parts = F.array_remove(F.split("content", " "), "")
+    if min_words < 2:  # a line without words is one empty token
+        parts = F.when(F.col("content").rlike("[^ ]"), parts).otherwise(F.array(F.lit("")))
+    # the one-element array binds the tokens to a name, so that the condition on their number does not cut the line again
+    tokens = lines.select("doc_id", "version", "line", F.explode(F.array(parts)).alias("parts")).where(F.size("parts") >= min_words)
     rest = F.size("parts") - leading
     fields = [
         F.xxhash64(F.slice("parts", leading + 1 + F.floor(F.greatest(rest, F.lit(0)) * i / FIELDS).cast("int"),

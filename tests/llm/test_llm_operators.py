@@ -258,6 +258,27 @@ def test_line_templates(spark):
     assert kept == {0, 1, 3, 4, 5, 6, 7}
 
 
+def test_lines_are_cut_and_texts_hashed_once(spark):
+    texts = ["\t one  two\x0bthree4\r\n\n \x0c\r\n12 a34b\x0c\x0c56", "one two three7\u00a0x\u2003 y \n x", "", "a\tb\rc d\x0b\n", None]
+    docs = table(spark, texts)
+    for least in (0, 1, 2, 3):
+        expected = []
+        for i, text in enumerate(texts):
+            for k, line in enumerate([] if text is None else text.split("\n")):
+                parts = re.split(r"[\x20\x09-\x0D]+", re.sub("[0-9]+", "<*>", line.strip(" \t\n\x0b\x0c\r")))
+                if len(parts) >= least:
+                    expected.append((i, k, parts))
+        hashed = spark.createDataFrame(expected, "doc INT, line INT, parts ARRAY<STRING>").select("doc", "line", F.size("parts"), F.xxhash64("parts"))
+        got = line_templates.parse_lines(docs, min_words=least).join(docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash")), F.col("doc_id") == F.col("id"))
+        order = {r.doc_id: i for i, r in enumerate(docs.select("doc_id").collect())}
+        assert got.where("version <> hash").count() == 0
+        assert sorted((order[r.doc_id], r.line, r.tokens, r.own) for r in got.collect()) == sorted(tuple(r) for r in hashed.collect())
+    plan = line_templates.parse_lines(docs)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not any("Filter" in line and "split(" in line for line in plan), "lines are cut again to count their tokens"
+    lines = next(i for i, line in enumerate(plan) if "posexplode" in line)
+    assert not any("AS version" in line for line in plan[:lines]), "a text is hashed for each of its lines"
+
+
 def test_exact_lines_equal_brute_force(spark):
     rng = random.Random(9)
     pool = [prose(200 + k, rng.randint(3, 11)) for k in range(30)]
